@@ -123,10 +123,18 @@ CURRENCY_PATTERNS = [
 
 # Defensive-parser symbol lookup, tested in this order ('$' before 'C$', so 'C$5' is USD).
 DEFENSIVE_SYMBOLS = [
-    ("$", "USD"), ("₹", "INR"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"),
-    ("C$", "CAD"), ("A$", "AUD"), ("R$", "BRL"), ("S$", "SGD"),
+    ("€", "EUR"), ("$", "USD"), ("₹", "INR"), ("£", "GBP"), ("¥", "JPY"), ("₽", "RUB"),
+    ("₱", "PHP"), ("₩", "KRW"), ("฿", "THB"), ("₿", "BTC"), ("C$", "CAD"), ("A$", "AUD"),
+    ("R$", "BRL"), ("RM", "MYR"), ("S$", "SGD"), ("HK$", "HKD"), ("NZ$", "NZD"), ("Rp", "IDR"),
 ]
 
+# Content patterns of the defensive parser (prefix match) and of the pattern extractor.
+LOOKS_LIKE_DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}"
+LOOKS_LIKE_AMOUNT = r"[€$₹£¥₽₱₩]\d+|\d+\.\d{2}|\d+,\d{2}|\d+"
+EXTRACT_AMOUNT = r"[€$₹£¥₽₱₩]?\d+[.,]\d{2}"
+EMERGENCY_DATE = r"\d{4}-\d{2}-\d{2}"
+EMERGENCY_AMOUNT = r"\d+[.,]?\d*"
+
 # Category dictionary: keywords and one pattern per category, in dictionary order.
 CATEGORY_KEYWORDS = {
     "food": ["restaurant", "cafe", "grocery", "food", "meal", "dining", "takeout", "delivery",

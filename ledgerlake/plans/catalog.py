@@ -187,3 +187,89 @@ def q_budget_totals(spark, sf_dir):
 @query("budget_unpivot")
 def q_budget_unpivot(spark, sf_dir):
     return B.budget_long(_rec(spark, sf_dir), KEYS)
+
+
+# ---- statement parsing, validation ---------------------------------------------------
+
+from ledgerlake.functions import formatting as FM  # noqa: E402
+from ledgerlake.functions import parsing as P  # noqa: E402
+from ledgerlake.operators import statements as ST  # noqa: E402
+from ledgerlake.sources.testdata import messy_statements, raw_statements  # noqa: E402
+
+AS_OF = "2024-06-30"
+
+
+def _messy(spark, sf_dir):
+    return messy_statements(spark, sf_dir)
+
+
+@query("parse_dates")
+def q_parse_dates(spark, sf_dir):
+    m = _messy(spark, sf_dir).select("txn_id", F.col("date").alias("date_text"))
+    m = P.with_date(m, "date_text", "_p", F.to_date(F.lit(AS_OF)))
+    m = P.with_date(m, "date_text", "_d", defensive=True)
+    return m.select("txn_id", "date_text", S.iso_date(F.col("_p")).alias("parsed_date"),
+                    S.iso_date(F.col("_d")).alias("defensive_date"))
+
+
+@query("detect_currency")
+def q_detect_currency(spark, sf_dir):
+    m = _messy(spark, sf_dir)
+    return m.select("txn_id", F.col("amount").alias("amount_text"),
+                    P.detect_currency(F.col("amount")).alias("currency"))
+
+
+@query("parse_amounts")
+def q_parse_amounts(spark, sf_dir):
+    m = _messy(spark, sf_dir).select("txn_id", F.col("amount").alias("amount_text"))
+    m = P.with_amount(m, "amount_text", "_a")
+    m = P.with_amount(m, "amount_text", "_d", defensive=True)
+    return m.select("txn_id", "amount_text", F.col("_a.amount").alias("amount"),
+                    F.col("_a.currency").alias("currency"), F.col("_d.amount").alias("defensive_amount"),
+                    F.col("_d.currency").alias("defensive_currency"))
+
+
+@query("parse_transactions")
+def q_parse_transactions(spark, sf_dir):
+    p = ST.parse_statements(_messy(spark, sf_dir), AS_OF)
+    return p.select("txn_id", "account_id", S.iso_date(F.col("date")).alias("date"), "description",
+                    "amount", "currency", "type", "category", "confidence_score", "reject_reason")
+
+
+@query("sign_from_type")
+def q_sign_from_type(spark, sf_dir):
+    r = P.with_amount(raw_statements(spark, sf_dir), "amount", "_a")
+    a = F.col("_a.amount")
+    return r.select("txn_id", F.col("type"), P.debit_credit(F.col("type")).alias("flag"),
+                    P.signed_amount(a, F.col("type")).alias("signed_amount"))
+
+
+@query("validate_rejects")
+def q_validate_rejects(spark, sf_dir):
+    return ST.reject_stats(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
+
+
+@query("dataset_check")
+def q_dataset_check(spark, sf_dir):
+    good, _ = ST.split(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
+    return ST.dataset_check(good, KEYS).select(*KEYS, "n_rows", "valid", "error", "first_bad_txn_id")
+
+
+@query("clean_chart_rows")
+def q_clean_chart_rows(spark, sf_dir):
+    good, _ = ST.split(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
+    return ST.clean_chart_rows(good).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"),
+                                                      F.round(S.msum("amount"), 2).alias("amount"))
+
+
+@query("format_currency_report")
+def q_format_currency_report(spark, sf_dir):
+    t = _tx(spark, sf_dir)
+    return t.select("txn_id", FM.format_currency_report(F.col("amount"), F.col("currency")).alias("report_text"),
+                    FM.format_currency_ui(F.col("amount"), F.col("currency")).alias("ui_text"))
+
+
+@query("format_currency_locale")
+def q_format_currency_locale(spark, sf_dir):
+    t = _tx(spark, sf_dir)
+    return t.select("txn_id", FM.format_currency_locale(F.col("amount"), F.col("currency")).alias("locale_text"))

@@ -259,3 +259,192 @@ q("budget_unpivot", f"""
 SELECT account_id, category, 'Recommended' AS type, {r('rec_amt')} AS amount FROM rec WHERE rec_amt > 0
 UNION ALL
 SELECT account_id, category, 'Current' AS type, {r('cur_amt')} AS amount FROM rec WHERE rec_amt > 0""", _REC_CTES)
+
+
+# ---- statement text, parsing, validation ----------------------------------------------
+
+from ledgerlake.dims import (CURRENCY_PATTERNS, DATE_FORMATS, DEFENSIVE_SYMBOLS,  # noqa: E402
+                             LOCALE_FORMATS, MONTH_ABBREVIATIONS)
+from ledgerlake.sources.testdata import RAW_AMOUNT_STYLE  # noqa: E402
+
+_PY = [("yyyy", "%Y"), ("yy", "%y"), ("M", "%m"), ("d", "%d"), ("H", "%H"), ("m", "%M"), ("s", "%S")]
+
+
+def _strptime_format(fmt: str) -> str:
+    out, i = "", 0
+    while i < len(fmt):
+        for tok, py in _PY:
+            if fmt.startswith(tok, i):
+                out, i = out + py, i + len(tok)
+                break
+        else:
+            out, i = out + fmt[i], i + 1
+    return out
+
+
+def _guard(fmt: str) -> str:
+    out, i = "", 0
+    while i < len(fmt):
+        if fmt.startswith("yyyy", i):
+            out, i = out + r"\d{4}", i + 4
+        elif fmt.startswith("yy", i):
+            out, i = out + r"\d{2}", i + 2
+        elif fmt[i] in "MdHms":
+            out, i = out + r"\d{1,2}", i + 1
+        else:
+            out, i = out + (("\\" + fmt[i]) if fmt[i] in "./" else fmt[i]), i + 1
+    return out
+
+
+def _date_sql(s: str, formats) -> str:
+    parts = []
+    for f in formats:
+        d = f"CAST(try_strptime({s}, '{_strptime_format(f)}') AS DATE)"
+        if f in ("M/d", "M-d"):
+            d = f"make_date(2024, month({d}), day({d}))"
+        parts.append(f"CASE WHEN regexp_full_match({s}, '{_guard(f)}') THEN {d} END")
+    return (f"CASE WHEN {s} IS NULL OR {s} = '' OR lower({s}) = 'nan' THEN NULL "
+            f"ELSE COALESCE({', '.join(parts)}) END")
+
+
+def _months_sql(s: str) -> str:
+    for i, m in enumerate(MONTH_ABBREVIATIONS, start=1):
+        s = f"regexp_replace({s}, '(?i)\\b{m}\\b', '{i:02d}', 'g')"
+    return s
+
+
+def _currency_sql(t: str) -> str:
+    arms = " ".join(f"WHEN regexp_matches({t}, {sql_str(p)}) THEN '{c}'" for p, c in CURRENCY_PATTERNS)
+    return f"CASE WHEN {t} IS NULL OR {t} = '' THEN 'USD' {arms} ELSE 'USD' END"
+
+
+def _defensive_currency_sql(t: str) -> str:
+    arms = " ".join(f"WHEN strpos({t}, {sql_str(s)}) > 0 THEN '{c}'" for s, c in DEFENSIVE_SYMBOLS)
+    return f"CASE {arms} ELSE 'USD' END"
+
+
+def _norm_sql(c: str, low: int) -> str:
+    ac, ad = f"regexp_extract({c}, '[^,]*$')", f"regexp_extract({c}, '[^.]*$')"
+    return (f"CASE WHEN strpos({c}, ',') > 0 AND strpos({c}, '.') > 0 THEN "
+            f"(CASE WHEN length({ac}) < length({ad}) THEN replace(replace({c}, '.', ''), ',', '.') ELSE replace({c}, ',', '') END) "
+            f"WHEN strpos({c}, ',') > 0 THEN (CASE WHEN length({ac}) BETWEEN {low} AND 2 THEN replace({c}, ',', '.') ELSE replace({c}, ',', '') END) "
+            f"ELSE {c} END")
+
+
+_raw_amount = "CASE cur " + " ".join(
+    f"WHEN '{code}' THEN {sql_str(pre)} || {('num' if dec == '.' else "replace(num, '.', " + sql_str(dec) + ")")} || {sql_str(suf)}"
+    for code, (pre, dec, suf) in RAW_AMOUNT_STYLE.items()) + " END"
+
+RAW = f"""
+r0 AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus,
+              CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS num,
+              {sql_list(ADAPTER_CURRENCIES)}[CAST(o_orderkey % {len(ADAPTER_CURRENCIES)} AS INTEGER) + 1] AS cur,
+              {sql_list(ADAPTER_CATEGORIES)}[CAST(o_orderkey % {len(ADAPTER_CATEGORIES)} AS INTEGER) + 1] AS cat
+       FROM orders),
+raw AS (SELECT o_orderkey AS txn_id, o_custkey AS account_id,
+          CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y')
+               WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN strftime(o_orderdate, '%Y/%m/%d')
+               WHEN 4 THEN strftime(o_orderdate, '%d-%m-%Y') ELSE strftime(o_orderdate, '%d-%b-%Y') END AS date,
+          {sql_list(ADAPTER_DESCRIPTIONS)}[CAST((o_orderkey * 7 + o_custkey) % {len(ADAPTER_DESCRIPTIONS)} AS INTEGER) + 1] AS description,
+          {_raw_amount} AS amount,
+          CASE WHEN o_orderstatus = 'O' THEN 'Credit' ELSE 'Debit' END AS type,
+          upper(substr(cat, 1, 1)) || substr(cat, 2) AS category
+        FROM r0),
+messy AS (SELECT txn_id, account_id,
+          CASE txn_id % 20 WHEN 1 THEN 'invalid-date' WHEN 5 THEN '----------' WHEN 6 THEN 'Date' WHEN 7 THEN NULL
+               WHEN 12 THEN strftime(DATE '1970-01-01' + CAST(txn_id % 9000 AS INTEGER), '%m/%d/%y')
+               WHEN 13 THEN description ELSE date END AS date,
+          CASE txn_id % 20 WHEN 2 THEN '' WHEN 4 THEN '  "' || description || '"  ' WHEN 5 THEN NULL
+               WHEN 6 THEN 'Description' WHEN 7 THEN NULL WHEN 8 THEN 'nan' WHEN 13 THEN date ELSE description END AS description,
+          CASE txn_id % 20 WHEN 3 THEN 'invalid-amount' WHEN 5 THEN NULL WHEN 6 THEN 'Amount' WHEN 7 THEN NULL
+               WHEN 9 THEN '0.00' WHEN 14 THEN '-' || amount ELSE amount END AS amount,
+          CASE txn_id % 20 WHEN 5 THEN NULL WHEN 6 THEN 'Type' WHEN 7 THEN NULL WHEN 11 THEN NULL ELSE type END AS type,
+          CASE txn_id % 20 WHEN 5 THEN NULL WHEN 6 THEN 'Category' WHEN 7 THEN NULL WHEN 10 THEN '' ELSE category END AS category
+        FROM raw),
+pa AS (SELECT *, trim(date) AS dt, trim(amount) AS atx,
+              regexp_replace(trim(amount), '[^0-9.,+\\-]', '', 'g') AS ac FROM messy),
+pb AS (SELECT *, {_months_sql('dt')} AS dn, {_currency_sql('atx')} AS cur, {_defensive_currency_sql('atx')} AS dcur,
+              {_norm_sql('ac', 1)} AS an, {_norm_sql('ac', 0)} AS dn_amt FROM pa),
+pc AS (SELECT *, {_date_sql('dn', DATE_FORMATS)} AS pdate, {_date_sql('dt', DATE_FORMATS[:9])} AS ddate,
+              regexp_replace(an, '[+\\-]', '', 'g') AS digits FROM pb),
+pd AS (SELECT *,
+          CASE WHEN regexp_full_match(digits, '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN TRY_CAST(digits AS DOUBLE) END AS av,
+          CASE WHEN atx IS NULL OR atx = '' OR lower(atx) = 'nan' THEN NULL
+               WHEN regexp_full_match(dn_amt, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST(dn_amt AS DOUBLE) END AS damount
+        FROM pc),
+pe AS (SELECT *, CASE WHEN starts_with(an, '-') THEN -av ELSE av END AS sv FROM pd),
+parsed AS (SELECT *,
+          CASE WHEN atx IS NULL OR atx = '' OR lower(atx) = 'nan' THEN NULL
+               WHEN abs(sv) > 1e9 OR (abs(sv) < 1e-6 AND sv <> 0) THEN NULL ELSE sv END AS amt,
+          CASE WHEN atx IS NULL OR atx = '' OR lower(atx) = 'nan' THEN 'USD' WHEN ac = '' THEN cur
+               WHEN av IS NULL THEN 'USD' ELSE cur END AS amt_cur
+        FROM pe),
+st AS (SELECT *,
+          CASE WHEN lower(trim(type)) IN ('debit', 'expense', 'withdrawal', 'payment') THEN -abs(amt) ELSE amt END AS samt
+        FROM parsed),
+stmt AS (SELECT txn_id, account_id, pdate AS date, trim(description) AS description, samt AS amount, amt_cur AS currency,
+          CASE WHEN type IS NULL THEN (CASE WHEN samt < 0 THEN 'debit' ELSE 'credit' END)
+               WHEN lower(trim(type)) IN ('debit', 'expense', 'withdrawal') THEN 'debit' ELSE 'credit' END AS type,
+          coalesce(lower(trim(category)), '') AS category, 0.7 AS confidence_score,
+          CASE WHEN pdate IS NULL THEN 'invalid_date'
+               WHEN atx IS NULL OR atx = '' OR lower(atx) IN ('nan', 'none') THEN 'missing_amount'
+               WHEN amt IS NULL THEN 'invalid_amount'
+               WHEN trim(description) IS NULL OR trim(description) = '' THEN 'missing_description'
+               WHEN amt = 0 THEN 'missing_amount'
+               WHEN lower(trim(description)) IN ('nan', 'null') THEN 'invalid_description' END AS reject_reason
+        FROM st),
+good AS (SELECT * FROM stmt WHERE reject_reason IS NULL)
+"""
+
+q("parse_dates", """
+SELECT txn_id, date AS date_text, strftime(pdate, '%Y-%m-%d') AS parsed_date, strftime(ddate, '%Y-%m-%d') AS defensive_date
+FROM parsed""", RAW)
+
+q("detect_currency", "SELECT txn_id, amount AS amount_text, cur AS currency FROM parsed", RAW)
+
+q("parse_amounts", """
+SELECT txn_id, amount AS amount_text, amt AS amount, amt_cur AS currency, damount AS defensive_amount,
+       dcur AS defensive_currency FROM parsed""", RAW)
+
+q("parse_transactions", """
+SELECT txn_id, account_id, strftime(date, '%Y-%m-%d') AS date, description, amount, currency, type, category,
+       CAST(confidence_score AS DOUBLE) AS confidence_score, reject_reason FROM stmt""", RAW)
+
+q("validate_rejects", """
+SELECT coalesce(reject_reason, 'accepted') AS reason, count(*) AS count, min(txn_id) AS first_txn_id
+FROM stmt GROUP BY 1""", RAW)
+
+q("dataset_check", """
+SELECT account_id, count(*) AS n_rows, min(CASE WHEN bad THEN txn_id END) IS NULL AS valid,
+       CASE WHEN min(CASE WHEN bad THEN txn_id END) IS NULL THEN NULL ELSE 'category cannot be empty' END AS error,
+       min(CASE WHEN bad THEN txn_id END) AS first_bad_txn_id
+FROM (SELECT *, coalesce(trim(category), '') = '' AS bad FROM good) GROUP BY 1""", RAW)
+
+q("clean_chart_rows", f"""
+SELECT account_id, count(*) AS rows, {r(ms('amount'))} AS amount FROM good
+WHERE coalesce(trim(category), '') <> '' AND amount IS NOT NULL AND NOT isnan(amount) GROUP BY 1""", RAW)
+
+q("sign_from_type", """
+SELECT txn_id, type, CASE WHEN lower(trim(type)) IN ('debit', 'expense', 'withdrawal') THEN 'debit' ELSE 'credit' END AS flag,
+       CASE WHEN lower(trim(type)) IN ('debit', 'expense', 'withdrawal', 'payment') THEN -abs(a) ELSE a END AS signed_amount
+FROM (SELECT txn_id, type, CAST(replace(regexp_replace(amount, '[^0-9.,]', '', 'g'), ',', '.') AS DOUBLE) AS a FROM raw)""", RAW)
+
+q("format_currency_report", f"""
+SELECT t.txn_id, {fmt_report('t.amount', 't.currency')} AS report_text,
+       CASE WHEN t.currency = 'USD' THEN '$' || format('{{:,.2f}}', t.amount) ELSE format('{{:,.2f}}', t.amount) || ' ' || t.currency END AS ui_text
+FROM t LEFT JOIN {FORMATS} ON rf.currency = t.currency""")
+
+_LOCALE = ("(VALUES " + ", ".join(f"({sql_str(c)}, {sql_str(s)}, {sql_str(p)}, {d}, {sql_str(ts)}, {sql_str(ds)})"
+                                   for c, s, p, d, ts, ds in LOCALE_FORMATS)
+           + ") lf(currency, symbol, position, decimals, tsep, dsep)")
+
+q("format_currency_locale", f"""
+SELECT txn_id, CASE WHEN position = 'before' THEN symbol || body ELSE body || ' ' || symbol END AS locale_text FROM (
+  SELECT txn_id, symbol, position,
+         CASE WHEN decimals = 0 THEN replace(format('{{:,}}', CAST(floor(a) AS BIGINT)), ',', tsep)
+              WHEN tsep = ',' THEN replace(plain, '.', dsep)
+              ELSE replace(format('{{:,}}', CAST(split_part(plain, '.', 1) AS BIGINT)), ',', tsep) || dsep || split_part(plain, '.', 2)
+         END AS body
+  FROM (SELECT t.txn_id, lf.*, abs(t.amount) AS a,
+               CASE lf.decimals WHEN 8 THEN format('{{:.8f}}', abs(t.amount)) ELSE format('{{:.2f}}', abs(t.amount)) END AS plain
+        FROM t JOIN {_LOCALE} ON lf.currency = CASE WHEN t.currency IN ({', '.join(sql_str(x[0]) for x in LOCALE_FORMATS)}) THEN t.currency ELSE 'USD' END))""")

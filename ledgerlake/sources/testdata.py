@@ -109,3 +109,45 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("event_type") == "purchase", -F.col("value"))
                       .otherwise(F.col("value")).alias("amount"),
                      F.col("event_type")))
+
+
+# Corruptions applied by ``messy_statements`` — chosen by o_orderkey % 20 (every row is kept;
+# the key only decides which damage a row gets, so the fixture grows with the table).
+MESSY_KINDS = {
+    1: "bad_date", 2: "empty_description", 3: "bad_amount", 4: "quoted_description",
+    5: "separator_row", 6: "header_row", 7: "empty_row", 8: "nan_description",
+    9: "zero_amount", 10: "no_category", 11: "no_type", 12: "two_digit_year",
+    13: "shifted_row", 14: "signed_amount",
+}
+
+
+def messy_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_statements`` with statement-export damage, for cleaning / validation / recovery."""
+    df = raw_statements(spark, sf_dir)
+    k = F.col("txn_id") % 20
+    d, de, a, t, c = (F.col(x) for x in ("date", "description", "amount", "type", "category"))
+    null = F.lit(None).cast("string")
+    date = (F.when(k == 1, F.lit("invalid-date"))
+             .when(k == 5, F.lit("----------"))
+             .when(k == 6, F.lit("Date"))
+             .when(k == 7, null)
+             .when(k == 12, F.date_format(F.date_add(F.to_date(F.lit("1970-01-01")), (F.col("txn_id") % 9000).cast("int")), "MM/dd/yy"))
+             .when(k == 13, de)
+             .otherwise(d))
+    desc = (F.when(k == 2, F.lit(""))
+             .when(k == 4, F.concat(F.lit('  "'), de, F.lit('"  ')))
+             .when(k == 5, null).when(k == 6, F.lit("Description")).when(k == 7, null)
+             .when(k == 8, F.lit("nan"))
+             .when(k == 13, d)
+             .otherwise(de))
+    amt = (F.when(k == 3, F.lit("invalid-amount"))
+            .when(k == 5, null).when(k == 6, F.lit("Amount")).when(k == 7, null)
+            .when(k == 9, F.lit("0.00"))
+            .when(k == 14, F.concat(F.lit("-"), a))
+            .otherwise(a))
+    typ = (F.when(k == 5, null).when(k == 6, F.lit("Type")).when(k == 7, null)
+            .when(k == 11, null).otherwise(t))
+    cat = (F.when(k == 5, null).when(k == 6, F.lit("Category")).when(k == 7, null)
+            .when(k == 10, F.lit("")).otherwise(c))
+    return df.select("txn_id", "account_id", date.alias("date"), desc.alias("description"),
+                     amt.alias("amount"), typ.alias("type"), cat.alias("category"))
