@@ -273,3 +273,30 @@ def q_format_currency_report(spark, sf_dir):
 def q_format_currency_locale(spark, sf_dir):
     t = _tx(spark, sf_dir)
     return t.select("txn_id", FM.format_currency_locale(F.col("amount"), F.col("currency")).alias("locale_text"))
+
+
+# ---- categorisation (rows-only checks; the fixture table is tested in tests/) ----------
+
+from ledgerlake.operators import categorize as G  # noqa: E402
+
+
+def _texts(spark, sf_dir):
+    """Distinct lower-cased descriptions of all transactions (the classifier's unit of work)."""
+    return _tx(spark, sf_dir).select(F.lower(F.trim("description")).alias("desc")).distinct()
+
+
+@query("rule_categorize")
+def q_rule_categorize(spark, sf_dir):
+    return G.rule_scores(_texts(spark, sf_dir), "desc")
+
+
+@query("ml_categorize")
+def q_ml_categorize(spark, sf_dir):
+    return G.ml_scores(_texts(spark, sf_dir), G.train(spark), "desc")
+
+
+@query("hybrid_categorize")
+def q_hybrid_categorize(spark, sf_dir):
+    good, _ = ST.split(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
+    c = G.categorize(good, G.train(spark))
+    return c.select("txn_id", "account_id", "description", "category", F.round("confidence_score", 3).alias("confidence"))
