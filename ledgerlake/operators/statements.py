@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.session import keep_where
 from ledgerlake.functions.parsing import debit_credit, signed_amount, with_amount, with_date
 
 CANONICAL = ["date", "description", "amount", "currency", "type", "category", "confidence_score"]
@@ -62,25 +63,13 @@ def parse_statements(raw: DataFrame, as_of: Column | str | None = None, sign_mod
     )
 
 
-def _barrier(parsed: DataFrame) -> DataFrame:
-    """Optimizer barrier: a projection holding one nondeterministic (always-true) test.
-
-    Catalyst pushes a filter through a projection by substituting the aliases it references;
-    for ``reject_reason`` that substitutes the whole staged parse (15 date formats, 46 currency
-    rules, separator logic) into the filter once per reference, which multiplies across the
-    stages (a 2 MB plan and a failed codegen at sf0.001). A filter is never pushed through a
-    nondeterministic projection, so the parse is evaluated exactly once per row. Filter raw
-    input (accounts, files, dates) *before* parsing so that pruning still reaches the scan.
-    """
-    keep = F.spark_partition_id() >= 0
-    return parsed.withColumn("reject_reason", F.when(keep, F.col("reject_reason")))
-
-
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows without ``reject_reason``, quarantined rows with it)."""
-    b = _barrier(parsed)
-    good = b.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    bad = b.filter(F.col("reject_reason").isNotNull())
+    """(accepted rows without ``reject_reason``, quarantined rows with it).
+
+    ``keep_where`` stops Catalyst from substituting the whole staged parse into the filter
+    (which multiplied it across the stages: a 2 MB plan and failed codegen at sf0.001)."""
+    good = keep_where(parsed, F.col("reject_reason").isNull()).drop("reject_reason")
+    bad = keep_where(parsed, F.col("reject_reason").isNotNull())
     return good, bad
 
 

@@ -300,3 +300,54 @@ def q_hybrid_categorize(spark, sf_dir):
     good, _ = ST.split(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
     c = G.categorize(good, G.train(spark))
     return c.select("txn_id", "account_id", "description", "category", F.round("confidence_score", 3).alias("confidence"))
+
+
+# ---- cleaning, schema repair, recovery --------------------------------------------------
+
+from ledgerlake.operators import clean as C  # noqa: E402
+from ledgerlake.operators import recover as R  # noqa: E402
+from ledgerlake.sources.testdata import split_amount_statements  # noqa: E402
+
+STMT_COLS = ["date", "description", "amount", "type", "category"]
+LINEAGE = ["txn_id", "account_id"]
+
+
+@query("sanitize_text")
+def q_sanitize_text(spark, sf_dir):
+    return C.sanitize(_messy(spark, sf_dir), STMT_COLS, lineage=LINEAGE)
+
+
+@query("merge_split_currency")
+def q_merge_split_currency(spark, sf_dir):
+    return C.merge_split_currency(split_amount_statements(spark, sf_dir), exclude=LINEAGE)
+
+
+@query("drop_artifacts")
+def q_drop_artifacts(spark, sf_dir):
+    m = C.flag_shifted_rows(_messy(spark, sf_dir), STMT_COLS)
+    return C.drop_artifacts(m, STMT_COLS).groupBy("is_shifted").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("sanitize_report")
+def q_sanitize_report(spark, sf_dir):
+    before = _messy(spark, sf_dir)
+    after = C.sanitize(before, STMT_COLS, lineage=LINEAGE).drop("is_shifted")
+    return C.sanitize_report(before, after, STMT_COLS, STMT_COLS, KEYS)
+
+
+@query("column_profile")
+def q_column_profile(spark, sf_dir):
+    return C.content_profile(_messy(spark, sf_dir), STMT_COLS)
+
+
+@query("recover_rows")
+def q_recover_rows(spark, sf_dir):
+    return R.recover_rows(_messy(spark, sf_dir), AS_OF, STMT_COLS)
+
+
+@query("normalize_table")
+def q_normalize_table(spark, sf_dir):
+    r = raw_statements(spark, sf_dir).select(
+        "txn_id", F.col("date").alias(" Date "), F.col("amount").alias("AMOUNT"), F.col("type").alias("Type"))
+    r = r.withColumn("AMOUNT", F.regexp_replace(F.replace(F.col("AMOUNT"), F.lit(","), F.lit(".")), r"[^0-9.]", ""))
+    return C.normalize_table(r)

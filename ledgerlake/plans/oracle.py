@@ -448,3 +448,60 @@ SELECT txn_id, CASE WHEN position = 'before' THEN symbol || body ELSE body || '
   FROM (SELECT t.txn_id, lf.*, abs(t.amount) AS a,
                CASE lf.decimals WHEN 8 THEN format('{{:.8f}}', abs(t.amount)) ELSE format('{{:.2f}}', abs(t.amount)) END AS plain
         FROM t JOIN {_LOCALE} ON lf.currency = CASE WHEN t.currency IN ({', '.join(sql_str(x[0]) for x in LOCALE_FORMATS)}) THEN t.currency ELSE 'USD' END))""")
+
+
+# ---- cleaning, schema repair -----------------------------------------------------------
+
+def _c7(x: str) -> str:
+    s = f"regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '^[\"'']|[\"'']$', '', 'g')"
+    return f"nullif(regexp_replace({s}, '\\s+', ' ', 'g'), '')"
+
+
+_STMT = ["date", "description", "amount", "type", "category"]
+_ROW = "concat_ws(' ', " + ", ".join(_STMT) + ")"
+_SHIFT = ("(regexp_matches(coalesce(m.date, 'nan'), '[a-zA-Z]{3,}') OR "
+          "regexp_matches(coalesce(m.date, 'nan'), '[€$₹£¥₽₱₩]'))")
+_SAN = (f"san0 AS (SELECT m.txn_id, m.account_id, {', '.join(_c7('m.' + c) + ' AS ' + c for c in _STMT)}, "
+        f"{_SHIFT} AS is_shifted FROM messy m), "
+        f"san AS (SELECT * FROM san0 WHERE coalesce({', '.join(_STMT)}) IS NOT NULL "
+        f"AND NOT regexp_full_match({_ROW}, '[-=_]+') AND NOT regexp_matches({_ROW}, '^(?i)(date|description|amount|type|category)'))")
+
+q("sanitize_text", "SELECT * FROM san", RAW + ", " + _SAN)
+
+q("drop_artifacts", f"""
+SELECT is_shifted, count(*) AS rows FROM (
+  SELECT m.*, {_SHIFT} AS is_shifted FROM messy m) m
+WHERE coalesce({', '.join(_STMT)}) IS NOT NULL AND NOT regexp_full_match({_ROW}, '[-=_]+')
+  AND NOT regexp_matches({_ROW}, '^(?i)(date|description|amount|type|category)')
+GROUP BY 1""", RAW)
+
+_NULLS = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _STMT)
+q("sanitize_report", f"""
+SELECT b.account_id, b.rows - coalesce(a.rows, 0) AS rows_removed, b.nulls AS empty_cells_before,
+       coalesce(a.nulls, 0) AS empty_cells_after, 0 AS columns_removed
+FROM (SELECT account_id, count(*) AS rows, sum({_NULLS}) AS nulls FROM messy GROUP BY 1) b
+LEFT JOIN (SELECT account_id, count(*) AS rows, sum({_NULLS}) AS nulls FROM san GROUP BY 1) a
+  ON a.account_id = b.account_id""", RAW + ", " + _SAN)
+
+q("merge_split_currency", """
+SELECT txn_id, account_id, date AS "Date", description AS "Description",
+       split_part(num, '.', 1) || '.' || lpad(CAST(CAST(split_part(num, '.', 2) AS INTEGER) AS VARCHAR), 2, '0') AS "Amount_Part1",
+       type AS "Type"
+FROM raw JOIN (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS num FROM orders) n
+  ON n.o_orderkey = raw.txn_id""", RAW)
+
+
+def _profile(c: str) -> str:
+    share = lambda cond: f"count(CASE WHEN {cond} THEN 1 END) / count({c})"
+    dates = ", ".join(share(f"regexp_matches({c}, '{p}')") for p in (r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}"))
+    amts = ", ".join(share(f"regexp_matches({c}, '{p}')") for p in (r"[€$₹£¥₽₱₩]\d+", r"\d+\.\d{2}", r"\d+,\d{2}"))
+    return (f"SELECT '{c}' AS \"column\", count({c}) AS non_null, greatest({dates}) AS date_share, "
+            f"greatest({amts}) AS amount_share, avg(length({c})) AS mean_length, "
+            f"{share(f'regexp_matches({c}, ' + chr(39) + '[a-zA-Z]' + chr(39) + ')')} AS letter_share, "
+            f"{share(f'regexp_matches({c}, ' + chr(39) + chr(92) + 'd+' + chr(92) + '.?' + chr(92) + 'd*' + chr(39) + ')')} AS numeric_share FROM messy")
+
+
+q("column_profile", f"""
+SELECT *, CASE WHEN date_share >= 0.7 THEN 'date' WHEN amount_share >= 0.5 THEN 'amount'
+               WHEN mean_length > 5 AND letter_share >= 0.8 THEN 'description' END AS detected_as
+FROM ({' UNION ALL '.join(_profile(c) for c in _STMT)})""", RAW)

@@ -64,3 +64,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def keep_where(df: DataFrame, cond) -> DataFrame:
+    """``df.filter(cond)`` that is evaluated where it is written.
+
+    Catalyst pushes a filter below projections by substituting the aliases it references. When
+    those aliases are large parsing/cleaning expressions that are referenced several times,
+    the substitution multiplies them (plans of megabytes, code past the 64 KB method limit).
+    Wrapping the condition with an always-true nondeterministic test (``spark_partition_id() >=
+    0``) stops that pushdown only; it does not change which rows are kept. Filter raw input
+    (accounts, files, dates) *before* heavy projections so that pruning still reaches the scan.
+    """
+    from pyspark.sql import functions as F
+    flag = "_keep_where"
+    return (df.withColumn(flag, F.when(F.spark_partition_id() >= 0, cond))
+              .filter(F.col(flag)).drop(flag))

@@ -151,3 +151,15 @@ def messy_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 10, F.lit("")).otherwise(c))
     return df.select("txn_id", "account_id", date.alias("date"), desc.alias("description"),
                      amt.alias("amount"), typ.alias("type"), cat.alias("category"))
+
+
+def split_amount_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement rows whose amount was exported as two numeric columns (whole, cents)."""
+    raw = raw_statements(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn_id"),
+                                             F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("_num"))
+    j = raw.join(o, "txn_id")
+    return j.select("txn_id", "account_id", F.col("date").alias("Date"), F.col("description").alias("Description"),
+                    F.split_part(F.col("_num"), F.lit("."), F.lit(1)).alias("Amount_Part1"),
+                    F.split_part(F.col("_num"), F.lit("."), F.lit(2)).cast("int").cast("string").alias("Amount_Part2"),
+                    F.col("type").alias("Type"))
