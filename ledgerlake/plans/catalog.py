@@ -351,3 +351,126 @@ def q_normalize_table(spark, sf_dir):
         "txn_id", F.col("date").alias(" Date "), F.col("amount").alias("AMOUNT"), F.col("type").alias("Type"))
     r = r.withColumn("AMOUNT", F.regexp_replace(F.replace(F.col("AMOUNT"), F.lit(","), F.lit(".")), r"[^0-9.]", ""))
     return C.normalize_table(r)
+
+
+# ---- sources, sinks, table maintenance ------------------------------------------------
+
+from ledgerlake.sinks import tables as K  # noqa: E402
+from ledgerlake.sources import statements as SRC  # noqa: E402
+from ledgerlake.sources.testdata import table as _table  # noqa: E402
+
+RETENTION_AS_OF = "2001-08-01"
+
+
+@query("latest_transactions")
+def q_latest_transactions(spark, sf_dir):
+    t = _tx(spark, sf_dir)
+    top = S.top_k_per_key(t, KEYS, [F.col("date").desc(), F.col("txn_id").desc()], 5, "txn_id")
+    return top.select(*KEYS, "rank", "txn_id", S.iso_date(F.col("date")).alias("date"), "amount")
+
+
+@query("account_statistics")
+def q_account_statistics(spark, sf_dir):
+    t = _tx(spark, sf_dir)
+    tx = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("transaction_count"),
+                              F.min("date").alias("_first"), F.max("date").alias("_last"))
+    # saved analyses: one monthly-spending result per (account, month) — see sinks.save_analysis_result
+    an = S.monthly_spending(t, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("analysis_count"))
+    j = tx.join(an, KEYS, "full_outer")
+    return j.select(*KEYS, F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"),
+                    F.coalesce("analysis_count", F.lit(0)).alias("analysis_count"),
+                    S.iso_date(F.col("_first")).alias("first_activity"),
+                    S.iso_date(F.col("_last")).alias("last_activity"))
+
+
+@query("retention_filter")
+def q_retention_filter(spark, sf_dir):
+    t = _tx(spark, sf_dir).withColumn("created_at", F.col("date").cast("timestamp"))
+    return K.retention_filter(t, RETENTION_AS_OF, 365).select("txn_id", *KEYS, S.iso_date(F.col("date")).alias("date"))
+
+
+def _sessions(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("session_id"),
+                    F.to_json(F.struct(F.col("c_mktsegment").alias("segment"))).alias("settings"),
+                    F.lit(None).cast("string").alias("last_active"))
+
+
+@query("upsert_sessions")
+def q_upsert_sessions(spark, sf_dir):
+    old = _sessions(spark, sf_dir)
+    recent = (_tx(spark, sf_dir).filter(F.col("date") >= F.lit("2000-08-01").cast("date"))
+              .groupBy(*KEYS).agg(F.max("date").alias("_d"), F.count(F.lit(1)).alias("_n")))
+    new = recent.select(F.col("account_id").cast("string").alias("session_id"),
+                        F.to_json(F.struct(F.col("_n").alias("recent_orders"))).alias("settings"),
+                        S.iso_date(F.col("_d")).alias("last_active"))
+    return K.upsert(old, new, ["session_id"])
+
+
+@query("custom_categories")
+def q_custom_categories(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    src = c.select(F.col("c_custkey").alias("session_id"), F.lower("c_mktsegment").alias("category_name"),
+                   F.split(F.lower("c_name"), "#").alias("keywords"))
+    stored = K.custom_category_rows(src)
+    back = K.read_custom_categories(stored)
+    return back.select(F.col("session_id").cast("bigint").alias("session_id"), "category_name",
+                       F.size("keywords").alias("n_keywords"),
+                       F.array_join("keywords", " ").alias("keywords_text"))
+
+
+def _with_file_hash(t):
+    return t.withColumn("file_hash", F.sha2(F.concat(F.lit("statement-"), F.col("account_id").cast("string"),
+                                                     F.lit("-"), F.year("date").cast("string")), 256))
+
+
+@query("replace_by_hash")
+def q_replace_by_hash(spark, sf_dir):
+    t = _with_file_hash(_tx(spark, sf_dir)).withColumn("account_id", F.col("account_id").cast("string")) \
+        .withColumn("confidence_score", F.lit(0.7)).withColumn("created_at", F.col("date").cast("timestamp"))
+    path = K.scratch_path(spark, "transactions")
+    K.save_transactions(t, path)
+    K.save_transactions(t, path)          # same files again: rows are replaced, not duplicated
+    back = spark.read.parquet(path)
+    return back.select("txn_id", F.col("account_id").cast("bigint").alias("account_id"), "file_hash")
+
+
+def _written_statements(spark, sf_dir):
+    m = _messy(spark, sf_dir)
+    root = K.scratch_path(spark, "statements")
+    cols = ["date", "description", "amount", "type", "category"]
+    m.select(*cols).repartition(4, "account_id").write.option("header", True).csv(f"{root}/comma")
+    m.select(*cols).repartition(2, "account_id").write.option("header", True).option("sep", ";").csv(f"{root}/semicolon")
+    return root
+
+
+@query("profile_files")
+def q_profile_files(spark, sf_dir):
+    root = _written_statements(spark, sf_dir)
+    p = SRC.profile_files(SRC.read_files(spark, root))
+    return p.select("file_size", "encoding", "delimiter", "has_header", "column_count", "sample_rows",
+                    F.size("corruption_indicators").alias("n_indicators"), "valid", "strategy")
+
+
+@query("read_statements")
+def q_read_statements(spark, sf_dir):
+    root = _written_statements(spark, sf_dir)
+    raw = SRC.read_by_profile(spark, SRC.profile_files(SRC.read_files(spark, root)))
+    parsed = ST.parse_statements(C.normalize_column_names(raw), AS_OF)
+    return parsed.groupBy("parse_strategy", F.coalesce("reject_reason", F.lit("accepted")).alias("reason")) \
+                 .agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("normalize_and_convert")
+def q_normalize_and_convert(spark, sf_dir):
+    r = P.with_amount(raw_statements(spark, sf_dir), "amount", "_a")
+    r = r.select("txn_id", "account_id", F.col("date").alias("Date"), F.col("description").alias("Description"),
+                 F.col("_a.amount").cast("string").alias("Amount"), F.col("_a.currency").alias("Currency"),
+                 F.col("type").alias("Type"), F.lower("category").alias("Category"))
+    n = C.normalize_table(r)
+    conv = X.convert_dataframe(n, "EUR")
+    out = conv.select("txn_id", "account_id", "description", F.round("amount", 2).alias("amount"),
+                      "original_currency", "display_currency", F.coalesce("category", F.lit("other")).alias("category"),
+                      F.when(F.col("amount") < 0, F.lit("expense")).otherwise(F.lit("income")).alias("type"))
+    K.save_converted_csv(out, K.scratch_path(spark, "statement.csv"), "EUR")
+    return out

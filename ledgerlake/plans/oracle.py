@@ -505,3 +505,40 @@ q("column_profile", f"""
 SELECT *, CASE WHEN date_share >= 0.7 THEN 'date' WHEN amount_share >= 0.5 THEN 'amount'
                WHEN mean_length > 5 AND letter_share >= 0.8 THEN 'description' END AS detected_as
 FROM ({' UNION ALL '.join(_profile(c) for c in _STMT)})""", RAW)
+
+
+# ---- sources, sinks, table maintenance ------------------------------------------------
+
+q("latest_transactions", """
+SELECT account_id, CAST(rank AS INTEGER) AS rank, txn_id, strftime(date, '%Y-%m-%d') AS date, amount FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date DESC, txn_id DESC) AS rank FROM t)
+WHERE rank <= 5""")
+
+q("account_statistics", """
+SELECT coalesce(a.account_id, b.account_id) AS account_id, coalesce(a.n, 0) AS transaction_count,
+       coalesce(b.n, 0) AS analysis_count, strftime(a.f, '%Y-%m-%d') AS first_activity,
+       strftime(a.l, '%Y-%m-%d') AS last_activity
+FROM (SELECT account_id, count(*) n, min(date) f, max(date) l FROM t GROUP BY 1) a
+FULL OUTER JOIN (SELECT account_id, count(*) n FROM (SELECT DISTINCT account_id, strftime(date, '%Y-%m') FROM e) GROUP BY 1) b
+  ON a.account_id = b.account_id""")
+
+q("retention_filter", """
+SELECT txn_id, account_id, strftime(date, '%Y-%m-%d') AS date FROM t
+WHERE CAST(date AS TIMESTAMP) >= CAST(DATE '2001-08-01' - INTERVAL 365 DAY AS TIMESTAMP)""")
+
+q("upsert_sessions", """
+SELECT * FROM (
+  SELECT CAST(c_custkey AS VARCHAR) AS session_id, '{"segment":"' || c_mktsegment || '"}' AS settings,
+         CAST(NULL AS VARCHAR) AS last_active
+  FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT CAST(account_id AS VARCHAR) FROM t WHERE date >= DATE '2000-08-01')
+  UNION ALL
+  SELECT CAST(account_id AS VARCHAR), '{"recent_orders":' || count(*) || '}', strftime(max(date), '%Y-%m-%d')
+  FROM t WHERE date >= DATE '2000-08-01' GROUP BY account_id)""")
+
+q("custom_categories", """
+SELECT c_custkey AS session_id, lower(c_mktsegment) AS category_name, len(string_split(lower(c_name), '#')) AS n_keywords,
+       array_to_string(string_split(lower(c_name), '#'), ' ') AS keywords_text FROM customer""")
+
+q("replace_by_hash", """
+SELECT txn_id, account_id, sha256('statement-' || CAST(account_id AS VARCHAR) || '-' || CAST(year(date) AS VARCHAR)) AS file_hash
+FROM t""")
