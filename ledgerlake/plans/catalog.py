@@ -474,3 +474,17 @@ def q_normalize_and_convert(spark, sf_dir):
                       F.when(F.col("amount") < 0, F.lit("expense")).otherwise(F.lit("income")).alias("type"))
     K.save_converted_csv(out, K.scratch_path(spark, "statement.csv"), "EUR")
     return out
+
+
+# ---- streaming (X1–X3) -----------------------------------------------------------------
+
+from ledgerlake.streaming import ingest as XS  # noqa: E402
+
+
+@query("stream_daily_spend")
+def q_stream_daily_spend(spark, sf_dir):
+    out = K.scratch_path(spark, "daily_spend")
+    XS.run_daily_spend(spark, sf_dir, out, glob="events.parquet")
+    r = XS.latest_daily_spend(spark, out)
+    return r.select("account_id", "day", F.round("spend", 2).alias("spend"),
+                    F.round("income", 2).alias("income"), "n")

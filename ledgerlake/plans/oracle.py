@@ -542,3 +542,11 @@ SELECT c_custkey AS session_id, lower(c_mktsegment) AS category_name, len(string
 q("replace_by_hash", """
 SELECT txn_id, account_id, sha256('statement-' || CAST(account_id AS VARCHAR) || '-' || CAST(year(date) AS VARCHAR)) AS file_hash
 FROM t""")
+
+q("stream_daily_spend", f"""
+SELECT user_id AS account_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
+       {r('coalesce(' + ms("CASE WHEN event_type = 'purchase' THEN value END") + ', 0.0)')} AS spend,
+       {r('coalesce(' + ms("CASE WHEN event_type = 'signup' THEN value END") + ', 0.0)')} AS income,
+       count(*) AS n
+FROM (SELECT DISTINCT ON (event_id) * FROM events WHERE event_type IN ('purchase', 'signup'))
+GROUP BY 1, 2""")
