@@ -374,8 +374,11 @@ def q_account_statistics(spark, sf_dir):
     t = _tx(spark, sf_dir)
     tx = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("transaction_count"),
                               F.min("date").alias("_first"), F.max("date").alias("_last"))
-    # saved analyses: one monthly-spending result per (account, month) — see sinks.save_analysis_result
-    an = S.monthly_spending(t, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("analysis_count"))
+    # saved analyses (K5): one monthly-spending JSON document per (account, month)
+    path = K.scratch_path(spark, "analysis_results")
+    K.save_analysis_result(S.monthly_spending(t, KEYS), path, "monthly_spending", created_at="2024-06-30 00:00:00")
+    an = (spark.read.parquet(path).groupBy(F.col("session_id").cast("bigint").alias("account_id"))
+          .agg(F.count(F.lit(1)).alias("analysis_count")))
     j = tx.join(an, KEYS, "full_outer")
     return j.select(*KEYS, F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"),
                     F.coalesce("analysis_count", F.lit(0)).alias("analysis_count"),
@@ -488,3 +491,36 @@ def q_stream_daily_spend(spark, sf_dir):
     r = XS.latest_daily_spend(spark, out)
     return r.select("account_id", "day", F.round("spend", 2).alias("spend"),
                     F.round("income", 2).alias("income"), "n")
+
+
+@query("minimal_scan")
+def q_minimal_scan(spark, sf_dir):
+    root = _written_statements(spark, sf_dir)
+    m = SRC.read_text_minimal(spark, f"{root}/comma", ["date", "description", "amount", "type", "category"])
+    return m.groupBy(F.col("amount").isNull().alias("amount_missing"), "currency") \
+            .agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("corrupted_column_scan")
+def q_corrupted_column_scan(spark, sf_dir):
+    root = _written_statements(spark, sf_dir)
+    r = SRC.read_corrupted_columns(spark, f"{root}/comma")
+    return r.select(F.col("fields")["date"].alias("date"), F.col("fields")["amount"].alias("amount"),
+                    F.col("fields")["description"].alias("description"))
+
+
+@query("custom_categorize")
+def q_custom_categorize(spark, sf_dir):
+    """Per-account user categories (from the customer table) scored by the keyword rules."""
+    c = _table(spark, sf_dir, "customer")
+    custom = c.select(F.col("c_custkey").alias("account_id"), F.lower("c_mktsegment").alias("category"),
+                      F.array(F.lit("coffee"), F.lit("grocery"), F.lower("c_mktsegment")).alias("keywords"))
+    texts = _tx(spark, sf_dir).select("account_id", F.lower(F.trim("description")).alias("desc")).distinct()
+    return G.custom_rule_scores(texts, custom, "desc")
+
+
+@query("orphan_transactions")
+def q_orphan_transactions(spark, sf_dir):
+    """Transactions whose account has no session row (left_anti against customer)."""
+    sessions = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
+    return K.orphans(_tx(spark, sf_dir), sessions, ["account_id"]).select("txn_id", "account_id")

@@ -550,3 +550,5 @@ SELECT user_id AS account_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
        count(*) AS n
 FROM (SELECT DISTINCT ON (event_id) * FROM events WHERE event_type IN ('purchase', 'signup'))
 GROUP BY 1, 2""")
+
+q("orphan_transactions", "SELECT txn_id, account_id FROM t WHERE account_id NOT IN (SELECT c_custkey FROM customer)")

@@ -123,3 +123,8 @@ def retention_filter(df: DataFrame, as_of: str, days_old: int = 30, ts_col: str
     """K7: rows newer than ``as_of − days_old`` (the rows a cleanup would keep)."""
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), days_old)
     return df.filter(F.col(ts_col) >= cutoff.cast("timestamp"))
+
+
+def orphans(child: DataFrame, parent: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``child`` whose ``key`` has no row in ``parent`` (declared foreign key)."""
+    return child.join(parent.select(*key).distinct(), key, "left_anti")

@@ -20,6 +20,7 @@ DELIMITERS = [",", ";", "\t", "|"]
 CORRUPTION_PATTERNS = [r"\d+,\d+,\d+", r"[^\w\s€$₹£¥₽₱₩]+\d+[^\w\s€$₹£¥₽₱₩]+", r"^\d+$"]
 PROFILE_CHARS = 1000
 PROFILE_LINES = 10
+MAX_COLUMNS = 64       # widest statement row the corrupted-column scan splits
 
 
 def read_statements(spark: SparkSession, paths, sep: str = ",", header: bool = True,
@@ -122,3 +123,30 @@ def read_by_profile(spark: SparkSession, profile: DataFrame) -> DataFrame:
         df = df.withColumn("parse_strategy", F.lit("standard" if g["delimiter"] == "," else "delimiter_detection"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def read_corrupted_columns(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
+    """Headerless read; per file, the first of the first three lines with ≥ 2 cells that
+    contain letters is the header and is dropped from the data. Files carry different headers,
+    so each row comes out as ``fields MAP<header name, value>`` plus its file and line number.
+    One row per file is loaded whole (``wholetext``) — statement files are bounded (S13)."""
+    files = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("value"))
+    lines = files.select("source_file", F.posexplode(F.split(F.col("value"), "\r?\n")).alias("line_no", "line")) \
+                 .filter(F.trim("line") != "")
+    # proper CSV field splitting (quotes, embedded separators): from_csv into a wide string row
+    parsed = F.from_csv(F.col("line"), ", ".join(f"c{i} STRING" for i in range(MAX_COLUMNS)), {"sep": sep})
+    width = F.size(F.split(F.col("line"), sep))              # upper bound on the field count
+    cells = lines.withColumn("cells", F.slice(F.array(*[parsed[f"c{i}"] for i in range(MAX_COLUMNS)]), 1,
+                                              F.least(width, F.lit(MAX_COLUMNS))))
+    cells = cells.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
+    is_header = (F.col("line_no") < 3) & (F.size(F.filter("cells", lambda c: c.rlike("[a-zA-Z]"))) >= 2)
+    headers = (cells.filter(is_header).groupBy("source_file")
+               .agg(F.min_by("cells", "line_no").alias("header"), F.min("line_no").alias("header_line")))
+    joined = cells.join(headers, "source_file", "left")
+    data = joined.filter(F.col("header_line").isNull() | (F.col("line_no") != F.col("header_line")))
+    names = F.coalesce(F.col("header"), F.transform("cells", lambda c, i: F.concat(F.lit("_c"), i.cast("string"))))
+    n = F.least(F.size(names), F.size("cells"))
+    return data.select("source_file", "line_no", names.alias("header"),
+                       F.map_from_arrays(F.slice(F.transform(names, lambda c: F.trim(c)), 1, n),
+                                         F.slice("cells", 1, n)).alias("fields"))
