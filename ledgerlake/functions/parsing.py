@@ -7,6 +7,8 @@ become ``CASE WHEN`` chains, format priority lists become ``coalesce`` over ``tr
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +29,12 @@ def _blank(c: Column) -> Column:
 
 
 def replace_month_names(c: Column) -> Column:
-    """'15-Jan-2024' -> '15-01-2024' (whole-word, case-insensitive)."""
+    """'15-Jan-2024' -> '15-01-2024' (whole-word, case-insensitive). Texts without letters —
+    nearly all dates — skip the twelve replacements."""
+    r = c
     for i, m in enumerate(MONTH_ABBREVIATIONS, start=1):
-        c = F.regexp_replace(c, rf"(?i)\b{m}\b", f"{i:02d}")
-    return c
+        r = F.regexp_replace(r, rf"(?i)\b{m}\b", f"{i:02d}")
+    return F.when(c.rlike("[A-Za-z]"), r).otherwise(c)
 
 
 def format_regex(fmt: str) -> str:
@@ -94,12 +98,41 @@ def with_date(df, src: str, out: str, as_of: Column | None = None, defensive: bo
     return staged.withColumn(out, parse_date_normalized(F.col(tmp), as_of, fmts)).drop(tmp)
 
 
+def _literal(pattern: str) -> str | None:
+    """The text a regex matches if it is a plain literal (only '\\$' escapes), else None."""
+    lit = pattern.replace("\\$", "$")
+    return None if any(ch in lit for ch in "\\^[](){}*+?|.") else lit
+
+
 def detect_currency(c: Column) -> Column:
-    """ordered regex list, first hit anywhere in the text; default USD."""
+    """ordered pattern list, first pattern found anywhere in the text wins; default USD.
+
+    Same result as testing each regex in turn, with cheaper tests: literal patterns ('C$',
+    'RM', '€', …) are substring tests, '^\\$' is a prefix test, and the 27 '\\bXXX\\b' code
+    patterns are one ``regexp_extract_all`` whose matches are ranked by list position (the
+    earliest pattern that matches anywhere is the smallest position among the matches)."""
     s = F.trim(c)
     out = None
+    codes: list[str] = []
     for pat, code in CURRENCY_PATTERNS:
-        out = F.when(s.rlike(pat), F.lit(code)) if out is None else out.when(s.rlike(pat), F.lit(code))
+        m = re.fullmatch(r"\\b([A-Z]{3})\\b", pat)
+        if m:
+            codes.append(m.group(1))
+            continue
+        lit = _literal(pat)
+        if lit is not None:
+            cond = F.contains(s, F.lit(lit))
+        elif pat == "^\\$":
+            cond = s.startswith("$")
+        else:
+            cond = s.rlike(pat)
+        if codes:
+            raise ValueError("code patterns must come last in CURRENCY_PATTERNS")
+        out = F.when(cond, F.lit(code)) if out is None else out.when(cond, F.lit(code))
+    code_list = F.array(*[F.lit(x) for x in codes])
+    found = F.regexp_extract_all(s, F.lit(r"\b(" + "|".join(codes) + r")\b"), 1)
+    first = F.array_min(F.transform(found, lambda x: F.array_position(code_list, x)))
+    out = out.when(F.size(found) > 0, F.element_at(code_list, first.cast("int")))
     return F.when(c.isNull() | (s == ""), F.lit("USD")).otherwise(out.otherwise(F.lit("USD")))
 
 

@@ -93,6 +93,19 @@ def train(spark: SparkSession, docs: DataFrame | None = None) -> NBModel:
     return NBModel(vocab, classes)
 
 
+_DEFAULT_MODELS: dict[str, NBModel] = {}
+
+
+def default_model(spark: SparkSession) -> NBModel:
+    """The model of the built-in dictionary, trained once per application (the vocabulary is a
+    cached ≤ 1000-row table); like the reference's model file, it is reused by later calls."""
+    key = spark.sparkContext.applicationId
+    if key not in _DEFAULT_MODELS:
+        m = train(spark)
+        _DEFAULT_MODELS[key] = NBModel(m.vocab.cache(), m.classes)
+    return _DEFAULT_MODELS[key]
+
+
 # ---------------------------------------------------------------------------------------
 # Naive Bayes scoring
 # ---------------------------------------------------------------------------------------
@@ -195,7 +208,7 @@ def blend(ml_cat: Column, ml_conf: Column, rule_cat: Column, rule_conf: Column,
 def classify_texts(texts: DataFrame, model: NBModel | None = None, text: str = "desc") -> DataFrame:
     """Distinct texts → ml, rule and blended scores (one row per text)."""
     spark = texts.sparkSession
-    model = model or train(spark)
+    model = model or default_model(spark)
     ml = ml_scores(texts, model, text)
     rules = rule_scores(ml, text)
     both = rules.join(ml, text)   # same keys, same partitioning: a co-partitioned join

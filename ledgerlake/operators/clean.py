@@ -44,6 +44,8 @@ CONTENT_AMOUNT_PATTERNS = [r"[€$₹£¥₽₱₩]\d+", r"\d+\.\d{2}", r"\d+,\d
 NORMALIZE_DATE_COLUMNS = ["date", "transaction_date", "posted_date", "post_date", "trans_date"]
 NORMALIZE_AMOUNT_COLUMNS = ["amount", "debit", "credit", "transaction_amount", "sum", "total", "value"]
 
+# characters NFKC may change: anything but ASCII, Latin-1 letters (U+00C0–U+00FF) and symbols
+NFKC_CANDIDATE = "[^\\x00-\\x7F\\u00C0-\\u00FF€₹£¥₽₱₩฿₿]"
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -124,12 +126,13 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def normalize_unicode(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """NFKC normalisation (fullwidth digits/letters, compatibility symbols). There is no
-    built-in for it, so an Arrow-batched pandas UDF runs — only for values containing a
-    non-ASCII character; ASCII rows never leave the JVM."""
+    built-in for it, so an Arrow-batched pandas UDF runs — only for values holding a character
+    outside ASCII, the Latin-1 letters À–ÿ and the currency symbols used here, all of which NFKC
+    leaves unchanged; every other row stays in the JVM."""
     cols = cols if cols is not None else _string_cols(df)
     out = df
     for c in cols:
-        out = out.withColumn(c, F.when(F.col(c).rlike(r"[^\x00-\x7F]"), _nfkc(F.col(c))).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(F.col(c).rlike(NFKC_CANDIDATE), _nfkc(F.col(c))).otherwise(F.col(c)))
     return out
 
 

@@ -32,6 +32,14 @@ def resolve_rates(live: DataFrame | None, fallback: DataFrame) -> DataFrame:
                     F.coalesce("_lsrc", "source").alias("source")))
 
 
+def _check_rate_table(rates: DataFrame) -> None:
+    """A caller-supplied rate table is broadcast, so prove its size first (one bounded probe:
+    at most MAX_DIM_ROWS + 1 rows are counted) and require one row per currency."""
+    n = rates.limit(MAX_DIM_ROWS + 1).count()
+    if n > MAX_DIM_ROWS:
+        raise ValueError(f"rate table has more than {MAX_DIM_ROWS} rows; resolve it to one row per currency first")
+
+
 def pair_rate(from_rate: Column, to_rate: Column, from_cur: Column, to_cur: Column) -> Column:
     """Rate from → to via USD; identical codes give exactly 1.0."""
     fr = F.coalesce(from_rate, F.lit(1.0))
@@ -48,7 +56,10 @@ def with_rate(df: DataFrame, target: str, rates: DataFrame | None = None,
     ``target``. The rate table is bounded (one row per ISO code) and broadcast; the target's
     own rate is a scalar subquery over the same table, so no second join is needed."""
     spark = df.sparkSession
-    rates = rates if rates is not None else fx_rates_dim(spark)
+    if rates is None:
+        rates = fx_rates_dim(spark)                      # fixed 129 rows
+    else:
+        _check_rate_table(rates)
     r = F.broadcast(rates.select(F.upper("currency").alias("_rc"), F.col("per_usd").alias("_from")))
     to_rate = (rates.filter(F.upper("currency") == target.upper())
                .agg(F.max("per_usd").alias("per_usd")).scalar())

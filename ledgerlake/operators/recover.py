@@ -53,23 +53,35 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
     amounts = F.filter(cells, lambda v: ~looks_like_date(v) & looks_like_amount(v))
     descs = F.filter(cells, lambda v: ~looks_like_date(v) & ~looks_like_amount(v) & looks_like_description(v))
     p3_desc = F.trim(F.regexp_replace(F.regexp_replace(row_text, LOOKS_LIKE_DATE, ""), EXTRACT_AMOUNT, ""))
-    s1 = raw.select(
-        *lineage, *[F.col(c) for c in cols],
-        F.trim(col["date"]).alias("_d1"), col["amount"].alias("_a1"), F.trim(col["description"]).alias("_s1"),
-        fold["d"].alias("_d2"), fold["a"].alias("_a2"), fold["s"].alias("_s2"),
-        F.nullif(F.regexp_extract(row_text, f"({LOOKS_LIKE_DATE})", 1), F.lit("")).alias("_d3"),
-        F.nullif(F.regexp_extract(row_text, f"({EXTRACT_AMOUNT})", 1), F.lit("")).alias("_a3"),
-        F.when(p3_desc == "", F.lit(UNKNOWN)).otherwise(p3_desc).alias("_s3"),
-        F.get(dates, 0).alias("_d4"), F.get(amounts, 0).alias("_a4"),
-        F.coalesce(F.get(descs, 0), F.lit(UNKNOWN)).alias("_s4"),
-        F.coalesce(F.nullif(F.regexp_extract(row_text, f"({EMERGENCY_DATE})", 1), F.lit("")),
+    # P1 first: most rows are well formed, and the other strategies (higher-order functions,
+    # which run interpreted) are only evaluated for rows P1 could not parse.
+    s0 = raw.select(*lineage, *[F.col(c) for c in cols],
+                    F.trim(col["date"]).alias("_d1"), col["amount"].alias("_a1"),
+                    F.trim(col["description"]).alias("_s1"))
+    s0 = with_date(s0, "_d1", "_pd1", defensive=True)
+    s0 = with_amount(s0, "_a1", "_pa1", defensive=True)
+    ok1 = (_present(F.col("_d1")) & _present(F.col("_s1")) & _present(F.col("_a1"))
+           & F.col("_pd1").isNotNull() & F.col("_pa1.amount").isNotNull())
+    s0 = s0.withColumn("_ok1", ok1)
+    lazy = lambda e: F.when(~F.col("_ok1"), e)
+    s1 = s0.select("*", lazy(fold).alias("_fold"), lazy(dates).alias("_dates"), lazy(amounts).alias("_amts"),
+                   lazy(descs).alias("_descs"), lazy(row_text).alias("_row"), lazy(p3_desc).alias("_p3"))
+    s1 = s1.select(
+        "*",
+        F.col("_fold.d").alias("_d2"), F.col("_fold.a").alias("_a2"), F.col("_fold.s").alias("_s2"),
+        F.nullif(F.regexp_extract(F.col("_row"), f"({LOOKS_LIKE_DATE})", 1), F.lit("")).alias("_d3"),
+        F.nullif(F.regexp_extract(F.col("_row"), f"({EXTRACT_AMOUNT})", 1), F.lit("")).alias("_a3"),
+        F.when(F.col("_p3") == "", F.lit(UNKNOWN)).otherwise(F.col("_p3")).alias("_s3"),
+        F.get(F.col("_dates"), 0).alias("_d4"), F.get(F.col("_amts"), 0).alias("_a4"),
+        F.coalesce(F.get(F.col("_descs"), 0), F.lit(UNKNOWN)).alias("_s4"),
+        F.coalesce(F.nullif(F.regexp_extract(F.col("_row"), f"({EMERGENCY_DATE})", 1), F.lit("")),
                    F.lit(as_of)).alias("_d5"),
-        F.nullif(F.regexp_extract(row_text, f"({EMERGENCY_AMOUNT})", 1), F.lit("")).alias("_a5"),
+        F.nullif(F.regexp_extract(F.col("_row"), f"({EMERGENCY_AMOUNT})", 1), F.lit("")).alias("_a5"),
     )
-    # --- stage 2 / 3: parse candidates ---------------------------------------------------
-    for i in (1, 2, 3, 4):
+    # --- stage 2 / 3: parse the remaining candidates (NULL for rows P1 already parsed) -------
+    for i in (2, 3, 4):
         s1 = with_date(s1, f"_d{i}", f"_pd{i}", defensive=True)
-    for i in (1, 2, 3, 4, 5):
+    for i in (2, 3, 4, 5):
         s1 = with_amount(s1, f"_a{i}", f"_pa{i}", defensive=True)
 
     # --- stage 4: one struct per strategy, first success wins ----------------------------
@@ -89,9 +101,7 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
     c1 = F.coalesce(F.nullif(F.lower(F.trim(col["category"])), F.lit("")), F.lit("other"))
     other = F.lit("other")
     cands = [
-        result("standard_parsing", 0.9, iso(F.col("_pd1")), F.col("_s1"), pa[1], t1, c1,
-               _present(F.col("_d1")) & _present(F.col("_s1")) & _present(F.col("_a1"))
-               & F.col("_pd1").isNotNull() & pa[1]["amount"].isNotNull()),
+        result("standard_parsing", 0.9, iso(F.col("_pd1")), F.col("_s1"), pa[1], t1, c1, F.col("_ok1")),
         result("fuzzy_column_matching", 0.7, iso(F.col("_pd2")), F.col("_s2"), pa[2], by_sign(pa[2]), other,
                F.col("_d2").isNotNull() & F.col("_a2").isNotNull() & F.col("_s2").isNotNull()
                & F.col("_pd2").isNotNull() & pa[2]["amount"].isNotNull()),

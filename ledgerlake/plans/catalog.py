@@ -292,13 +292,13 @@ def q_rule_categorize(spark, sf_dir):
 
 @query("ml_categorize")
 def q_ml_categorize(spark, sf_dir):
-    return G.ml_scores(_texts(spark, sf_dir), G.train(spark), "desc")
+    return G.ml_scores(_texts(spark, sf_dir), G.default_model(spark), "desc")
 
 
 @query("hybrid_categorize")
 def q_hybrid_categorize(spark, sf_dir):
     good, _ = ST.split(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
-    c = G.categorize(good, G.train(spark))
+    c = G.categorize(good, G.default_model(spark))
     return c.select("txn_id", "account_id", "description", "category", F.round("confidence_score", 3).alias("confidence"))
 
 
