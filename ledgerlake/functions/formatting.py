@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake.dims import LOCALE_FORMATS, report_formats
+from ledgerlake.functions.literals import map_of_structs
 
 
 def _map(pairs) -> Column:
@@ -25,17 +26,25 @@ def _fmt_number_var(x: Column, decimals: Column, choices=(0, 2, 3, 6, 8)) -> Col
     return out.otherwise(F.format_number(x, 2))
 
 
-def format_currency_report(amount: Column, currency: Column) -> Column:
+def _info_map(rows, fields) -> Column:
+    """One literal MAP<code, STRUCT<fields>> (a single lookup per row for all attributes)."""
+    return map_of_structs(rows, fields)
+
+
+def report_format_info(currency: Column) -> Column:
+    """STRUCT<symbol, position, decimals> of the report style, NULL for unknown codes. Compute
+    it once per row (as a column) when several amounts of the row are formatted."""
+    return F.element_at(_info_map(report_formats(), ("symbol", "position", "decimals")), currency)
+
+
+def format_currency_report(amount: Column, currency: Column, info: Column | None = None) -> Column:
     """Report style (F11): ',' grouping, the sign stays after a leading symbol ('$-5.00');
-    unknown codes print as '1,234.50 XYZ'."""
-    rows = report_formats()
-    sym = F.element_at(_map([(c, s) for c, s, _, _ in rows]), currency)
-    pos = F.element_at(_map([(c, p) for c, _, p, _ in rows]), currency)
-    dec = F.element_at(_map([(c, d) for c, _, _, d in rows]), currency)
-    num = _fmt_number_var(amount, dec)
-    return (F.when(sym.isNull(), F.concat(F.format_number(amount, 2), F.lit(" "), currency))
-             .when(pos == "before", F.concat(sym, num))
-             .otherwise(F.concat(num, F.lit(" "), sym)))
+    unknown codes print as '1,234.50 XYZ'. ``info``: a precomputed :func:`report_format_info`."""
+    info = info if info is not None else report_format_info(currency)
+    num = _fmt_number_var(amount, info["decimals"])
+    return (F.when(info.isNull(), F.concat(F.format_number(amount, 2), F.lit(" "), currency))
+             .when(info["position"] == "before", F.concat(info["symbol"], num))
+             .otherwise(F.concat(num, F.lit(" "), info["symbol"])))
 
 
 def format_currency_locale(amount: Column, currency: Column) -> Column:
@@ -44,22 +53,15 @@ def format_currency_locale(amount: Column, currency: Column) -> Column:
     Quirk kept: with decimals > 0 and ',' as thousands separator no grouping is applied;
     zero-decimal currencies are truncated (int()) and grouped.
     """
-    codes = [r[0] for r in LOCALE_FORMATS]
-    cur = F.when(currency.isin(codes), currency).otherwise(F.lit("USD"))
-    sym = F.element_at(_map([(r[0], r[1]) for r in LOCALE_FORMATS]), cur)
-    pos = F.element_at(_map([(r[0], r[2]) for r in LOCALE_FORMATS]), cur)
-    dec = F.element_at(_map([(r[0], r[3]) for r in LOCALE_FORMATS]), cur)
-    tsep = F.element_at(_map([(r[0], r[4]) for r in LOCALE_FORMATS]), cur)
-    dsep = F.element_at(_map([(r[0], r[5]) for r in LOCALE_FORMATS]), cur)
+    m = _info_map(LOCALE_FORMATS, ("symbol", "position", "decimals", "tsep", "dsep"))
+    info = F.coalesce(F.element_at(m, currency), F.element_at(m, F.lit("USD")))
+    sym, pos, dec, tsep, dsep = (info[k] for k in ("symbol", "position", "decimals", "tsep", "dsep"))
     a = F.abs(amount)
     # zero decimals: int(abs) grouped with ',' then ',' -> thousands separator
     zero_dec = F.replace(F.format_number(F.floor(a), 0), F.lit(","), tsep)
     # fixed decimals without grouping: format_number groups, so strip its commas again
-    plain = None
-    for d in (2, 8):
-        txt = F.replace(F.format_number(a, d), F.lit(","), F.lit(""))
-        plain = F.when(dec == d, txt) if plain is None else plain.when(dec == d, txt)
-    plain = plain.otherwise(F.replace(F.format_number(a, 2), F.lit(","), F.lit("")))
+    plain = (F.when(dec == 8, F.replace(F.format_number(a, 8), F.lit(","), F.lit("")))
+              .otherwise(F.replace(F.format_number(a, 2), F.lit(","), F.lit(""))))
     int_part = F.substring_index(plain, ".", 1)
     frac_part = F.substring_index(plain, ".", -1)
     grouped_int = F.replace(F.format_number(int_part.cast("decimal(38,0)"), 0), F.lit(","), tsep)

@@ -88,14 +88,22 @@ def parse_date_defensive(c: Column) -> Column:
     return parse_date_normalized(F.trim(c), formats=DEFENSIVE_DATE_FORMATS)
 
 
-def with_date(df, src: str, out: str, as_of: Column | None = None, defensive: bool = False):
-    """Add ``out`` = parsed ``src`` in two projections: the normalised text is a column of its
-    own, so the 15 format attempts read it instead of re-evaluating 12 regex replacements each
-    (Catalyst keeps the projections apart because the text is referenced many times)."""
-    tmp = f"_{out}_txt"
-    staged = df.withColumn(tmp, F.trim(F.col(src)) if defensive else normalize_date_text(F.col(src)))
+def with_dates(df, pairs: dict[str, str], as_of: Column | None = None, defensive: bool = False):
+    """Add one parsed DATE column per ``{out: src}`` in two projections: the normalised texts
+    are columns of their own, so the format attempts read them instead of re-evaluating the
+    month-name replacements (Catalyst keeps the projections apart because each text is
+    referenced many times), and all columns share the same two projections (one analysis)."""
     fmts = DEFENSIVE_DATE_FORMATS if defensive else None
-    return staged.withColumn(out, parse_date_normalized(F.col(tmp), as_of, fmts)).drop(tmp)
+    tmp = {out: f"_{out}_txt" for out in pairs}
+    staged = df.select("*", *[(F.trim(F.col(src)) if defensive else normalize_date_text(F.col(src))).alias(tmp[o])
+                              for o, src in pairs.items()])
+    staged = staged.select("*", *[parse_date_normalized(F.col(tmp[o]), as_of, fmts).alias(o) for o in pairs])
+    return staged.drop(*tmp.values())
+
+
+def with_date(df, src: str, out: str, as_of: Column | None = None, defensive: bool = False):
+    """Single-column :func:`with_dates`."""
+    return with_dates(df, {out: src}, as_of, defensive)
 
 
 def _literal(pattern: str) -> str | None:
@@ -182,30 +190,48 @@ def parse_amount(c: Column) -> Column:
     return F.struct(amount.alias("amount"), currency.alias("currency"))
 
 
+def with_amounts(df, pairs: dict[str, str], defensive: bool = False):
+    """Add one STRUCT<amount, currency> per ``{out: src}`` (F5, or F6 if ``defensive``) in
+    staged projections shared by all columns: cleaned text (+ detected currency) →
+    separator-normalised text → value → struct. Each stage reads the previous one as a column,
+    so the generated code stays linear in the rule count."""
+    names = {o: {k: f"_{o}_{k}" for k in "cnvd"} for o in pairs}
+    st1 = []
+    for o, src in pairs.items():
+        st1.append(F.regexp_replace(F.trim(F.col(src)), r"[^0-9.,+\-]", "").alias(names[o]["c"]))
+        st1.append((defensive_currency(F.trim(F.col(src))) if defensive else detect_currency(F.col(src)))
+                   .alias(names[o]["d"]))
+    df = df.select("*", *st1)
+    df = df.select("*", *[_normalise_separators(F.col(names[o]["c"]), zero_digits_is_decimal=defensive)
+                          .alias(names[o]["n"]) for o in pairs])
+    st3 = []
+    for o, src in pairs.items():
+        n = F.col(names[o]["n"])
+        if defensive:
+            st3.append(F.when(~_blank(F.col(src)) & n.rlike(_SIGNED_NUMBER), n.try_cast("double")).alias(names[o]["v"]))
+        else:
+            digits = F.regexp_replace(n, r"[+\-]", "")
+            st3.append(F.when(digits.rlike(_NUMBER), digits.try_cast("double")).alias(names[o]["v"]))
+    df = df.select("*", *st3)
+    outs = []
+    for o, src in pairs.items():
+        c, n, v, d = (F.col(names[o][k]) for k in "cnvd")
+        blank = _blank(F.col(src))
+        if defensive:
+            outs.append(F.struct(v.alias("amount"), d.alias("currency")).alias(o))
+            continue
+        signed = F.when(n.startswith("-"), -v).otherwise(v)
+        in_range = ~((F.abs(signed) > 1e9) | ((F.abs(signed) < 1e-6) & (signed != 0)))
+        amount = F.when(~blank & in_range, signed)
+        currency = (F.when(blank, F.lit("USD")).when(c == "", d).when(v.isNull(), F.lit("USD")).otherwise(d))
+        outs.append(F.struct(amount.alias("amount"), currency.alias("currency")).alias(o))
+    df = df.select("*", *outs)
+    return df.drop(*[x for o in pairs for x in names[o].values()])
+
+
 def with_amount(df, src: str, out: str, defensive: bool = False):
-    """Add ``out`` = STRUCT<amount, currency> parsed from ``src`` (F5, or F6 if ``defensive``)
-    in staged projections: cleaned text → separator-normalised text → value. Each stage reads
-    the previous one as a column, so the generated code stays linear in the rule count."""
-    c, n, v, d = f"_{out}_c", f"_{out}_n", f"_{out}_v", f"_{out}_d"
-    t = F.trim(F.col(src))
-    df = df.withColumn(c, F.regexp_replace(t, r"[^0-9.,+\-]", ""))
-    if not defensive:
-        df = df.withColumn(d, detect_currency(F.col(src)))
-    df = df.withColumn(n, _normalise_separators(F.col(c), zero_digits_is_decimal=defensive))
-    blank = _blank(F.col(src))
-    if defensive:
-        df = df.withColumn(v, F.when(~blank & F.col(n).rlike(_SIGNED_NUMBER), F.col(n).try_cast("double")))
-        return df.withColumn(out, F.struct(F.col(v).alias("amount"),
-                                           defensive_currency(t).alias("currency"))).drop(c, n, v)
-    digits = F.regexp_replace(F.col(n), r"[+\-]", "")
-    df = df.withColumn(v, F.when(digits.rlike(_NUMBER), digits.try_cast("double")))
-    value, neg = F.col(v), F.col(n).startswith("-")
-    signed = F.when(neg, -value).otherwise(value)
-    in_range = ~((F.abs(signed) > 1e9) | ((F.abs(signed) < 1e-6) & (signed != 0)))
-    amount = F.when(~blank & in_range, signed)
-    currency = (F.when(blank, F.lit("USD")).when(F.col(c) == "", F.col(d))
-                 .when(value.isNull(), F.lit("USD")).otherwise(F.col(d)))
-    return df.withColumn(out, F.struct(amount.alias("amount"), currency.alias("currency"))).drop(c, n, v, d)
+    """Single-column :func:`with_amounts`."""
+    return with_amounts(df, {out: src}, defensive)
 
 
 def defensive_currency(c: Column) -> Column:

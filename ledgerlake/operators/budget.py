@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.dims import BUDGET_SHARES
-from ledgerlake.functions.formatting import format_currency_report, percent_text
+from ledgerlake.functions.formatting import format_currency_report, percent_text, report_format_info
 from ledgerlake.operators.spending import MONEY, _k, month_label, msum, primary_currency_volume
 
 SAVINGS_TARGET = 0.8     # total expenses should stay under 80 % of income
@@ -66,7 +66,8 @@ def recommendations(df: DataFrame, keys=None, primary_currency: str | None = Non
     entries = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("category_ord"),
                                  F.lit(s).alias("share"), F.col(f"_c{i}").alias("current"))
                         for i, (c, s) in enumerate(BUDGET_SHARES)])
-    rows = inp.select(*k, "monthly_income", "total_current", "currency", F.inline(entries))
+    rows = inp.select(*k, "monthly_income", "total_current", "currency",
+                      report_format_info(F.col("currency")).alias("_fmt"), F.inline(entries))
     rec = F.col("monthly_income") * F.col("share")
     cur = F.col("current")
     return rows.select(
@@ -75,13 +76,14 @@ def recommendations(df: DataFrame, keys=None, primary_currency: str | None = Non
         F.round(cur, 2).alias("current"),
         F.round(rec - cur, 2).alias("difference"),
         F.round(F.col("share") * 100, 1).alias("percentage_of_income"),
-        format_currency_report(rec, F.col("currency")).alias("formatted_recommended"),
-        format_currency_report(cur, F.col("currency")).alias("formatted_current"),
-        format_currency_report(rec - cur, F.col("currency")).alias("formatted_difference"),
+        format_currency_report(rec, F.col("currency"), F.col("_fmt")).alias("formatted_recommended"),
+        format_currency_report(cur, F.col("currency"), F.col("_fmt")).alias("formatted_current"),
+        format_currency_report(rec - cur, F.col("currency"), F.col("_fmt")).alias("formatted_difference"),
         F.col("currency"),
         F.when(cur <= rec, F.lit("Under Budget")).otherwise(F.lit("Over Budget")).alias("status"),
         (rec).alias("_rec"), (cur).alias("_cur"),
         F.col("monthly_income").alias("_income"), F.col("total_current").alias("_total"),
+        F.col("_fmt"),
     )
 
 
@@ -102,16 +104,16 @@ def alerts(rec: DataFrame, keys=None) -> DataFrame:
     sav = F.col("_cur") - F.col("_rec")
     cat = (rec.filter((F.col("_cur") > F.col("_rec")) & (sav > F.col("_rec") * ALERT_OVER))
            .select(*k, F.col("category"),
-                   F.concat(F.lit("You are spending "), format_currency_report(sav, F.col("currency")),
+                   F.concat(F.lit("You are spending "), format_currency_report(sav, F.col("currency"), F.col("_fmt")),
                             F.lit(" more than recommended in "), F.col("category")).alias("message"),
                    F.when(sav > F.col("_rec") * ALERT_HIGH, F.lit("high")).otherwise(F.lit("medium")).alias("severity")))
-    per_key = rec.filter(F.col("category_ord") == 0).select(*k, "_income", "_total", "currency")
+    per_key = rec.filter(F.col("category_ord") == 0).select(*k, "_income", "_total", "currency", "_fmt")
     overall = (per_key.filter(F.col("_total") > F.col("_income") * SAVINGS_TARGET)
                .select(*k, F.lit("overall").alias("category"),
                        F.concat(F.lit("Your total spending ("),
-                                format_currency_report(F.col("_total"), F.col("currency")),
+                                format_currency_report(F.col("_total"), F.col("currency"), F.col("_fmt")),
                                 F.lit(") exceeds the recommended budget ("),
-                                format_currency_report(F.col("_income") * SAVINGS_TARGET, F.col("currency")),
+                                format_currency_report(F.col("_income") * SAVINGS_TARGET, F.col("currency"), F.col("_fmt")),
                                 F.lit(")")).alias("message"),
                        F.lit("high").alias("severity")))
     rate = (F.col("_income") - F.col("_total")) / F.col("_income")

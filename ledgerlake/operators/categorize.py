@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.literals import array_of, array_of_structs
 from ledgerlake.dims import (CATEGORY_KEYWORDS, CATEGORY_PATTERNS, TFIDF_STOP_WORDS_IN_DICTIONARY,
                              keyword_dim)
 
@@ -145,12 +146,12 @@ def rule_tokens(text: Column, stop_words: list[str]) -> Column:
     """Word tokens with punctuation split off; stop words and tokens ≤ 2 chars removed."""
     spaced = F.regexp_replace(text, RULE_SPLIT, " $1 ")
     toks = F.split(F.trim(spaced), r"\s+")
-    stop = F.array(*[F.lit(w) for w in stop_words])
+    stop = array_of(stop_words)
     return F.filter(toks, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
 
 
 def _category_score(d: Column, toks: Column, keywords: list[str], pattern: str | None) -> Column:
-    kws = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(len(k.split())).alias("n")) for k in keywords])
+    kws = array_of_structs([(k, len(k.split())) for k in keywords], ("k", "n"))
 
     def per_kw(acc, kw):
         whole = (F.when(kw["k"] == d, F.lit(3.0))
@@ -218,13 +219,19 @@ def classify_texts(texts: DataFrame, model: NBModel | None = None, text: str = "
                        b["category"].alias("category"), b["confidence"].alias("confidence"))
 
 
-def categorize(df: DataFrame, model: NBModel | None = None, only_missing: bool = True) -> DataFrame:
+def categorize(df: DataFrame, model: NBModel | None = None, only_missing: bool = True,
+               texts_from: DataFrame | None = None) -> DataFrame:
     """Rows whose category is empty / 'other' (or all rows) get the blended category and
-    its confidence; other rows keep theirs. Classification runs on distinct descriptions."""
+    its confidence; other rows keep theirs. Classification runs on distinct descriptions.
+
+    ``texts_from``: a cheaper frame with the same description/category columns to take the
+    distinct texts from (e.g. the parsed statements before the quarantine split, so that branch
+    prunes the date/amount parsing); classifying a superset of the texts is harmless."""
     key = F.lower(F.trim(F.col("description")))
     need = (F.coalesce(F.col("category"), F.lit("")).isin("", "other")) if only_missing else F.lit(True)
     marked = df.withColumn("_need", need).withColumn("_desc", key)
-    texts = marked.filter("_need").select(F.col("_desc").alias("desc")).distinct()
+    src = texts_from if texts_from is not None else df
+    texts = src.filter(need).select(key.alias("desc")).distinct()
     scored = classify_texts(texts, model, "desc").select(
         F.col("desc").alias("_desc"), F.col("category").alias("_cat"), F.col("confidence").alias("_conf"))
     joined = marked.join(scored, "_desc", "left")

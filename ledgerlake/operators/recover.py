@@ -1,10 +1,12 @@
 """Five-strategy row recovery for damaged statement rows (P1–P7), as column expressions.
 
 Stage 1 picks, for every strategy, the candidate date / amount / description texts of a row
-(the cell array, the joined row text); stage 2 parses the candidate dates, stage 3 the
-candidate amounts (staged so each parse reads a plain column); stage 4 assembles one nullable
-STRUCT per strategy and ``coalesce`` returns the first success in strategy order (P6). All of
-it is one narrow projection chain: no shuffle, no UDF.
+(per-cell kinds, the content fold unrolled over the statement's columns, the joined row text);
+stage 2 parses the candidate dates, stage 3 the candidate amounts (staged so each parse reads a
+plain column); stage 4 assembles one nullable STRUCT per strategy and ``coalesce`` returns the
+first success in strategy order (P6). One narrow projection chain: no shuffle, no UDF and no
+higher-order function, so all of it is code-generated; strategies 2–5 are only evaluated for
+rows the standard parse rejects.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.dims import EMERGENCY_AMOUNT, EMERGENCY_DATE, EXTRACT_AMOUNT, LOOKS_LIKE_DATE
 from ledgerlake.functions.parsing import (looks_like_amount, looks_like_date, looks_like_description,
-                                          with_amount, with_date)
+                                          with_amounts, with_dates)
 
 STATEMENT_COLUMNS = ["date", "description", "amount", "type", "category"]
 STRATEGIES = [("standard_parsing", 0.9), ("fuzzy_column_matching", 0.7),
@@ -35,54 +37,59 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
     lineage = [c for c in raw.columns if c not in cols]
     col = {c: (F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string"))
            for c in STATEMENT_COLUMNS}
-    cells = F.array(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in cols])
     row_text = F.concat_ws(" ", *[F.col(c).cast("string") for c in cols])
-
-    # --- stage 1: candidates -----------------------------------------------------------
-    init = F.struct(F.lit(None).cast("string").alias("d"), F.lit(None).cast("string").alias("a"),
-                    F.lit(None).cast("string").alias("s"))
-
-    def step(acc, v):
-        return (F.when(looks_like_date(v) & acc["d"].isNull(), F.struct(v.alias("d"), acc["a"].alias("a"), acc["s"].alias("s")))
-                 .when(looks_like_amount(v) & acc["a"].isNull(), F.struct(acc["d"].alias("d"), v.alias("a"), acc["s"].alias("s")))
-                 .when(looks_like_description(v) & acc["s"].isNull(), F.struct(acc["d"].alias("d"), acc["a"].alias("a"), v.alias("s")))
-                 .otherwise(acc))
-
-    fold = F.aggregate(cells, init, step)
-    dates = F.filter(cells, lambda v: looks_like_date(v))
-    amounts = F.filter(cells, lambda v: ~looks_like_date(v) & looks_like_amount(v))
-    descs = F.filter(cells, lambda v: ~looks_like_date(v) & ~looks_like_amount(v) & looks_like_description(v))
     p3_desc = F.trim(F.regexp_replace(F.regexp_replace(row_text, LOOKS_LIKE_DATE, ""), EXTRACT_AMOUNT, ""))
-    # P1 first: most rows are well formed, and the other strategies (higher-order functions,
-    # which run interpreted) are only evaluated for rows P1 could not parse.
+
+    # --- stage 1: P1, then candidates of the other strategies ---------------------------
+    # Most rows are well formed; every later candidate is wrapped in ``CASE WHEN NOT _ok1``
+    # so it is only evaluated for rows the standard parse rejects.
     s0 = raw.select(*lineage, *[F.col(c) for c in cols],
                     F.trim(col["date"]).alias("_d1"), col["amount"].alias("_a1"),
                     F.trim(col["description"]).alias("_s1"))
-    s0 = with_date(s0, "_d1", "_pd1", defensive=True)
-    s0 = with_amount(s0, "_a1", "_pa1", defensive=True)
+    s0 = with_dates(s0, {"_pd1": "_d1"}, defensive=True)
+    s0 = with_amounts(s0, {"_pa1": "_a1"}, defensive=True)
     ok1 = (_present(F.col("_d1")) & _present(F.col("_s1")) & _present(F.col("_a1"))
            & F.col("_pd1").isNotNull() & F.col("_pa1.amount").isNotNull())
     s0 = s0.withColumn("_ok1", ok1)
     lazy = lambda e: F.when(~F.col("_ok1"), e)
-    s1 = s0.select("*", lazy(fold).alias("_fold"), lazy(dates).alias("_dates"), lazy(amounts).alias("_amts"),
-                   lazy(descs).alias("_descs"), lazy(row_text).alias("_row"), lazy(p3_desc).alias("_p3"))
+    # cell kinds once per cell (a statement has a fixed, small set of columns)
+    kinds = []
+    for i, c in enumerate(cols):
+        v = F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+        kinds += [lazy(v).alias(f"_v{i}"), lazy(looks_like_date(v)).alias(f"_isd{i}"),
+                  lazy(looks_like_amount(v)).alias(f"_isa{i}"), lazy(looks_like_description(v)).alias(f"_iss{i}")]
+    s1 = s0.select("*", *kinds, lazy(row_text).alias("_row"), lazy(p3_desc).alias("_p3"))
+    # The content fold unrolled over the cells; state (date, amount, description) and the
+    # elif order of the tests per cell (a second date-like cell falls through to the amount test)
+    d = a = t = F.lit(None).cast("string")
+    for i in range(len(cols)):
+        v, isd, isa, iss = (F.col(f"_{k}{i}") for k in ("v", "isd", "isa", "iss"))
+        take_d = isd & d.isNull()
+        take_a = ~take_d & isa & a.isNull()
+        take_s = ~take_d & ~take_a & iss & t.isNull()
+        s1 = s1.select("*", F.when(take_d, v).otherwise(d).alias(f"_fd{i}"),
+                       F.when(take_a, v).otherwise(a).alias(f"_fa{i}"),
+                       F.when(take_s, v).otherwise(t).alias(f"_fs{i}"))
+        d, a, t = F.col(f"_fd{i}"), F.col(f"_fa{i}"), F.col(f"_fs{i}")
+    # First cell of each kind in the same elif order
+    first = lambda cond: F.coalesce(*[F.when(cond(i), F.col(f"_v{i}")) for i in range(len(cols))])
     s1 = s1.select(
         "*",
-        F.col("_fold.d").alias("_d2"), F.col("_fold.a").alias("_a2"), F.col("_fold.s").alias("_s2"),
+        d.alias("_d2"), a.alias("_a2"), t.alias("_s2"),
         F.nullif(F.regexp_extract(F.col("_row"), f"({LOOKS_LIKE_DATE})", 1), F.lit("")).alias("_d3"),
         F.nullif(F.regexp_extract(F.col("_row"), f"({EXTRACT_AMOUNT})", 1), F.lit("")).alias("_a3"),
         F.when(F.col("_p3") == "", F.lit(UNKNOWN)).otherwise(F.col("_p3")).alias("_s3"),
-        F.get(F.col("_dates"), 0).alias("_d4"), F.get(F.col("_amts"), 0).alias("_a4"),
-        F.coalesce(F.get(F.col("_descs"), 0), F.lit(UNKNOWN)).alias("_s4"),
+        first(lambda i: F.col(f"_isd{i}")).alias("_d4"),
+        first(lambda i: ~F.col(f"_isd{i}") & F.col(f"_isa{i}")).alias("_a4"),
+        F.coalesce(first(lambda i: ~F.col(f"_isd{i}") & ~F.col(f"_isa{i}") & F.col(f"_iss{i}")),
+                   F.lit(UNKNOWN)).alias("_s4"),
         F.coalesce(F.nullif(F.regexp_extract(F.col("_row"), f"({EMERGENCY_DATE})", 1), F.lit("")),
                    F.lit(as_of)).alias("_d5"),
         F.nullif(F.regexp_extract(F.col("_row"), f"({EMERGENCY_AMOUNT})", 1), F.lit("")).alias("_a5"),
     )
     # --- stage 2 / 3: parse the remaining candidates (NULL for rows P1 already parsed) -------
-    for i in (2, 3, 4):
-        s1 = with_date(s1, f"_d{i}", f"_pd{i}", defensive=True)
-    for i in (2, 3, 4, 5):
-        s1 = with_amount(s1, f"_a{i}", f"_pa{i}", defensive=True)
+    s1 = with_dates(s1, {f"_pd{i}": f"_d{i}" for i in (2, 3, 4)}, defensive=True)
+    s1 = with_amounts(s1, {f"_pa{i}": f"_a{i}" for i in (2, 3, 4, 5)}, defensive=True)
 
     # --- stage 4: one struct per strategy, first success wins ----------------------------
     def result(name, conf, date_c, desc, amt_struct, typ, cat, ok):

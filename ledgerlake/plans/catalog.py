@@ -297,8 +297,9 @@ def q_ml_categorize(spark, sf_dir):
 
 @query("hybrid_categorize")
 def q_hybrid_categorize(spark, sf_dir):
-    good, _ = ST.split(ST.parse_statements(_messy(spark, sf_dir), AS_OF))
-    c = G.categorize(good, G.default_model(spark))
+    parsed = ST.parse_statements(_messy(spark, sf_dir), AS_OF)
+    good, _ = ST.split(parsed)
+    c = G.categorize(good, G.default_model(spark), texts_from=parsed)
     return c.select("txn_id", "account_id", "description", "category", F.round("confidence_score", 3).alias("confidence"))
 
 

@@ -18,6 +18,12 @@ SESSION_CONF = {
 }
 
 
+# JVM option for clusters too (spark-submit --conf spark.executor.extraJavaOptions=...): HotSpot
+# does not JIT-compile methods above 8 KB of bytecode, which whole-stage codegen of the wide
+# parse / format projections exceeds.
+JIT_OPTS = "-XX:-DontCompileHugeMethods"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerlake") -> SparkSession:
     """Build (or reuse) a session. On a cluster ``master`` stays None and the launcher decides."""
@@ -26,6 +32,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
         builder = builder.config("spark.ui.showConsoleProgress", "false")
+        # generated parse/format code is large: let the JIT compile methods > 8 KB bytecode
+        builder = builder.config("spark.driver.extraJavaOptions", JIT_OPTS)
+        builder = builder.config("spark.executor.extraJavaOptions", JIT_OPTS)
         builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLAKE_DRIVER_MEM", "16g"))
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
