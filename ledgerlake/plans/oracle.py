@@ -552,3 +552,100 @@ FROM (SELECT DISTINCT ON (event_id) * FROM events WHERE event_type IN ('purchase
 GROUP BY 1, 2""")
 
 q("orphan_transactions", "SELECT txn_id, account_id FROM t WHERE account_id NOT IN (SELECT c_custkey FROM customer)")
+
+
+# ---- row recovery cascade (P1–P7) -----------------------------------------------------
+
+_DATE_PAT = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}"
+_AMT_PAT = r"[€$₹£¥₽₱₩]?\d+[.,]\d{2}"
+
+
+def _is_date(v):
+    return f"regexp_matches({v}, '^({_DATE_PAT})')"
+
+
+def _is_amount(v):
+    return f"regexp_matches({v}, '^([€$₹£¥₽₱₩]\\d+|\\d+\\.\\d{{2}}|\\d+,\\d{{2}}|\\d+)')"
+
+
+def _is_desc(v):
+    return f"(length({v}) > 3 AND regexp_matches({v}, '[a-zA-Z]') AND NOT regexp_matches({v}, '^\\d+$'))"
+
+
+def _def_amount(src):
+    blank = f"({src} IS NULL OR trim({src}) = '' OR lower(trim({src})) = 'nan')"
+    clean = f"regexp_replace(trim({src}), '[^0-9.,+\\-]', '', 'g')"
+    norm = _norm_sql(clean, 0)
+    val = (f"CASE WHEN {blank} THEN NULL WHEN regexp_full_match({norm}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') "
+           f"THEN TRY_CAST({norm} AS DOUBLE) END")
+    return val, _defensive_currency_sql(f"trim({src})")
+
+
+def _def_date(src):
+    return _date_sql(f"trim({src})", DATE_FORMATS[:9])
+
+
+_CELLS = ["date", "description", "amount", "type", "category"]
+_fold = []
+_d, _a, _s = "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"
+_prev = "rr0"
+for _i, _c in enumerate(_CELLS):
+    v = f"v{_i}"
+    td = f"({_is_date(v)} AND {_d} IS NULL)"
+    ta = f"(NOT {td} AND {_is_amount(v)} AND {_a} IS NULL)"
+    ts = f"(NOT {td} AND NOT {ta} AND {_is_desc(v)} AND {_s} IS NULL)"
+    _fold.append(f"rf{_i} AS (SELECT *, CASE WHEN {td} THEN {v} ELSE {_d} END AS fd{_i}, "
+                 f"CASE WHEN {ta} THEN {v} ELSE {_a} END AS fa{_i}, "
+                 f"CASE WHEN {ts} THEN {v} ELSE {_s} END AS fs{_i} FROM {_prev})")
+    _d, _a, _s, _prev = f"fd{_i}", f"fa{_i}", f"fs{_i}", f"rf{_i}"
+
+
+def _first(cond):
+    return "COALESCE(" + ", ".join(f"CASE WHEN {cond(i)} THEN v{i} END" for i in range(len(_CELLS))) + ")"
+
+
+_a_vals = {i: _def_amount(src) for i, src in
+           [(1, "amount"), (2, "fa4"), (3, "a3"), (4, "a4"), (5, "a5")]}
+_RECOVER = (RAW + ",\n" + "rr0 AS (SELECT txn_id, account_id, date, description, amount, type, category, "
+            + ", ".join(f"coalesce(trim({c}), '') AS v{i}" for i, c in enumerate(_CELLS))
+            + ", concat_ws(' ', date, description, amount, type, category) AS rowt FROM messy),\n"
+            + ",\n".join(_fold) + ",\n"
+            + f"""rc AS (SELECT *,
+   nullif(regexp_extract(rowt, '({_DATE_PAT})', 1), '') AS d3,
+   nullif(regexp_extract(rowt, '({_AMT_PAT})', 1), '') AS a3,
+   trim(regexp_replace(regexp_replace(rowt, '{_DATE_PAT}', '', 'g'), '{_AMT_PAT}', '', 'g')) AS s3raw,
+   {_first(lambda i: _is_date(f'v{i}'))} AS d4,
+   {_first(lambda i: f"NOT {_is_date(f'v{i}')} AND {_is_amount(f'v{i}')}")} AS a4,
+   {_first(lambda i: f"NOT {_is_date(f'v{i}')} AND NOT {_is_amount(f'v{i}')} AND {_is_desc(f'v{i}')}")} AS s4raw,
+   coalesce(nullif(regexp_extract(rowt, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''), '2024-06-30') AS d5,
+   nullif(regexp_extract(rowt, '(\\d+[.,]?\\d*)', 1), '') AS a5 FROM {_prev}),
+rp AS (SELECT *,
+   {_def_date('date')} AS pd1, {_def_date('fd4')} AS pd2, {_def_date('d3')} AS pd3, {_def_date('d4')} AS pd4,
+   {', '.join(f'{v} AS pa{i}, {c} AS pc{i}' for i, (v, c) in _a_vals.items())} FROM rc),
+rr AS (SELECT txn_id, account_id,
+   (date IS NOT NULL AND trim(date) <> '' AND description IS NOT NULL AND trim(description) <> ''
+    AND amount IS NOT NULL AND amount <> '' AND pd1 IS NOT NULL AND pa1 IS NOT NULL) AS ok1,
+   (fd4 IS NOT NULL AND fa4 IS NOT NULL AND fs4 IS NOT NULL AND pd2 IS NOT NULL AND pa2 IS NOT NULL) AS ok2,
+   (pd3 IS NOT NULL AND pa3 IS NOT NULL) AS ok3, (pd4 IS NOT NULL AND pa4 IS NOT NULL) AS ok4, (pa5 IS NOT NULL) AS ok5,
+   * EXCLUDE (txn_id, account_id) FROM rp)""")
+
+_BY_SIGN = lambda i: f"CASE WHEN pa{i} < 0 THEN 'debit' ELSE 'credit' END"
+q("recover_rows", f"""
+SELECT txn_id, account_id,
+  (ok1 OR ok2 OR ok3 OR ok4 OR ok5) AS success,
+  CASE WHEN ok1 THEN 'standard_parsing' WHEN ok2 THEN 'fuzzy_column_matching' WHEN ok3 THEN 'pattern_based_extraction'
+       WHEN ok4 THEN 'manual_field_detection' WHEN ok5 THEN 'emergency_fallback' ELSE 'all_failed' END AS strategy_used,
+  CASE WHEN ok1 THEN 0.9 WHEN ok2 THEN 0.7 WHEN ok3 THEN 0.6 WHEN ok4 THEN 0.5 WHEN ok5 THEN 0.2 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN ok1 THEN strftime(pd1, '%Y-%m-%d') WHEN ok2 THEN strftime(pd2, '%Y-%m-%d') WHEN ok3 THEN strftime(pd3, '%Y-%m-%d')
+       WHEN ok4 THEN strftime(pd4, '%Y-%m-%d') WHEN ok5 THEN d5 END AS date,
+  CASE WHEN ok1 THEN trim(description) WHEN ok2 THEN fs4
+       WHEN ok3 THEN (CASE WHEN s3raw = '' THEN 'Unknown transaction' ELSE s3raw END)
+       WHEN ok4 THEN coalesce(s4raw, 'Unknown transaction') WHEN ok5 THEN 'Unknown transaction' END AS description,
+  CASE WHEN ok1 THEN pa1 WHEN ok2 THEN pa2 WHEN ok3 THEN pa3 WHEN ok4 THEN pa4 WHEN ok5 THEN pa5 END AS amount,
+  CASE WHEN ok1 THEN pc1 WHEN ok2 THEN pc2 WHEN ok3 THEN pc3 WHEN ok4 THEN pc4 WHEN ok5 THEN pc5 END AS currency,
+  CASE WHEN ok1 THEN (CASE WHEN type IS NULL THEN {_BY_SIGN(1)}
+                           WHEN lower(type) IN ('debit', 'expense', 'withdrawal') THEN 'debit' ELSE 'credit' END)
+       WHEN ok2 THEN {_BY_SIGN(2)} WHEN ok3 THEN {_BY_SIGN(3)} WHEN ok4 THEN {_BY_SIGN(4)} WHEN ok5 THEN {_BY_SIGN(5)} END AS type,
+  CASE WHEN ok1 THEN coalesce(nullif(lower(trim(category)), ''), 'other')
+       WHEN ok2 OR ok3 OR ok4 OR ok5 THEN 'other' END AS category
+FROM rr""", _RECOVER)

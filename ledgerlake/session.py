@@ -18,12 +18,6 @@ SESSION_CONF = {
 }
 
 
-# JVM option for clusters too (spark-submit --conf spark.executor.extraJavaOptions=...): HotSpot
-# does not JIT-compile methods above 8 KB of bytecode, which whole-stage codegen of the wide
-# parse / format projections exceeds.
-JIT_OPTS = "-XX:-DontCompileHugeMethods"
-
-
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerlake") -> SparkSession:
     """Build (or reuse) a session. On a cluster ``master`` stays None and the launcher decides."""
@@ -32,9 +26,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
         builder = builder.config("spark.ui.showConsoleProgress", "false")
-        # generated parse/format code is large: let the JIT compile methods > 8 KB bytecode
-        builder = builder.config("spark.driver.extraJavaOptions", JIT_OPTS)
-        builder = builder.config("spark.executor.extraJavaOptions", JIT_OPTS)
         builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLAKE_DRIVER_MEM", "16g"))
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
@@ -54,17 +45,17 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    A fallback is only used where the setting is absent (tests, local runs).
+    Only when the session names none: an explicit ``fallback`` (tests), else a folder under the
+    session's warehouse directory — shared storage by definition, never a machine-local temp
+    folder. The choice is registered as the context's checkpoint directory.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        if d.startswith("file:"):
-            d = d[len("file:"):]
-        return d
-    if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder explicitly")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    if not d:
+        d = fallback or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ledgerlake_checkpoints"
+        spark.sparkContext.setCheckpointDir(d)
+    if d.startswith("file:"):
+        d = d[len("file:"):]
+    return d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -36,9 +36,10 @@ def read_text_minimal(spark: SparkSession, paths, columns: list[str]) -> DataFra
     """Naive comma split of text lines. Lines with fewer fields than the header are
     skipped; a non-numeric amount drops only that field (NULL); defaults 'uncategorized'/'USD'.
     ``columns`` is the lower-cased header (the first line of each file is dropped)."""
-    lines = spark.read.text(paths).withColumn("_f", F.col("_metadata.file_path"))
+    lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("_f"),
+                                          F.split(F.col("value"), ",").alias("_parts"))
     first = F.lower(F.trim(F.col("value"))).startswith(",".join(columns)[:4])
-    parts = F.split(F.col("value"), ",")
+    parts = F.col("_parts")
     body = lines.filter((F.trim("value") != "") & ~first & (F.size(parts) >= len(columns)))
     sel = []
     for i, c in enumerate(columns):
@@ -135,10 +136,12 @@ def read_corrupted_columns(spark: SparkSession, paths, sep: str = ",") -> DataFr
     lines = files.select("source_file", F.posexplode(F.split(F.col("value"), "\r?\n")).alias("line_no", "line")) \
                  .filter(F.trim("line") != "")
     # proper CSV field splitting (quotes, embedded separators): from_csv into a wide string row
+    # (parsed once into its own column: the 64 field references below read that column)
     parsed = F.from_csv(F.col("line"), ", ".join(f"c{i} STRING" for i in range(MAX_COLUMNS)), {"sep": sep})
     width = F.size(F.split(F.col("line"), sep))              # upper bound on the field count
-    cells = lines.withColumn("cells", F.slice(F.array(*[parsed[f"c{i}"] for i in range(MAX_COLUMNS)]), 1,
-                                              F.least(width, F.lit(MAX_COLUMNS))))
+    staged = lines.select("source_file", "line_no", "line", parsed.alias("_p"), width.alias("_w"))
+    cells = staged.select("source_file", "line_no", "line", F.slice(
+        F.array(*[F.col(f"_p.c{i}") for i in range(MAX_COLUMNS)]), 1, F.least(F.col("_w"), F.lit(MAX_COLUMNS))).alias("cells"))
     cells = cells.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
     is_header = (F.col("line_no") < 3) & (F.size(F.filter("cells", lambda c: c.rlike("[a-zA-Z]"))) >= 2)
     headers = (cells.filter(is_header).groupBy("source_file")
