@@ -649,3 +649,53 @@ SELECT txn_id, account_id,
   CASE WHEN ok1 THEN coalesce(nullif(lower(trim(category)), ''), 'other')
        WHEN ok2 OR ok3 OR ok4 OR ok5 THEN 'other' END AS category
 FROM rr""", _RECOVER)
+
+
+# ---- keyword-rule categoriser (G4, G5) -------------------------------------------------
+
+def _spark_english_stop_words() -> list[str]:
+    """The list ``StopWordsRemover.loadDefaultStopWords('english')`` reads (a resource of the
+    MLlib jar shipped with pyspark), read from the jar without starting a JVM."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
+
+
+def _rule_oracle() -> str:
+    from ledgerlake.dims import CATEGORY_KEYWORDS, CATEGORY_PATTERNS
+    stop = "[" + ", ".join(sql_str(w) for w in _spark_english_stop_words()) + "]"
+    cats = list(CATEGORY_KEYWORDS)
+    kw = ("(VALUES " + ", ".join(f"({i}, {sql_str(c)}, {sql_str(k)}, {len(k.split())})"
+                                 for i, c in enumerate(cats) for k in CATEGORY_KEYWORDS[c])
+          + ") kw(cat_ord, category, k, n)")
+    pats = ("(VALUES " + ", ".join(f"({i}, {sql_str(c)}, {sql_str('(?i)' + CATEGORY_PATTERNS[c])})"
+                                   for i, c in enumerate(cats)) + ") pt(cat_ord, category, pattern)")
+    return f"""
+SELECT "desc", CASE WHEN best > 0 THEN category ELSE 'other' END AS rule_category,
+       CASE WHEN best > 0 THEN least(best / 10.0, 1.0) ELSE 0.0 END AS rule_confidence
+FROM (SELECT "desc", category, score, max(score) OVER (PARTITION BY "desc") AS best,
+             row_number() OVER (PARTITION BY "desc" ORDER BY score DESC, cat_ord) AS rn
+      FROM (SELECT d."desc", pt.category, pt.cat_ord,
+                   coalesce(s.kw_score, 0.0) + CASE WHEN regexp_matches(d."desc", pt.pattern) THEN 2.0 ELSE 0.0 END AS score
+            FROM d CROSS JOIN {pats}
+            LEFT JOIN (SELECT d."desc", kw.cat_ord,
+                              sum(CASE WHEN kw.k = d."desc" THEN 3.0 WHEN contains(d."desc", kw.k) THEN 1.5 * kw.n ELSE 0.0 END
+                                  + coalesce(list_sum(list_transform(d.toks, lambda t: CASE WHEN kw.k = t THEN 2.0
+                                        WHEN contains(t, kw.k) OR contains(kw.k, t) THEN 0.5 ELSE 0.0 END)), 0.0)) AS kw_score
+                       FROM d CROSS JOIN {kw} GROUP BY 1, 2) s
+              ON s."desc" = d."desc" AND s.cat_ord = pt.cat_ord))
+WHERE rn = 1""", f"""d0 AS (SELECT DISTINCT lower(trim(description)) AS "desc" FROM t),
+d AS (SELECT "desc", list_filter(string_split_regex(trim(regexp_replace("desc", '([,;:@#$%&?!"()\\[\\]{{}}<>])', ' \\1 ', 'g')), '\\s+'),
+                               lambda x: length(x) > 2 AND NOT list_contains({stop}, x)) AS toks FROM d0)"""
+
+
+try:
+    _body, _ctes = _rule_oracle()
+    q("rule_categorize", _body, _ctes)
+except Exception:  # pragma: no cover - no bundled jar: the driver falls back to rows-only
+    pass
