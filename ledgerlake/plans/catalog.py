@@ -292,7 +292,8 @@ def q_rule_categorize(spark, sf_dir):
 
 @query("ml_categorize")
 def q_ml_categorize(spark, sf_dir):
-    return G.ml_scores(_texts(spark, sf_dir), G.default_model(spark), "desc")
+    m = G.ml_scores(_texts(spark, sf_dir), G.default_model(spark), "desc")
+    return m.select("desc", "ml_category", F.round("ml_confidence", 6).alias("ml_confidence"))
 
 
 @query("hybrid_categorize")

@@ -699,3 +699,46 @@ try:
     q("rule_categorize", _body, _ctes)
 except Exception:  # pragma: no cover - no bundled jar: the driver falls back to rows-only
     pass
+
+
+# ---- naive-Bayes categoriser (G1, G3) ---------------------------------------------------
+
+def _nb_oracle():
+    from ledgerlake.dims import CATEGORY_KEYWORDS, TFIDF_STOP_WORDS_IN_DICTIONARY
+    docs = ("(VALUES " + ", ".join(f"({i}, {sql_str(c)}, {sql_str(k)})" for i, (c, k) in
+                                   enumerate((c, k) for c in CATEGORY_KEYWORDS for k in CATEGORY_KEYWORDS[c]))
+            + ") docs(doc_id, category, txt)")
+    n_docs = sum(len(v) for v in CATEGORY_KEYWORDS.values())
+    stop = "[" + ", ".join(sql_str(w) for w in TFIDF_STOP_WORDS_IN_DICTIONARY) + "]"
+    ctes = f"""
+occ AS (SELECT doc_id, category, unnest(regexp_extract_all(lower(txt), '\\b\\w\\w+\\b')) AS token FROM {docs}),
+tf AS (SELECT doc_id, category, token, count(*) AS tf FROM occ WHERE NOT list_contains({stop}, token) GROUP BY 1, 2, 3),
+vocab AS (SELECT token, ln((1 + {n_docs}) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+w AS (SELECT tf.doc_id, tf.category, tf.token, tf.tf * v.idf AS w FROM tf JOIN vocab v USING (token)),
+x AS (SELECT category, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM w),
+fc AS (SELECT category, token, sum(x) AS fc FROM x GROUP BY 1, 2),
+cls AS (SELECT c.category, ln(c.n / {n_docs}) AS prior,
+               ln(coalesce(s.s, 0) + (SELECT count(*) FROM vocab)) AS den
+        FROM (SELECT category, count(*) AS n FROM {docs} GROUP BY 1) c
+        LEFT JOIN (SELECT category, sum(fc) AS s FROM fc GROUP BY 1) s USING (category)),
+dd AS (SELECT DISTINCT lower(trim(description)) AS "desc" FROM t),
+qt AS (SELECT "desc", token, count(*) AS tf FROM
+         (SELECT "desc", unnest(regexp_extract_all("desc", '\\b\\w\\w+\\b')) AS token FROM dd) GROUP BY 1, 2),
+qw AS (SELECT qt."desc", qt.token, qt.tf * v.idf AS w FROM qt JOIN vocab v USING (token)),
+qn AS (SELECT "desc", sqrt(sum(w * w)) AS norm, sum(w) AS wsum FROM qw GROUP BY 1),
+num AS (SELECT qw."desc", fc.category, sum(qw.w * ln(fc.fc + 1)) AS num FROM qw JOIN fc USING (token) GROUP BY 1, 2),
+jll AS (SELECT dd."desc", cls.category,
+               coalesce(num.num, 0) / coalesce(nullif(qn.norm, 0), 1)
+               - coalesce(qn.wsum, 0) / coalesce(nullif(qn.norm, 0), 1) * cls.den + cls.prior AS j
+        FROM dd CROSS JOIN cls LEFT JOIN qn ON qn."desc" = dd."desc"
+        LEFT JOIN num ON num."desc" = dd."desc" AND num.category = cls.category)"""
+    body = f"""
+SELECT "desc", category AS ml_category, {r('1.0 / z', 6)} AS ml_confidence FROM (
+  SELECT "desc", category, sum(exp(j - m)) OVER (PARTITION BY "desc") AS z,
+         row_number() OVER (PARTITION BY "desc" ORDER BY j DESC, category) AS rn
+  FROM (SELECT *, max(j) OVER (PARTITION BY "desc") AS m FROM jll)) WHERE rn = 1"""
+    return body, ctes
+
+
+_nb_body, _nb_ctes = _nb_oracle()
+q("ml_categorize", _nb_body, _nb_ctes)
