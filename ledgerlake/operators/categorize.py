@@ -262,5 +262,6 @@ def custom_rule_scores(descs: DataFrame, custom: DataFrame, text: str = "desc")
     scored = j.withColumn("_score", F.aggregate(F.transform("keywords", lambda x: F.lower(x)), F.lit(0.0), per_kw))
     return (scored.filter(F.col("_score") > 0)
             .groupBy("account_id", text)
-            .agg(F.max_by(F.col("category"), F.struct(F.col("_score"), -F.xxhash64("category"))).alias("custom_category"),
+            .agg(F.min_by(F.col("category"), F.struct((-F.col("_score")).alias("s"), F.col("category").alias("c")))
+                  .alias("custom_category"),   # highest score, ties to the alphabetically first
                  F.max("_score").alias("custom_score")))

@@ -742,3 +742,34 @@ SELECT "desc", category AS ml_category, {r('1.0 / z', 6)} AS ml_confidence FROM
 
 _nb_body, _nb_ctes = _nb_oracle()
 q("ml_categorize", _nb_body, _nb_ctes)
+
+
+# ---- user-defined categories (G8) ------------------------------------------------------
+
+def _custom_oracle():
+    stop = "[" + ", ".join(sql_str(w) for w in _spark_english_stop_words()) + "]"
+    ctes = f"""
+cd0 AS (SELECT DISTINCT account_id, lower(trim(description)) AS "desc" FROM t),
+cd AS (SELECT account_id, "desc",
+              list_filter(string_split_regex(trim(regexp_replace("desc", '([,;:@#$%&?!"()\\[\\]{{}}<>])', ' \\1 ', 'g')), '\\s+'),
+                          lambda x: length(x) > 2 AND NOT list_contains({stop}, x)) AS toks FROM cd0),
+ck AS (SELECT c_custkey AS account_id, lower(c_mktsegment) AS category,
+              unnest(['coffee', 'grocery', lower(c_mktsegment)]) AS k FROM customer),
+cs AS (SELECT cd.account_id, cd."desc", ck.category,
+              sum(CASE WHEN ck.k = cd."desc" THEN 3.0
+                       WHEN contains(cd."desc", ck.k) THEN 1.5 * len(string_split(ck.k, ' ')) ELSE 0.0 END
+                  + coalesce(list_sum(list_transform(cd.toks, lambda t: CASE WHEN ck.k = t THEN 2.0
+                        WHEN contains(t, ck.k) OR contains(ck.k, t) THEN 0.5 ELSE 0.0 END)), 0.0)) AS score
+       FROM cd JOIN ck ON ck.account_id = cd.account_id GROUP BY 1, 2, 3)"""
+    body = """
+SELECT account_id, "desc", category AS custom_category, score AS custom_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id, "desc" ORDER BY score DESC, category) AS rn
+  FROM cs WHERE score > 0) WHERE rn = 1"""
+    return body, ctes
+
+
+try:
+    _cb, _cc = _custom_oracle()
+    q("custom_categorize", _cb, _cc)
+except Exception:  # pragma: no cover - no bundled jar: rows-only check
+    pass
