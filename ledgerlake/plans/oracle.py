@@ -666,7 +666,7 @@ def _spark_english_stop_words() -> list[str]:
         return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
 
 
-def _rule_oracle() -> str:
+def _rule_oracle(src: str = "t"):
     from ledgerlake.dims import CATEGORY_KEYWORDS, CATEGORY_PATTERNS
     stop = "[" + ", ".join(sql_str(w) for w in _spark_english_stop_words()) + "]"
     cats = list(CATEGORY_KEYWORDS)
@@ -689,7 +689,7 @@ FROM (SELECT "desc", category, score, max(score) OVER (PARTITION BY "desc") AS b
                                         WHEN contains(t, kw.k) OR contains(kw.k, t) THEN 0.5 ELSE 0.0 END)), 0.0)) AS kw_score
                        FROM d CROSS JOIN {kw} GROUP BY 1, 2) s
               ON s."desc" = d."desc" AND s.cat_ord = pt.cat_ord))
-WHERE rn = 1""", f"""d0 AS (SELECT DISTINCT lower(trim(description)) AS "desc" FROM t),
+WHERE rn = 1""", f"""d0 AS (SELECT DISTINCT lower(trim(description)) AS "desc" FROM {src}),
 d AS (SELECT "desc", list_filter(string_split_regex(trim(regexp_replace("desc", '([,;:@#$%&?!"()\\[\\]{{}}<>])', ' \\1 ', 'g')), '\\s+'),
                                lambda x: length(x) > 2 AND NOT list_contains({stop}, x)) AS toks FROM d0)"""
 
@@ -703,7 +703,7 @@ except Exception:  # pragma: no cover - no bundled jar: the driver falls back to
 
 # ---- naive-Bayes categoriser (G1, G3) ---------------------------------------------------
 
-def _nb_oracle():
+def _nb_oracle(src: str = "t"):
     from ledgerlake.dims import CATEGORY_KEYWORDS, TFIDF_STOP_WORDS_IN_DICTIONARY
     docs = ("(VALUES " + ", ".join(f"({i}, {sql_str(c)}, {sql_str(k)})" for i, (c, k) in
                                    enumerate((c, k) for c in CATEGORY_KEYWORDS for k in CATEGORY_KEYWORDS[c]))
@@ -721,7 +721,7 @@ cls AS (SELECT c.category, ln(c.n / {n_docs}) AS prior,
                ln(coalesce(s.s, 0) + (SELECT count(*) FROM vocab)) AS den
         FROM (SELECT category, count(*) AS n FROM {docs} GROUP BY 1) c
         LEFT JOIN (SELECT category, sum(fc) AS s FROM fc GROUP BY 1) s USING (category)),
-dd AS (SELECT DISTINCT lower(trim(description)) AS "desc" FROM t),
+dd AS (SELECT DISTINCT lower(trim(description)) AS "desc" FROM {src}),
 qt AS (SELECT "desc", token, count(*) AS tf FROM
          (SELECT "desc", unnest(regexp_extract_all("desc", '\\b\\w\\w+\\b')) AS token FROM dd) GROUP BY 1, 2),
 qw AS (SELECT qt."desc", qt.token, qt.tf * v.idf AS w FROM qt JOIN vocab v USING (token)),
@@ -773,3 +773,37 @@ try:
     q("custom_categorize", _cb, _cc)
 except Exception:  # pragma: no cover - no bundled jar: rows-only check
     pass
+
+
+
+# ---- blended categoriser applied to parsed statements (G6, G7) --------------------------
+
+def _hybrid_oracle():
+    rule_body, rule_ctes = _rule_oracle("stmt")
+    nb_body, nb_ctes = _nb_oracle("stmt")
+    ctes = (RAW + ",\n" + rule_ctes + ",\n" + nb_ctes
+            + f",\nrule_res AS ({rule_body}),\nml_res AS ({nb_body}),"
+            + """
+blend AS (SELECT r."desc",
+    CASE WHEN trim(r."desc") = '' THEN 'other' WHEN m.ml_confidence >= 0.7 THEN m.ml_category
+         WHEN r.rule_confidence >= 0.8 THEN r.rule_category WHEN m.ml_confidence >= 0.5 THEN m.ml_category
+         WHEN r.rule_confidence >= 0.5 THEN r.rule_category
+         WHEN m.ml_confidence >= r.rule_confidence THEN m.ml_category ELSE r.rule_category END AS category,
+    CASE WHEN trim(r."desc") = '' THEN 0.0 WHEN m.ml_confidence >= 0.7 THEN m.ml_confidence
+         WHEN r.rule_confidence >= 0.8 THEN r.rule_confidence WHEN m.ml_confidence >= 0.5 THEN m.ml_confidence
+         WHEN r.rule_confidence >= 0.5 THEN r.rule_confidence
+         WHEN m.ml_confidence >= r.rule_confidence THEN m.ml_confidence ELSE r.rule_confidence END AS confidence
+  FROM rule_res r JOIN ml_res m ON m."desc" = r."desc")""")
+    body = f"""
+SELECT g.txn_id, g.account_id, g.description,
+       CASE WHEN coalesce(g.category, '') IN ('', 'other') THEN b.category ELSE g.category END AS category,
+       {r("CASE WHEN coalesce(g.category, '') IN ('', 'other') THEN b.confidence ELSE 0.7 END", 3)} AS confidence
+FROM good g LEFT JOIN blend b ON b."desc" = lower(trim(g.description))"""
+    return body, ctes
+
+
+try:
+    _hb, _hc = _hybrid_oracle()
+    q("hybrid_categorize", _hb, _hc)
+except Exception:  # pragma: no cover - no bundled jar: rows-only check
+    pass
