@@ -807,3 +807,29 @@ try:
     q("hybrid_categorize", _hb, _hc)
 except Exception:  # pragma: no cover - no bundled jar: rows-only check
     pass
+
+
+# ---- normalise-and-convert chain (J12: F5 → C14 → J5 → F19) ----------------------------
+
+_NC = RAW + f""",
+na AS (SELECT txn_id, account_id, description, type, lower(category) AS category, trim(amount) AS atx,
+              regexp_replace(trim(amount), '[^0-9.,+\\-]', '', 'g') AS ac FROM raw),
+nb AS (SELECT *, {_currency_sql('atx')} AS cur, {_norm_sql('ac', 1)} AS an FROM na),
+nc AS (SELECT *, regexp_replace(an, '[+\\-]', '', 'g') AS digits FROM nb),
+nd AS (SELECT *, CASE WHEN regexp_full_match(digits, '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN TRY_CAST(digits AS DOUBLE) END AS av FROM nc),
+ne AS (SELECT *, CASE WHEN starts_with(an, '-') THEN -av ELSE av END AS sv FROM nd),
+nf AS (SELECT *,
+          CASE WHEN atx IS NULL OR atx = '' OR lower(atx) = 'nan' THEN NULL
+               WHEN abs(sv) > 1e9 OR (abs(sv) < 1e-6 AND sv <> 0) THEN NULL ELSE sv END AS amt,
+          CASE WHEN atx IS NULL OR atx = '' OR lower(atx) = 'nan' THEN 'USD' WHEN ac = '' THEN cur
+               WHEN av IS NULL THEN 'USD' ELSE cur END AS currency FROM ne),
+ng AS (SELECT *, CASE WHEN lower(type) IN ('debit', 'expense', 'withdrawal', 'payment') THEN -abs(amt) ELSE amt END AS samt
+       FROM nf),
+nh AS (SELECT ng.*, ng.samt * ({_rate('ng.currency', 'EUR')}) AS conv
+       FROM ng LEFT JOIN {RATES} ON upper(ng.currency) = fx.currency)"""
+
+q("normalize_and_convert", f"""
+SELECT txn_id, account_id, description, {r('conv')} AS amount, currency AS original_currency,
+       'EUR' AS display_currency, coalesce(category, 'other') AS category,
+       CASE WHEN conv < 0 THEN 'expense' ELSE 'income' END AS type
+FROM nh""", _NC)
