@@ -833,3 +833,19 @@ SELECT txn_id, account_id, description, {r('conv')} AS amount, currency AS origi
        'EUR' AS display_currency, coalesce(category, 'other') AS category,
        CASE WHEN conv < 0 THEN 'expense' ELSE 'income' END AS type
 FROM nh""", _NC)
+
+
+# ---- normalise table (C14) -------------------------------------------------------------
+# date: ISO text casts (Spark's string→timestamp cast), else month-first M/d/yyyy, else NULL;
+# amount: ',' → '.', keep digits and dots, numeric text → DOUBLE; sign from the type column.
+
+q("normalize_table", r"""
+SELECT txn_id,
+       CASE WHEN regexp_full_match(date, '\d{4}-\d{1,2}-\d{1,2}') THEN TRY_CAST(date AS DATE)
+            WHEN regexp_full_match(date, '\d{1,2}/\d{1,2}/\d{4}') THEN CAST(try_strptime(date, '%m/%d/%Y') AS DATE)
+       END AS date,
+       CASE WHEN lower(type) IN ('debit', 'expense', 'withdrawal', 'payment') THEN -abs(a) ELSE a END AS amount,
+       type
+FROM (SELECT txn_id, date, type,
+             CASE WHEN regexp_full_match(x, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') THEN TRY_CAST(x AS DOUBLE) END AS a
+      FROM (SELECT txn_id, date, type, regexp_replace(replace(amount, ',', '.'), '[^0-9.]', '', 'g') AS x FROM raw))""", RAW)
