@@ -849,3 +849,33 @@ SELECT txn_id,
 FROM (SELECT txn_id, date, type,
              CASE WHEN regexp_full_match(x, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') THEN TRY_CAST(x AS DOUBLE) END AS a
       FROM (SELECT txn_id, date, type, regexp_replace(replace(amount, ',', '.'), '[^0-9.]', '', 'g') AS x FROM raw))""", RAW)
+
+
+# ---- corrupted-column scan (S9) over the statements the query writes -------------------
+# The query writes the damaged statements as CSV (Spark's writer trims leading/trailing
+# whitespace and writes NULL as an empty field) and reads them back headerless; every data
+# line comes back, missing cells as ''.
+
+q("corrupted_column_scan", """
+SELECT coalesce(trim(date), '') AS date, coalesce(trim(amount), '') AS amount,
+       coalesce(trim(description), '') AS description FROM messy""", RAW)
+
+
+# ---- minimal scan (S15) over the statements the query writes ---------------------------
+# Every data line of the written files comes back (the header is line 0 of each file); the
+# amount survives only where the written (trimmed) text is a plain number.
+
+q("minimal_scan", r"""
+SELECT NOT regexp_full_match(coalesce(trim(amount), ''), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') AS amount_missing,
+       'USD' AS currency, count(*) AS rows
+FROM messy GROUP BY 1, 2""", RAW)
+
+
+# ---- profile-routed reading (S7, S11) of the statements the query writes ---------------
+# Two copies are written (',' and ';' separated); profiling routes them to the standard and
+# the delimiter-detection scan, and parsing gives the reject reasons of the source rows.
+
+q("read_statements", """
+SELECT s.parse_strategy, coalesce(stmt.reject_reason, 'accepted') AS reason, count(*) AS rows
+FROM stmt CROSS JOIN (VALUES ('standard'), ('delimiter_detection')) s(parse_strategy)
+GROUP BY 1, 2""", RAW)

@@ -33,14 +33,16 @@ def read_statements(spark: SparkSession, paths, sep: str = ",", header: bool = T
 
 
 def read_text_minimal(spark: SparkSession, paths, columns: list[str]) -> DataFrame:
-    """Naive comma split of text lines. Lines with fewer fields than the header are
-    skipped; a non-numeric amount drops only that field (NULL); defaults 'uncategorized'/'USD'.
-    ``columns`` is the lower-cased header (the first line of each file is dropped)."""
-    lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("_f"),
-                                          F.split(F.col("value"), ",").alias("_parts"))
-    first = F.lower(F.trim(F.col("value"))).startswith(",".join(columns)[:4])
+    """Naive comma split of text lines. The first line of each file is the header and is
+    skipped; blank lines and lines with fewer fields than the header are skipped; a
+    non-numeric amount drops only that field (NULL); defaults 'uncategorized' / 'USD'.
+    Files are read whole (``wholetext``, bounded by S13) so line 0 of every file is known."""
+    files = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("value"))
+    lines = files.select("_f", F.posexplode(F.split(F.trim(F.col("value")), "\r?\n")).alias("_pos", "line"))
+    lines = lines.select("_f", "_pos", "line", F.split(F.col("line"), ",").alias("_parts"))
     parts = F.col("_parts")
-    body = lines.filter((F.trim("value") != "") & ~first & (F.size(parts) >= len(columns)))
+    body = lines.filter((F.col("_pos") > 0) & (F.trim("line") != "") & (F.size(parts) >= len(columns)))
     sel = []
     for i, c in enumerate(columns):
         v = F.trim(F.get(parts, i))
