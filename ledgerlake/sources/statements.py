@@ -68,7 +68,10 @@ def _count(text: Column, sub: str) -> Column:
 
 
 def profile_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """S3–S6, S8, S11, S13, S14 as one projection over ``binaryFile`` rows."""
+    """S3–S6, S8, S11, S13, S14 as one projection over ``binaryFile`` rows.
+
+    Note: Spark's file listing skips zero-length files, so the "file is empty" reason only
+    applies to rows built by other means; empty uploads simply produce no row."""
     bom = F.substring(F.col("content"), 1, 3) == F.unhex(F.lit("EFBBBF"))
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
     encoding = F.when(bom, F.lit("utf-8-sig")).when(utf8, F.lit("utf-8")).otherwise(F.lit("latin-1"))
