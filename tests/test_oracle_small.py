@@ -11,7 +11,8 @@ from conftest import SF_SMALL
 TABLES = ["orders", "customer", "events"]
 FAST = ["category_breakdown", "weekday_pattern", "top_merchants_per_account", "primary_currency_blended",
         "budget_recommendations", "budget_alerts", "convert_currency", "parse_transactions",
-        "parse_dates", "parse_amounts", "sanitize_text", "latest_transactions", "upsert_sessions"]
+        "parse_dates", "parse_amounts", "sanitize_text", "latest_transactions", "upsert_sessions",
+        "rule_categorize", "ml_categorize", "hybrid_categorize", "recover_rows", "normalize_and_convert"]
 
 
 def _norm(v):
