@@ -13,7 +13,7 @@ Keys without income get no recommendations (reference quirk Q9 fixed: no NaN row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.dims import BUDGET_SHARES
