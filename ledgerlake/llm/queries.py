@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, langid, mix
+from ledgerlake.llm import blocknames, bpe_lexicon, langid, mix
 from ledgerlake.llm.common import fold, table
 
 
@@ -23,6 +23,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_lexicon.decode(bpe_lexicon.encode(docs).drop("text"))
+    return coded.select(
+        "doc_id", F.size("bpe_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bpe_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; fold 0 of 5 is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -42,6 +52,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 REGISTRY = {
     "op1_mix_sources": op1_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_bpe_lexicon": op8_bpe_lexicon,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {"op5_exact_dedup": ORACLE_OP5}
