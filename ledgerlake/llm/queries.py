@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, bpe_lexicon, langid, mix
+from ledgerlake.llm import blocknames, bpe_lexicon, langid, merkle, mix
 from ledgerlake.llm.common import fold, table
 
 
@@ -18,6 +18,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mix_copies") * F.col("mix_size")).cast("long").alias("taken"))
 
 
+def op2_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the last quarter taken from the next."""
+    return merkle.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents."""
     return blocknames.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,6 +56,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 REGISTRY = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe_lexicon": op8_bpe_lexicon,
     "op10_language_id": op10_language_id,
