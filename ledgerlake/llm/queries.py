@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, bpe_lexicon, langid, merkle, mix
+from ledgerlake.llm import blocknames, bpe_lexicon, langid, merkle, mix, toxicity
 from ledgerlake.llm.common import fold, table
 
 
@@ -23,6 +23,16 @@ def op2_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; fold 2 of 4 is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"),
+                         (F.col("tox_score") >= 0.3).cast("int").alias("predicted"), F.size("tox_passages").alias("n_passages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents."""
     return blocknames.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,6 +67,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 REGISTRY = {
     "op1_mix_sources": op1_mix_sources,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
+    "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe_lexicon": op8_bpe_lexicon,
     "op10_language_id": op10_language_id,
