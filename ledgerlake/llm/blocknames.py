@@ -37,8 +37,10 @@ def hot_hashes(df: DataFrame) -> DataFrame:
 
     At most 16 times as many rows as there are partitions, so it may be broadcast at any size.
     """
-    counts = materialize(df.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS), "hot")
-    total = df.count() if counts.take(1) else 0
+    counts = materialize(df.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+                         .groupBy(F.when(F.col("n") > HOT_ROWS, F.col("q")).alias("q")).agg(F.sum("n").alias("n")), "hot")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counts.filter(F.col("q").isNotNull())
     limit = max(HOT_ROWS, total // (16 * partitions(df.sparkSession)))
     return counts.filter(F.col("n") > limit).select("q", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
 
