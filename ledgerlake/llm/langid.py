@@ -36,6 +36,8 @@ SPAN = 32
 LONGEST = 8
 #: Probability of a letter that is no piece of the vocabulary, and the pseudo-count of a piece.
 UNKNOWN, PRIOR = 1e-7, 0.05
+#: Different words whose scores a worker remembers.
+REMEMBERED = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _MULT, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,6 +134,20 @@ def expected(table: Pieces, probs: np.ndarray, codes: np.ndarray, weight: np.nda
     return out
 
 
+def gathered(batches, rows: int = 20_000):
+    """Columns as lists, of so many rows at a time: wide array steps for narrow rows."""
+    columns, size = None, 0
+    for b in batches:
+        got = [c.to_pylist() for c in b.columns]
+        columns = got if columns is None else [x + y for x, y in zip(columns, got)]
+        size += b.num_rows
+        if size >= rows:
+            yield columns
+            columns, size = None, 0
+    if columns:
+        yield columns
+
+
 def spans(text: str | None) -> list[str]:
     """Words of a text with their start mark, in spans of at most ``SPAN`` letters."""
     out = []
@@ -146,7 +162,8 @@ def fit(labelled: DataFrame, path: str = VOCABULARY, bound: int = TRAIN_DOCS, ro
     spark = labelled.sparkSession
     small_batches(spark)
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that Spark knows its size and sends it to the texts rather than the texts to it
+    sizes = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
     share = F.xxhash64("text", F.lit(11)) / F.lit(2.0 ** 64) + 0.5
     sample = labelled.join(sizes, "lang").filter(share <= F.lit(float(bound)) / F.col("n")).select("lang", "text")
 
@@ -169,8 +186,7 @@ def fit(labelled: DataFrame, path: str = VOCABULARY, bound: int = TRAIN_DOCS, ro
 
     def e_step(batches):
         table, total = pieces(path), {}
-        for b in batches:
-            lang, word, n = (b.column(i).to_pylist() for i in range(3))
+        for lang, word, n in gathered(batches):
             for name in set(lang):
                 j = [i for i, x in enumerate(lang) if x == name]
                 col, weight = langs.index(name), np.array([n[i] for i in j], dtype=float)
@@ -202,16 +218,21 @@ def predict(docs: DataFrame, model, path: str = VOCABULARY, text: str = "text")
 
     def run(batches):
         import itertools
-        table = pieces(path)
+        table, known = pieces(path), {}
+        score = np.zeros((0, max(1, len(langs))))
         for b in batches:
             per = [spans(t) for t in b.column(at).to_pylist()]
             flat = list(itertools.chain.from_iterable(per))
-            number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            where = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-            score = np.zeros((len(number), max(1, len(langs))))
+            if len(known) > REMEMBERED:
+                known, score = {}, score[:0]
+            new = [w for w in dict.fromkeys(flat) if w not in known]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            fresh = np.zeros((len(new), score.shape[1]))
             if langs:
-                for idx, codes in by_length(list(number)):
-                    score[idx] = forward(table, probs, codes)
+                for idx, codes in by_length(new):
+                    fresh[idx] = forward(table, probs, codes)
+            score = np.concatenate([score, fresh])
+            where = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
             lens = np.fromiter(map(len, per), np.int64, len(per))
             ends = np.cumsum(lens)
             total = np.vstack([np.zeros(score.shape[1]), np.cumsum(score[where], axis=0)]) if len(flat) else np.zeros((1, score.shape[1]))
@@ -219,9 +240,9 @@ def predict(docs: DataFrame, model, path: str = VOCABULARY, text: str = "text")
             best = by_doc.argmax(axis=1)
             gap = np.clip(by_doc - by_doc.max(axis=1, keepdims=True), -300, 0)
             post = 1 / np.power(10.0, gap).sum(axis=1)
-            known = (lens > 0) & bool(langs)
-            pred = [langs[j] if k else "und" for j, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.where(known, post, 0.0))],
+            sure = (lens > 0) & bool(langs)
+            pred = [langs[j] if k else "und" for j, k in zip(best, sure)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.where(sure, post, 0.0))],
                                              [*b.schema.names, "lang_pred", "lang_score"])
 
     schema = nullable(docs.schema).add("lang_pred", "string").add("lang_score", "double")
