@@ -185,7 +185,7 @@ def against_next(docs: DataFrame) -> DataFrame:
     ordered = (docs.select("doc_id", "text", key.alias("tie")).repartitionByRange("doc_id", "tie")
                .sortWithinPartitions("doc_id", "tie").select("doc_id", "text"))
     rows = ordered.mapInArrow(run, kinds)
-    path = materialize(rows, "merkle")
+    path = materialize(rows, "merkle", "zstd")  # hex digits halve
     edges = path.filter(F.col("edge").isNotNull())
     parts = edges.filter("edge = 'first'").select("part")  # one row per range
     order = Window.orderBy("part")
