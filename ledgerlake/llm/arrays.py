@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -53,3 +55,28 @@ def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[n
     total = int(ends[-1]) if len(ends) else 0
     at = np.arange(total) + np.repeat(offsets[rows] - (ends - lens), lens)
     return values[at], lens
+
+
+def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Named arrays in one file, after a line of JSON that tells where each begins."""
+    table, at = {}, 0
+    for name, a in arrays.items():
+        table[name] = {"dtype": a.dtype.str, "shape": list(a.shape), "at": at}
+        at += -(-a.nbytes // 64) * 64
+    head = json.dumps(table).encode()
+    start = -(-(len(head) + 1) // 64) * 64
+    with open(path, "wb") as f:
+        f.write(head.ljust(start - 1) + b"\n")
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes().ljust(-(-a.nbytes // 64) * 64, b"\0"))
+
+
+def map_arrays(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped into memory."""
+    with open(path, "rb") as f:
+        head = f.readline()
+    out = {}
+    for name, x in json.loads(head).items():
+        shape = tuple(x["shape"])
+        out[name] = np.memmap(path, dtype=x["dtype"], mode="r", offset=len(head) + x["at"], shape=shape) if np.prod(shape) else np.zeros(shape, x["dtype"])
+    return out

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.arrays import IntTable, ragged
+from ledgerlake.llm.arrays import IntTable, map_arrays, ragged, save_arrays
 from ledgerlake.llm.common import materialize, nullable, small_batches, without
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -197,10 +197,6 @@ class Transducer:
     def __init__(self, a: dict[str, np.ndarray]):
         self.a, self.table = a, IntTable(a["slots"], a["keys"])
 
-    @classmethod
-    def open(cls, folder: str) -> "Transducer":
-        return cls({n[:-4]: np.load(os.path.join(folder, n), mmap_mode="r") for n in os.listdir(folder) if n.endswith(".npy")})
-
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word, -1 for words that the lexicon does not hold."""
         data = [w.encode() for w in words]
@@ -250,17 +246,15 @@ def lexicon(docs: DataFrame, text: str = "text", path: str = TOKENIZER, bound: i
     ids, lens = vocabulary(path).merge(words)
     arrays |= {"ids": ids, "offsets": np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)}
     name = f"lexicon-{uuid.uuid4().hex}"
-    folder = os.path.join(tempfile.mkdtemp(prefix="ledgerlake-"), name)
-    os.makedirs(folder)
-    for k, v in arrays.items():
-        np.save(os.path.join(folder, f"{k}.npy"), v)
-    spark.sparkContext.addFile(folder, recursive=True)  # at most LEXICON words: a few MB
+    file = os.path.join(tempfile.mkdtemp(prefix="ledgerlake-"), name)
+    save_arrays(file, arrays)
+    spark.sparkContext.addFile(file)  # at most LEXICON words: a few MB
     return name
 
 
 @functools.lru_cache(maxsize=2)
 def transducer(name: str) -> Transducer:
-    return Transducer.open(SparkFiles.get(name))
+    return Transducer(map_arrays(SparkFiles.get(name)))
 
 
 class Encoder:
