@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, bpe_lexicon, langid, merkle, mix, toxicity
+from ledgerlake.llm import blocknames, bpe_lexicon, jaccard_rtree, langid, merkle, mix, toxicity
 from ledgerlake.llm.common import fold, table
 
 
@@ -48,6 +48,12 @@ def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 4-word shingles at a Jaccard similarity of 0.85 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_rtree.near_groups(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; fold 0 of 5 is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +76,7 @@ REGISTRY = {
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe_lexicon": op8_bpe_lexicon,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {"op5_exact_dedup": ORACLE_OP5}
