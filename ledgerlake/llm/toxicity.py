@@ -13,7 +13,7 @@ their -ln E (of its best segment where it has none), its score the share of toxi
 documents at that evidence, fitted to rise with it.
 
 The fit reads at most ``TRAIN_DOCS`` labelled rows of either label in expectation (chosen by a
-hash of the text); every whole text is scored.
+hash of the doc_id); every whole text is scored.
 
 Defined cases: null and empty texts have no passage; without rows of both labels nothing has a
 passage and the score is the share of toxic rows (0 without rows); documents labelled twice
@@ -158,12 +158,13 @@ def weigher(model: Model):
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     small_batches(docs.sparkSession)
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
-    share = F.xxhash64("text", F.lit(13)) / F.lit(2.0 ** 64) + 0.5
-    sizes = marks.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
-    sample = materialize(rows.join(F.broadcast(sizes), "toxic").filter(share <= F.lit(float(bound)) / F.col("n"))
-                         .select("toxic", "text"), "toxic-sample")
+    marks = materialize(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+                        .agg((F.max("toxic") > 0).cast("int").alias("toxic")), "toxic-labels")
+    sizes = marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    share = F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)) / F.lit(2.0 ** 64) + 0.5
+    chosen = marks.join(F.broadcast(sizes), "toxic").filter(share <= F.lit(float(bound)) / F.col("n")).select("doc_id", "toxic")
+    # twice the bound of ids: they go to the texts, whatever the size of either table
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxic-sample")
     of = {r["toxic"]: r["n"] for r in sizes.collect()}
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model(prior=of.get(1, 0) / max(1, sum(of.values())))
