@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, bpe_lexicon, jaccard_rtree, langid, merkle, mix, toxicity
+from ledgerlake.llm import blocknames, bpe_lexicon, jaccard_rtree, kneser_ney, langid, merkle, mix, toxicity
 from ledgerlake.llm.common import fold, table
 
 
@@ -38,6 +38,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document; fold 0 of 10 is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold("doc_id", 10) == 0, F.lit(False))
+    model = kneser_ney.fit(docs.filter(~held))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", held.alias("held_out"), F.col("lm_tokens").alias("n_tokens"), F.col("lm_known").alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"), F.col("lm_base").alias("base_score"), F.col("lm_score").alias("score"))
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +85,7 @@ REGISTRY = {
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_kneser_ney": op6_kneser_ney,
     "op8_bpe_lexicon": op8_bpe_lexicon,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
