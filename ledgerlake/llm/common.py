@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch sent to a Python worker; texts are long, so far below Spark's default.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch sent to a Python worker; a longer text goes alone.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, and see that workers can import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     ship(spark)
 
 

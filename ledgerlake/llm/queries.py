@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, bpe_lexicon, jaccard_rtree, kneser_ney, langid, merkle, mix, toxicity
+from ledgerlake.llm import blocknames, bpe_lexicon, jaccard_rtree, kneser_ney, langid, merkle, mix, tokenscan, toxicity, wrappers
 from ledgerlake.llm.common import fold, table
 
 
@@ -33,6 +33,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("tox_score") >= 0.3).cast("int").alias("predicted"), F.size("tox_passages").alias("n_passages"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenscan.count_documents(docs).select("doc_id", "file", "place", "start", "n_tokens")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents."""
     return blocknames.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,6 +54,14 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.total).cast("long").alias("train_tokens"), F.col("lm_base").alias("base_score"), F.col("lm_score").alias("score"))
 
 
+def op7_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, slots = wrappers.infer(pages)
+    return wrappers.extract(pages, slots).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,8 +98,10 @@ REGISTRY = {
     "op1_mix_sources": op1_mix_sources,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op3_toxicity": op3_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_html_wrappers": op7_html_wrappers,
     "op8_bpe_lexicon": op8_bpe_lexicon,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
