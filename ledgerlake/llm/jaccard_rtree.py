@@ -361,7 +361,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(keep, pa.int64())), t.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    # sorted joins at every size: what is broadcast at one would not be at the next
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -410,7 +411,7 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     signatures = _signatures(docs, width, percent, *_frequent(spark, base))
     cells = materialize(_cells(signatures), "cells")
     release(spark)
-    cells = materialize(cells.join(classes.select("c1", "c2", "node", "n", "point"), ["c1", "c2"]).drop("c1", "c2"), "cell-points")
+    cells = materialize(cells.join(classes.select("c1", "c2", "node", "n", "point").hint("merge"), ["c1", "c2"]).drop("c1", "c2"), "cell-points")
     release(spark)
     pairs = materialize(_tried(cells.withColumn("label", F.lit(None).cast("long")), percent), "pairs")
     release(spark)
@@ -448,7 +449,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
             sets = [cut(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    sets = materialize(texts.join(of, hit).select("node", "text").mapInArrow(run, "node long, set binary"), "sets")
+    sets = materialize(texts.join(of.hint("merge"), hit).select("node", "text").mapInArrow(run, "node long, set binary"), "sets")
     release(spark)
     links = materialize(_linked(pairs, sets, percent).distinct(), "verified")
     release(spark)
