@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import materialize, partitions
+from ledgerlake.llm.common import aside, materialize, partitions
 
 BLOCK = 4096
 #: A hash is salted when it holds more rows than this and than its share of a partition.
@@ -131,8 +131,8 @@ def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text equals that of a row that stays."""
     kept = exact_groups(docs, text).filter("kept").select(
         F.col("doc_id").alias("dedup_id"), F.unhex("text_sha256").alias("dedup_sha"))
-    own = docs.withColumn("dedup_key", F.unhex(F.sha2(normalized(F.col(text)).cast("binary"), 256)))
+    plain, back = aside(docs, "doc_id", text)
+    own = plain.withColumn("dedup_key", F.unhex(F.sha2(normalized(F.col(text)).cast("binary"), 256)))
     hit = own["doc_id"].eqNullSafe(kept["dedup_id"]) & (own["dedup_key"] == kept["dedup_sha"])
     # rows repeated with the same doc_id share that key: one of them stays
-    return (own.join(kept, hit, "left_semi").dropDuplicates(["doc_id", "dedup_key"])
-            .select([F.col(f"`{c}`") for c in docs.columns]))
+    return back(own.join(kept, hit, "left_semi").dropDuplicates(["doc_id", "dedup_key"]))

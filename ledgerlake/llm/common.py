@@ -86,5 +86,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def aside(docs: DataFrame, *used: str):
+    """``docs`` with all columns but ``used`` under names no operator takes, and the way back."""
+    own = [c if c in used else f"own_{i}" for i, c in enumerate(docs.columns)]
+    names = docs.columns
+    return docs.toDF(*own), lambda df: df.select([F.col(a).alias(c) for a, c in zip(own, names)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

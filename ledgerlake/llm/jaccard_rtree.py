@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WORD, materialize, small_batches
+from ledgerlake.llm.common import WORD, aside, materialize, small_batches
 
 GROUPS = 256
 #: Rate at which a shingle is frequent, and the shingles that a task counts together.
@@ -463,6 +463,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     one = groups.filter(F.col("label").isNotNull()).groupBy("label").agg(first).select("row.doc_id", "row.tie")
     kept = materialize(one.unionByName(groups.filter(F.col("label").isNull()).select("doc_id", "tie")).distinct(), "near-kept")
     kept = kept.select(F.col("doc_id").alias("near_id"), F.col("tie").alias("near_tie"))
-    own = docs.withColumn("near_key", F.xxhash64("text"))
+    plain, back = aside(docs, "doc_id", "text")
+    own = plain.withColumn("near_key", F.xxhash64("text"))
     hit = own["doc_id"].eqNullSafe(kept["near_id"]) & (own["near_key"] == kept["near_tie"])
-    return own.join(kept, hit, "left_semi").dropDuplicates(["doc_id", "near_key"]).select([F.col(f"`{c}`") for c in docs.columns])
+    return back(own.join(kept, hit, "left_semi").dropDuplicates(["doc_id", "near_key"]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import materialize, nullable, small_batches, without
+from ledgerlake.llm.common import aside, materialize, nullable, small_batches, without
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 3000
@@ -251,8 +251,8 @@ def predict(docs: DataFrame, model, path: str = VOCABULARY, text: str = "text")
 
 def accepted(docs: DataFrame, model, least: float = 0.5, **kw) -> DataFrame:
     """``docs`` less those without a language: no letter, or no language above ``least``."""
-    named = predict(docs, model, **kw)
-    return named.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select([F.col(f"`{c}`") for c in docs.columns])
+    plain, back = aside(docs, kw.get("text", "text"))
+    return back(predict(plain, model, **kw).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)))
 
 
 def training_rows(docs: DataFrame, held_out: Column) -> DataFrame:

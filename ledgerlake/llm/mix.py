@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import WORD, materialize, nullable, small_batches, without
+from ledgerlake.llm.common import WORD, aside, materialize, nullable, small_batches, without
 
 BUCKET = 512
 ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
@@ -194,6 +194,5 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (3, 1, 2), cap: fl
 
 def repeated(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    mixed = mix(docs, **kw)
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(
-        [F.col(f"`{c}`") for c in docs.columns])
+    plain, back = aside(docs, "doc_id", "source", kw.get("text", "text"))
+    return back(mix(plain, **kw).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))))
