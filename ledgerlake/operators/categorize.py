@@ -4,8 +4,8 @@ Plan (per call, all rows of all accounts):
   1. ``distinct`` lower-cased descriptions — the only shuffle. Real statements repeat the same
      merchant text, so everything below runs once per distinct text; a hot merchant holding a
      third of the rows is one row here (map-side partial dedupe before the shuffle).
-  2. Naive Bayes (G3): explode the description's tokens, join the broadcast vocabulary model
-     (≤ max_features rows), aggregate per description. The aggregation keys start with the
+  2. Naive Bayes (G3): explode the description's tokens, join the vocabulary model
+     (broadcast by Spark when it is small), aggregate per description. The aggregation keys start with the
      description, so the partitioning left by step 1 already satisfies them: no new exchange.
   3. Keyword rules (G4): substring semantics ("keyword in description", "token in keyword")
      are not equi-joins, so the 192-keyword dictionary is evaluated as a higher-order-function
@@ -26,10 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.literals import array_of, array_of_structs
-from ledgerlake.dims import (CATEGORY_KEYWORDS, CATEGORY_PATTERNS, TFIDF_STOP_WORDS_IN_DICTIONARY,
-                             keyword_dim)
+from ledgerlake.dims import (CATEGORY_KEYWORDS, CATEGORY_PATTERNS, RULE_STOP_WORDS,
+                             TFIDF_STOP_WORDS_IN_DICTIONARY, keyword_dim)
 
-MAX_FEATURES = 1000
 TOKEN_RE = r"(?U)\b\w\w+\b"          # TF-IDF tokens: 2+ word characters, lower-cased text
 RULE_SPLIT = r"""([,;:@#$%&?!"()\[\]{}<>])"""  # punctuation split off as separate tokens
 ML_HIGH, RULE_HIGH, ML_MID, RULE_MID = 0.7, 0.8, 0.5, 0.5
@@ -60,28 +59,37 @@ def tfidf_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
 
 
-def train(spark: SparkSession, docs: DataFrame | None = None) -> NBModel:
+def train(spark: SparkSession, docs: DataFrame | None = None, stop_words: list[str] | None = None,
+          max_features: int | None = None) -> NBModel:
     """Fit TF-IDF (smooth idf, L2 rows) + multinomial NB (alpha = 1) on (category, keyword).
 
+    ``docs`` (category, text) defaults to the keyword dictionary. ``stop_words``: of the default
+    dictionary those the vectoriser drops, of other documents the whole English list.
+    ``max_features`` keeps the most frequent terms only (ties by token); no limit by default.
+
     idf = ln((1 + N) / (1 + df)) + 1; feature_count[c, t] = Σ over class docs of the L2-normed
     tf·idf weight; log P(t | c) = ln(fc + 1) − ln(Σ_t fc + V); prior = ln(n_c / N).
     The class table (one row per class, ≤ a few dozen) is collected to build expressions.
     """
-    docs = docs if docs is not None else keyword_dim(spark).select("category", F.col("keyword").alias("text"))
-    docs = docs.withColumn("doc_id", F.monotonically_increasing_id())
-    stop = list(TFIDF_STOP_WORDS_IN_DICTIONARY)
-    occ = (docs.select("doc_id", "category", F.explode(tfidf_tokens(F.col("text"))).alias("token"))
+    own = docs is not None
+    docs = docs if own else keyword_dim(spark).select("category", F.col("keyword").alias("text"))
+    # equal documents of a class are one row with its count, so the id stays the same in every job
+    docs = (docs.groupBy("category", "text").agg(F.count(F.lit(1)).alias("copies"))
+            .withColumn("doc_id", F.sha2(F.to_json(F.struct("category", "text")), 256)))
+    stop = stop_words if stop_words is not None else [
+        *TFIDF_STOP_WORDS_IN_DICTIONARY, *(RULE_STOP_WORDS if own else [])]
+    occ = (docs.select("doc_id", "category", "copies", F.explode(tfidf_tokens(F.col("text"))).alias("token"))
                .filter(~F.col("token").isin(stop)))
-    n_docs = docs.count()  # 192 for the default dictionary; a scalar needed for idf
-    tf = occ.groupBy("doc_id", "category", "token").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
-    # max_features: keep the most frequent terms (ties by token) — a distributed top-k
-    dfreq = (dfreq.orderBy(F.col("ctf").desc(), "token").limit(MAX_FEATURES)
-                  .withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
+    n_docs = docs.agg(F.sum("copies")).first()[0] or 0  # 192 for the default dictionary; a scalar needed for idf
+    tf = occ.groupBy("doc_id", "category", "copies", "token").agg(F.count(F.lit(1)).alias("tf"))
+    dfreq = tf.groupBy("token").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("ctf"))
+    if max_features is not None:  # a distributed top-k
+        dfreq = dfreq.orderBy(F.col("ctf").desc(), "token").limit(max_features)
+    dfreq = dfreq.withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
     w = tf.join(dfreq.select("token", "idf"), "token").withColumn("w", F.col("tf") * F.col("idf"))
     w = w.withColumn("x", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))))
-    fc = w.groupBy("category", "token").agg(F.sum("x").alias("fc"))
-    classes_df = docs.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    fc = w.groupBy("category", "token").agg(F.sum(F.col("x") * F.col("copies")).alias("fc"))
+    classes_df = docs.groupBy("category").agg(F.sum("copies").alias("n"))
     n_vocab = dfreq.count()
     sums = {r["category"]: r["s"] for r in fc.groupBy("category").agg(F.sum("fc").alias("s")).collect()}
     classes = sorted((r["category"], math.log(r["n"] / n_docs), math.log(sums.get(r["category"], 0.0) + n_vocab))
@@ -99,7 +107,7 @@ _DEFAULT_MODELS: dict[str, NBModel] = {}
 
 def default_model(spark: SparkSession) -> NBModel:
     """The model of the built-in dictionary, trained once per application (the vocabulary is a
-    cached ≤ 1000-row table); like the reference's model file, it is reused by later calls."""
+    cached table of 200 rows); like the reference's model file, it is reused by later calls."""
     key = spark.sparkContext.applicationId
     if key not in _DEFAULT_MODELS:
         m = train(spark)
@@ -115,7 +123,7 @@ def ml_scores(descs: DataFrame, model: NBModel, text: str = "desc") -> DataFrame
     """Per distinct text: (ml_category, ml_confidence) = argmax / max of predict_proba."""
     names = [c for c, _, _ in model.classes]
     k = len(names)
-    vocab = F.broadcast(model.vocab)   # bounded: ≤ MAX_FEATURES rows
+    vocab = model.vocab   # Spark broadcasts it by its size, which a caller's model does not bound
     occ = descs.select(text, F.explode_outer(tfidf_tokens(F.col(text))).alias("token"))
     occ = occ.join(vocab, "token", "left")
     per_tok = (occ.groupBy(text, "token")
@@ -172,8 +180,7 @@ def rule_scores(descs: DataFrame, text: str = "desc", stop_words: list[str] | No
                 patterns: dict[str, str] | None = None) -> DataFrame:
     """Per distinct text: (rule_category, rule_confidence); first category in dictionary order
     among the maxima; no positive score → ('other', 0.0)."""
-    from pyspark.ml.feature import StopWordsRemover
-    stop_words = stop_words if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
+    stop_words = stop_words if stop_words is not None else RULE_STOP_WORDS
     dictionary = dictionary or CATEGORY_KEYWORDS
     patterns = CATEGORY_PATTERNS if patterns is None else patterns
     d = F.col(text)
@@ -186,7 +193,7 @@ def rule_scores(descs: DataFrame, text: str = "desc", stop_words: list[str] | No
     for i, c in enumerate(cats):
         cond = F.col(f"_s{i}") == m
         best = F.when(cond, F.lit(c)) if best is None else best.when(cond, F.lit(c))
-    return staged.select(text, F.when(m > 0, best).otherwise(F.lit("other")).alias("rule_category"),
+    return staged.select(*descs.columns, F.when(m > 0, best).otherwise(F.lit("other")).alias("rule_category"),
                          F.when(m > 0, F.least(m / 10.0, F.lit(1.0))).otherwise(F.lit(0.0)).alias("rule_confidence"))
 
 
@@ -210,9 +217,7 @@ def classify_texts(texts: DataFrame, model: NBModel | None = None, text: str = "
     """Distinct texts → ml, rule and blended scores (one row per text)."""
     spark = texts.sparkSession
     model = model or default_model(spark)
-    ml = ml_scores(texts, model, text)
-    rules = rule_scores(ml, text)
-    both = rules.join(ml, text)   # same keys, same partitioning: a co-partitioned join
+    both = rule_scores(ml_scores(texts, model, text), text)   # the rules keep the columns they are given
     b = blend(F.col("ml_category"), F.col("ml_confidence"), F.col("rule_category"),
               F.col("rule_confidence"), F.col(text))
     return both.select(text, "ml_category", "ml_confidence", "rule_category", "rule_confidence",
@@ -247,8 +252,7 @@ def custom_rule_scores(descs: DataFrame, custom: DataFrame, text: str = "desc")
     ``custom``: (account_id, category, keywords ARRAY<STRING>) — a handful of rows per account,
     joined on the account (an equi-join), never broadcast blindly (it grows with accounts).
     """
-    from pyspark.ml.feature import StopWordsRemover
-    stop = StopWordsRemover.loadDefaultStopWords("english")
+    stop = RULE_STOP_WORDS
     d = F.col(text)
     j = descs.join(custom, "account_id").withColumn("_tok", rule_tokens(d, stop))
 

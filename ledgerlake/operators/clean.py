@@ -88,7 +88,7 @@ def _numeric_columns(df: DataFrame, exclude=()) -> tuple[list[str], dict]:
 
 def _joined_amount(a: str, b: str) -> Column:
     whole = F.col(a).cast("string")
-    cents = F.lpad(F.col(b).cast("string"), 2, "0")
+    cents = F.lpad(F.coalesce(F.col(b).cast("string"), F.lit("0")), 2, "0")   # missing cents are none
     return F.concat(whole, F.lit("."), cents)
 
 

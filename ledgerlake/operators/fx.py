@@ -32,12 +32,11 @@ def resolve_rates(live: DataFrame | None, fallback: DataFrame) -> DataFrame:
                     F.coalesce("_lsrc", "source").alias("source")))
 
 
-def _check_rate_table(rates: DataFrame) -> None:
-    """A caller-supplied rate table is broadcast, so prove its size first (one bounded probe:
-    at most MAX_DIM_ROWS + 1 rows are counted) and require one row per currency."""
-    n = rates.limit(MAX_DIM_ROWS + 1).count()
-    if n > MAX_DIM_ROWS:
-        raise ValueError(f"rate table has more than {MAX_DIM_ROWS} rows; resolve it to one row per currency first")
+def one_rate(rates: DataFrame) -> DataFrame:
+    """(currency, per_usd): one row per upper-cased code, of several the latest ``as_of`` (then the highest)."""
+    order = F.struct(*[c for c in ("as_of", "per_usd") if c in rates.columns])
+    return (rates.filter(F.col("per_usd").isNotNull()).groupBy(F.upper("currency").alias("currency"))
+            .agg(F.max_by("per_usd", order).alias("per_usd")))
 
 
 def pair_rate(from_rate: Column, to_rate: Column, from_cur: Column, to_cur: Column) -> Column:
@@ -53,14 +52,16 @@ def pair_rate(from_rate: Column, to_rate: Column, from_cur: Column, to_cur: Colu
 def with_rate(df: DataFrame, target: str, rates: DataFrame | None = None,
               currency_column: str = "currency") -> DataFrame:
     """Add ``conversion_rate`` (and ``rate_missing``) for converting ``currency_column`` to
-    ``target``. The rate table is bounded (one row per ISO code) and broadcast; the target's
-    own rate is a scalar subquery over the same table, so no second join is needed."""
+    ``target``. The default table has 129 rows and is broadcast; a caller's table is reduced to one
+    row per code and joined as Spark sees fit by its size. The target's own rate is a scalar
+    subquery over the same table, so no second join is needed."""
     spark = df.sparkSession
     if rates is None:
-        rates = fx_rates_dim(spark)                      # fixed 129 rows
+        rates = fx_rates_dim(spark)                      # fixed 129 rows, one per code
+        r = F.broadcast(rates.select(F.upper("currency").alias("_rc"), F.col("per_usd").alias("_from")))
     else:
-        _check_rate_table(rates)
-    r = F.broadcast(rates.select(F.upper("currency").alias("_rc"), F.col("per_usd").alias("_from")))
+        rates = one_rate(rates)
+        r = rates.select(F.col("currency").alias("_rc"), F.col("per_usd").alias("_from"))
     to_rate = (rates.filter(F.upper("currency") == target.upper())
                .agg(F.max("per_usd").alias("per_usd")).scalar())
     joined = df.join(r, F.upper(F.col(currency_column)) == F.col("_rc"), "left")

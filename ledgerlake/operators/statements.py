@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.session import keep_where
+from ledgerlake.dims import SIGN_DEBIT_WORDS
 from ledgerlake.functions.parsing import debit_credit, signed_amount, with_amount, with_date
 
 CANONICAL = ["date", "description", "amount", "currency", "type", "category", "confidence_score"]
@@ -27,12 +28,16 @@ def parse_statements(raw: DataFrame, as_of: Column | str | None = None, sign_mod
     """F1 + V1 as one projection.
 
     sign_mode ``by_type`` (default, Q6 decision): a debit/expense/withdrawal/payment row gets
-    −|amount|; ``as_is`` keeps the parsed sign (reference upload path).
+    −|amount|; ``as_is`` keeps the parsed sign (upload path). Sign and type follow one word
+    list. A table without a type column holds debits. A ``currency`` column tells the currency of
+    amounts that are printed without one.
     """
     as_of_c = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
-    lineage = [c for c in raw.columns if c not in ("date", "description", "amount", "type", "category")]
+    lineage = [c for c in raw.columns if c not in ("date", "description", "amount", "type", "category", "currency")]
     staged = raw.select(*lineage, *[_s(raw, c).alias(f"_{c}") for c in
-                                    ("date", "description", "amount", "type", "category")])
+                                    ("date", "description", "amount", "type", "category", "currency")])
+    if "type" not in raw.columns:
+        staged = staged.withColumn("_type", F.lit("Debit"))
     staged = with_date(staged, "_date", "_pdate", as_of_c)
     staged = with_amount(staged, "_amount", "_parsed")
     amt_txt, type_txt = F.col("_amount"), F.col("_type")
@@ -48,14 +53,17 @@ def parse_statements(raw: DataFrame, as_of: Column | str | None = None, sign_mod
                .when(desc.isNull() | (desc == ""), F.lit("missing_description"))
                .when(amt == 0, F.lit("missing_amount"))
                .when(F.lower(desc).isin("nan", "null"), F.lit("invalid_description")))
-    typ = F.when(type_txt.isNull(), F.when(amount < 0, F.lit("debit")).otherwise(F.lit("credit"))) \
-           .otherwise(debit_credit(type_txt))
+    is_debit = F.lower(F.trim(type_txt)).isin(*SIGN_DEBIT_WORDS) if sign_mode == "by_type" else debit_credit(type_txt) == "debit"
+    typ = F.when(F.when(type_txt.isNull(), amount < 0).otherwise(is_debit), F.lit("debit")).otherwise(F.lit("credit"))
+    named = F.nullif(F.upper(F.trim("_currency")), F.lit(""))
+    currency = F.when(amt_txt.rlike(r"[^0-9.,+\-()\s]"), F.col("_parsed.currency")).otherwise(
+        F.coalesce(named, F.col("_parsed.currency")))
     return staged.select(
         *lineage,
         F.col("_pdate").alias("date"),
         desc.alias("description"),
         amount.alias("amount"),
-        F.col("_parsed.currency").alias("currency"),
+        currency.alias("currency"),
         typ.alias("type"),
         F.coalesce(cat, F.lit("")).alias("category"),
         F.lit(DEFAULT_CONFIDENCE).alias("confidence_score"),

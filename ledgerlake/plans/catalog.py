@@ -444,26 +444,32 @@ def _written_statements(spark, sf_dir):
     m = _messy(spark, sf_dir)
     root = K.scratch_path(spark, "statements")
     cols = ["date", "description", "amount", "type", "category"]
-    m.select(*cols).repartition(4, "account_id").write.option("header", True).csv(f"{root}/comma")
-    m.select(*cols).repartition(2, "account_id").write.option("header", True).option("sep", ";").csv(f"{root}/semicolon")
+    # the rows' own partitions: as many files as the data needs; doubled quotes as in other CSV tools
+    write = lambda df: df.write.option("header", True).option("escape", '"')
+    write(m.select(*cols)).csv(f"{root}/comma")
+    write(m.select("category", "amount", "description", "type", "date").withColumnRenamed("description", "Merchant Details")
+          .withColumnRenamed("date", "posted_date")).option("sep", ";").csv(f"{root}/semicolon")
     return root
 
 
 @query("profile_files")
 def q_profile_files(spark, sf_dir):
     root = _written_statements(spark, sf_dir)
-    p = SRC.profile_files(SRC.read_files(spark, root))
-    return p.select("file_size", "encoding", "delimiter", "has_header", "column_count", "sample_rows",
-                    F.size("corruption_indicators").alias("n_indicators"), "valid", "strategy")
+    p = SRC.profile_lines(SRC.read_lines(spark, root))
+    return p.groupBy("delimiter", "encoding", "has_header", "column_count", "strategy", F.array_join("header", "/").alias("header")) \
+            .agg(F.sum(F.col("n_lines") - 1).alias("rows"))
+
+
+STATEMENT_ALIASES = {"date": C.CHUNK_ALIASES["date"], "description": C.CHUNK_ALIASES["description"],
+                     "amount": C.CHUNK_ALIASES["amount"], "type": C.CHUNK_ALIASES["type"], "category": ["category"]}
 
 
 @query("read_statements")
 def q_read_statements(spark, sf_dir):
+    """Two layouts of the same statements (other separator, column order and names) come back whole."""
     root = _written_statements(spark, sf_dir)
-    raw = SRC.read_by_profile(spark, SRC.profile_files(SRC.read_files(spark, root)))
-    parsed = ST.parse_statements(C.normalize_column_names(raw), AS_OF)
-    return parsed.groupBy("parse_strategy", F.coalesce("reject_reason", F.lit("accepted")).alias("reason")) \
-                 .agg(F.count(F.lit(1)).alias("rows"))
+    rows = SRC.statement_columns(SRC.read_records(spark, root), STATEMENT_ALIASES)
+    return rows.select("parse_strategy", *[F.coalesce(c, F.lit("")).alias(c) for c in STATEMENT_ALIASES])
 
 
 @query("normalize_and_convert")

@@ -8,7 +8,7 @@ on a DOUBLE rounds the scaled binary value.
 
 from __future__ import annotations
 
-from ledgerlake.dims import BUDGET_SHARES, WEEKDAY_NAMES, fallback_rates, report_formats
+from ledgerlake.dims import BUDGET_SHARES, RULE_STOP_WORDS, WEEKDAY_NAMES, fallback_rates, report_formats
 from ledgerlake.sources.testdata import ADAPTER_CATEGORIES, ADAPTER_CURRENCIES, ADAPTER_DESCRIPTIONS
 
 ORACLES: dict[str, str] = {}
@@ -653,22 +653,9 @@ FROM rr""", _RECOVER)
 
 # ---- keyword-rule categoriser (G4, G5) -------------------------------------------------
 
-def _spark_english_stop_words() -> list[str]:
-    """The list ``StopWordsRemover.loadDefaultStopWords('english')`` reads (a resource of the
-    MLlib jar shipped with pyspark), read from the jar without starting a JVM."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-
-
 def _rule_oracle(src: str = "t"):
     from ledgerlake.dims import CATEGORY_KEYWORDS, CATEGORY_PATTERNS
-    stop = "[" + ", ".join(sql_str(w) for w in _spark_english_stop_words()) + "]"
+    stop = "[" + ", ".join(sql_str(w) for w in RULE_STOP_WORDS) + "]"
     cats = list(CATEGORY_KEYWORDS)
     kw = ("(VALUES " + ", ".join(f"({i}, {sql_str(c)}, {sql_str(k)}, {len(k.split())})"
                                  for i, c in enumerate(cats) for k in CATEGORY_KEYWORDS[c])
@@ -694,11 +681,8 @@ d AS (SELECT "desc", list_filter(string_split_regex(trim(regexp_replace("desc",
                                lambda x: length(x) > 2 AND NOT list_contains({stop}, x)) AS toks FROM d0)"""
 
 
-try:
-    _body, _ctes = _rule_oracle()
-    q("rule_categorize", _body, _ctes)
-except Exception:  # pragma: no cover - no bundled jar: the driver falls back to rows-only
-    pass
+_body, _ctes = _rule_oracle()
+q("rule_categorize", _body, _ctes)
 
 
 # ---- naive-Bayes categoriser (G1, G3) ---------------------------------------------------
@@ -747,7 +731,7 @@ q("ml_categorize", _nb_body, _nb_ctes)
 # ---- user-defined categories (G8) ------------------------------------------------------
 
 def _custom_oracle():
-    stop = "[" + ", ".join(sql_str(w) for w in _spark_english_stop_words()) + "]"
+    stop = "[" + ", ".join(sql_str(w) for w in RULE_STOP_WORDS) + "]"
     ctes = f"""
 cd0 AS (SELECT DISTINCT account_id, lower(trim(description)) AS "desc" FROM t),
 cd AS (SELECT account_id, "desc",
@@ -768,11 +752,8 @@ SELECT account_id, "desc", category AS custom_category, score AS custom_score FR
     return body, ctes
 
 
-try:
-    _cb, _cc = _custom_oracle()
-    q("custom_categorize", _cb, _cc)
-except Exception:  # pragma: no cover - no bundled jar: rows-only check
-    pass
+_cb, _cc = _custom_oracle()
+q("custom_categorize", _cb, _cc)
 
 
 
@@ -802,11 +783,8 @@ FROM good g LEFT JOIN blend b ON b."desc" = lower(trim(g.description))"""
     return body, ctes
 
 
-try:
-    _hb, _hc = _hybrid_oracle()
-    q("hybrid_categorize", _hb, _hc)
-except Exception:  # pragma: no cover - no bundled jar: rows-only check
-    pass
+_hb, _hc = _hybrid_oracle()
+q("hybrid_categorize", _hb, _hc)
 
 
 # ---- normalise-and-convert chain (J12: F5 → C14 → J5 → F19) ----------------------------
@@ -876,6 +854,11 @@ FROM messy GROUP BY 1, 2""", RAW)
 # the delimiter-detection scan, and parsing gives the reject reasons of the source rows.
 
 q("read_statements", """
-SELECT s.parse_strategy, coalesce(stmt.reject_reason, 'accepted') AS reason, count(*) AS rows
-FROM stmt CROSS JOIN (VALUES ('standard'), ('delimiter_detection')) s(parse_strategy)
-GROUP BY 1, 2""", RAW)
+SELECT s.parse_strategy, coalesce(trim(date), '') AS date, coalesce(trim(description), '') AS description,
+       coalesce(trim(amount), '') AS amount, coalesce(trim(type), '') AS type, coalesce(trim(category), '') AS category
+FROM messy CROSS JOIN (VALUES ('standard'), ('delimiter_detection')) s(parse_strategy)""", RAW)
+
+q("profile_files", """
+SELECT ',' AS delimiter, 'utf-8' AS encoding, true AS has_header, 5 AS column_count, 'standard' AS strategy,
+       'date/description/amount/type/category' AS header, count(*) AS rows FROM messy
+UNION ALL SELECT ';', 'utf-8', true, 5, 'delimiter_detection', 'category/amount/Merchant Details/type/posted_date', count(*) FROM messy""", RAW)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,16 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none: an explicit ``fallback`` (tests), else a folder under the
-    session's warehouse directory — shared storage by definition, never a machine-local temp
-    folder. The choice is registered as the context's checkpoint directory.
+    Only when the session names none: an explicit ``fallback`` (tests), else a temporary folder for
+    a local master, which shares it with itself; a cluster without the setting is an error. The
+    choice is registered as the context's checkpoint directory.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = fallback or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ledgerlake_checkpoints"
+        master = spark.sparkContext.master
+        if not fallback and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = fallback or tempfile.mkdtemp(prefix="ledgerlake-")
         spark.sparkContext.setCheckpointDir(d)
     if d.startswith("file:"):
         d = d[len("file:"):]

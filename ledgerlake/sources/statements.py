@@ -1,17 +1,19 @@
 """Statement file sources (S1–S16): CSV scans, file profiling, encodings, hashes.
 
-* ``read_statements`` — the scalable path: Spark's split CSV reader, every column STRING (no
-  inference), malformed lines kept in ``_corrupt_record``, the source file as lineage.
-* ``read_files`` / ``profile_files`` — one row per file from ``binaryFile``: size, encoding,
-  delimiter ranking, header guess, corruption indicators, SHA-256 and a parse strategy, all as
-  column expressions over the file bytes (one task per file, no driver loop over rows).
-* ``read_by_profile`` — groups files by the detected (delimiter, header) and runs one
-  ``spark.read.csv`` per group (a handful of groups), unioned by name.
+* ``read_lines`` / ``profile_lines`` — files of any size, read line-wise in splits: per file the
+  encoding, delimiter, header, widths, corruption counts and parse strategy as one pre-aggregated
+  group-by over all lines.
+* ``read_records`` — the lossless path: every record of every file, split by that file's own
+  delimiter and header into any number of cells; extra cells and broken quotes are kept and
+  reported, quoted line ends are rejoined, windows-1252 bytes are decoded.
+* ``read_statements`` — Spark's split CSV reader for files that share one header.
+* ``read_files`` / ``profile_files`` — one row per file from ``binaryFile`` for uploads: size limit
+  report, content hash, first-lines indicators.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # FIXED VALUES — limits and patterns of the file checks.
@@ -20,7 +22,9 @@ DELIMITERS = [",", ";", "\t", "|"]
 CORRUPTION_PATTERNS = [r"\d+,\d+,\d+", r"[^\w\s€$₹£¥₽₱₩]+\d+[^\w\s€$₹£¥₽₱₩]+", r"^\d+$"]
 PROFILE_CHARS = 1000
 PROFILE_LINES = 10
-MAX_COLUMNS = 64       # widest statement row the corrupted-column scan splits
+# windows-1252 where it differs from latin-1
+CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
 def read_statements(spark: SparkSession, paths, sep: str = ",", header: bool = True,
@@ -32,17 +36,116 @@ def read_statements(spark: SparkSession, paths, sep: str = ",", header: bool = T
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_lines(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
+    """(source_file, at, line): all lines of text files in splits; ``at`` orders the lines of a file."""
+    raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(paths)
+           .select(F.col("_metadata.file_path").alias("source_file"),
+                   F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")).alias("at"),
+                   F.col("value")))
+    plain = F.is_valid_utf8("value")
+    old = F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), CP1252_BYTES, CP1252_CHARS)
+    text = F.regexp_replace(F.when(plain, F.col("value")).otherwise(old), "^\ufeff|\r$", "")
+    return raw.select("source_file", "at", text.alias("line"), plain.alias("utf8"))
+
+
+def cells_of(line: Column, sep: Column) -> Column:
+    """The cells of a CSV record, any number of them: quotes may hold separators, ``""`` is a quote."""
+    quoted = F.split(line, F.concat(F.when(sep == "|", F.lit("\\|")).otherwise(sep), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)')), -1)
+    plain = F.split(line, F.when(sep == "|", F.lit("\\|")).otherwise(sep), -1)
+    raw = F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
+    bare = lambda c: F.when(c.rlike(r'(?s)^\s*".*"\s*$') & (F.length(F.trim(c)) > 1),
+                            F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(raw, bare)
+
+
+def profile_lines(lines: DataFrame) -> DataFrame:
+    """S3-S5, S8, S11 decided on all lines of a file, one pre-aggregated row per file."""
+    n = {d: F.sum(_count(F.col("line"), d)) for d in DELIMITERS}
+    filled = F.trim("line") != ""
+    per = lines.groupBy("source_file").agg(
+        F.min_by("line", "at").alias("header_line"), F.min("at").alias("header_at"), F.bool_and("utf8").alias("utf8"),
+        *[c.alias(f"_n{i}") for i, c in enumerate(n.values())],
+        F.count(F.when(filled, 1)).alias("n_lines"),
+        F.min(F.when(filled, _count(F.col("line"), ","))).alias("_least"), F.max(F.when(filled, _count(F.col("line"), ","))).alias("_most"),
+        F.bool_or(_count(F.col("line"), '"') % 2 == 1).alias("open_quotes"),
+        *[F.count(F.when(F.col("line").rlike(p), 1)).alias(f"_p{i}") for i, p in enumerate(CORRUPTION_PATTERNS)])
+    ranked = F.transform(F.reverse(F.array_sort(F.array(*[
+        F.struct(F.col(f"_n{i}").alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]))), lambda x: x["d"])
+    per = per.withColumn("likely_delimiters", ranked).withColumn("delimiter", F.get("likely_delimiters", F.lit(0)))
+    per = per.withColumn("header", F.transform(cells_of(F.col("header_line"), F.col("delimiter")), lambda c: F.trim(c)))
+    has_header = F.size(F.filter("header", lambda c: c.rlike("[a-zA-Z]"))) >= 2
+    damaged = (F.col("_least") != F.col("_most")) | sum(F.col(f"_p{i}") for i in range(len(CORRUPTION_PATTERNS))).cast("boolean")
+    strategy = (F.when((F.col("delimiter") == ",") & (F.size("header") > 2), F.lit("standard"))
+                 .when(F.size("header") > 2, F.lit("delimiter_detection"))
+                 .when(damaged, F.lit("corrupted_column")).otherwise(F.lit("manual_mapping")))
+    return per.select("source_file", F.when(F.col("utf8"), F.lit("utf-8")).otherwise(F.lit("windows-1252")).alias("encoding"),
+                      "delimiter", "likely_delimiters", has_header.alias("has_header"), "header", "header_at", "n_lines", "open_quotes",
+                      F.size("header").alias("column_count"), damaged.alias("damaged"), strategy.alias("strategy"))
+
+
+def read_records(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
+    """Every record of every file by its own header, nothing dropped but blank lines.
+
+    Columns: source_file, at, parse_strategy, header, cells, fields (map of header name to cell; a
+    repeated name keeps its last cell), extra (cells beyond the header) and _corrupt_record (the
+    record's text where it has extra or missing cells or an open quote). Files without a header
+    line name their columns ``_c0``, ``_c1``, ...
+    """
+    lines = read_lines(spark, paths, glob)
+    files = profile_lines(lines)
+    known = lines.join(files, "source_file")
+    known = known.filter((F.col("at") != F.col("header_at")) | ~F.col("has_header"))
+    keep = ["source_file", "at", "line", "strategy", "header", "has_header", "delimiter"]
+    # files with a quoted line end: a record goes on while the quotes before the line's end are odd
+    order = Window.partitionBy("source_file").orderBy("at")
+    odd = _count(F.col("line"), '"') % 2
+    inside = F.coalesce(F.sum(odd).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    joined = (known.filter("open_quotes").withColumn("_start", F.when(inside == 0, 1).otherwise(0))
+              .withColumn("_rec", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("source_file", "_rec").agg(
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("line"),
+                  F.min("at").alias("at"), *[F.first(c).alias(c) for c in keep[3:]]).select(*keep))
+    rows = known.filter("NOT open_quotes").select(*keep).unionByName(joined).filter(F.trim("line") != "")
+    rows = rows.withColumn("cells", cells_of(F.col("line"), F.col("delimiter")))
+    names = F.when(F.col("has_header"), F.col("header")).otherwise(F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("_c"), i.cast("string"))))
+    rows = rows.withColumn("header", names)
+    n = F.least(F.size("header"), F.size("cells"))
+    pairs = F.arrays_zip(F.slice("header", 1, n).alias("k"), F.slice("cells", 1, n).alias("v"))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.filter(pairs, lambda y, j: j > i), lambda y: y["k"] == x["k"]))
+    bad = (F.size("cells") != F.size("header")) | (_count(F.col("line"), '"') % 2 == 1)
+    return rows.select("source_file", "at", F.col("strategy").alias("parse_strategy"), "header", "cells",
+                       F.map_from_entries(last).alias("fields"),
+                       F.when(F.size("cells") > F.size("header"), F.slice("cells", F.size("header") + 1, F.size("cells") - F.size("header"))).alias("extra"),
+                       F.when(bad, F.col("line")).alias("_corrupt_record"))
+
+
+def statement_columns(records: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """C11/C13 in the read path: canonical columns from each file's own header.
+
+    A canonical column takes the cell of the first header name that is its name, or else contains one of
+    its aliases (lower-cased). Missing cells are null."""
+    low = F.transform("header", lambda h: F.lower(F.trim(h)))
+
+    def at(name: str, words: list[str]) -> Column:
+        fuzzy = lambda h: sum((F.contains(h, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
+        exact = F.array_position(low, F.lit(name))
+        near = F.array_position(F.transform(low, fuzzy), F.lit(True))
+        return F.when(exact > 0, exact).otherwise(near)
+    cell = lambda i: F.when(i > 0, F.nullif(F.get("cells", (i - 1).cast("int")), F.lit("")))
+    return records.select("source_file", "parse_strategy", "extra", "_corrupt_record", *[cell(at(c, w)).alias(c) for c, w in aliases.items()])
+
+
 def read_text_minimal(spark: SparkSession, paths, columns: list[str]) -> DataFrame:
     """Naive comma split of text lines. The first line of each file is the header and is
     skipped; blank lines and lines with fewer fields than the header are skipped; a
     non-numeric amount drops only that field (NULL); defaults 'uncategorized' / 'USD'.
-    Files are read whole (``wholetext``, bounded by S13) so line 0 of every file is known."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("_f"), F.col("value"))
-    lines = files.select("_f", F.posexplode(F.split(F.trim(F.col("value")), "\r?\n")).alias("_pos", "line"))
-    lines = lines.select("_f", "_pos", "line", F.split(F.col("line"), ",").alias("_parts"))
+    Lines are read in splits; the first line of a file is known from the per-file minimum."""
+    lines = read_lines(spark, paths, "*")
+    first = lines.groupBy("source_file").agg(F.min("at").alias("first_at"))
+    lines = lines.join(first, "source_file").filter(F.col("at") != F.col("first_at"))
+    lines = lines.select(F.col("source_file").alias("_f"), "line", F.split(F.col("line"), ",").alias("_parts"))
     parts = F.col("_parts")
-    body = lines.filter((F.col("_pos") > 0) & (F.trim("line") != "") & (F.size(parts) >= len(columns)))
+    body = lines.filter((F.trim("line") != "") & (F.size(parts) >= len(columns)))
     sel = []
     for i, c in enumerate(columns):
         v = F.trim(F.get(parts, i))
@@ -74,8 +177,9 @@ def profile_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFram
     applies to rows built by other means; empty uploads simply produce no row."""
     bom = F.substring(F.col("content"), 1, 3) == F.unhex(F.lit("EFBBBF"))
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    encoding = F.when(bom, F.lit("utf-8-sig")).when(utf8, F.lit("utf-8")).otherwise(F.lit("latin-1"))
-    text = F.when(utf8, F.decode(F.col("content"), "UTF-8")).otherwise(F.decode(F.col("content"), "ISO-8859-1"))
+    encoding = F.when(bom, F.lit("utf-8-sig")).when(utf8, F.lit("utf-8")).otherwise(F.lit("windows-1252"))
+    text = F.when(utf8, F.decode(F.col("content"), "UTF-8")).otherwise(
+        F.translate(F.decode(F.col("content"), "ISO-8859-1"), CP1252_BYTES, CP1252_CHARS))
     staged = files.select("path", "length", "content", encoding.alias("encoding"), text.alias("_text"))
     head = F.substring(F.col("_text"), 1, PROFILE_CHARS)
     counts = F.array(*[F.struct(_count(head, d).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d"))
@@ -107,7 +211,7 @@ def profile_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFram
                  .when(F.size(F.col("corruption_indicators")) > 0, F.lit("corrupted_column"))
                  .otherwise(F.lit("manual_mapping")))
     return s1.select(
-        "path", F.col("length").alias("file_size"), "encoding", delim.alias("delimiter"), "likely_delimiters",
+        "path", F.col("length").alias("file_size"), "encoding", F.regexp_replace("_first", "^\ufeff", "").alias("header_line"), delim.alias("delimiter"), "likely_delimiters",
         header_guess.alias("has_header"), F.size(fields).alias("column_count"),
         F.least(F.greatest(F.size(F.filter(F.split(F.col("_text"), "\r?\n"), lambda ln: F.trim(ln) != "")) -
                            F.when(header_guess, 1).otherwise(0), F.lit(0)), F.lit(5)).alias("sample_rows"),
@@ -117,44 +221,37 @@ def profile_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFram
 
 
 def read_by_profile(spark: SparkSession, profile: DataFrame) -> DataFrame:
-    """One CSV scan per detected (delimiter, header, encoding) group, union by name.
-    The driver reads the distinct groups (≤ 4 delimiters × 2 × 3) with their file paths — the
-    same list Spark's own file index keeps on the driver for any file scan."""
-    groups = (profile.filter("valid").groupBy("delimiter", "has_header", "encoding")
+    """One CSV scan per (delimiter, header line, encoding), united by name.
+
+    Files are read with their own header only; the size and type checks of the profile are a
+    report and drop nothing. For many different headers ``read_records`` needs one scan."""
+    groups = (profile.groupBy("delimiter", "has_header", "encoding", "header_line")
               .agg(F.collect_list("path").alias("paths")).collect())
     out = None
     for g in groups:
         enc = "UTF-8" if g["encoding"].startswith("utf-8") else "ISO-8859-1"
         df = read_statements(spark, g["paths"], sep=g["delimiter"], header=g["has_header"], encoding=enc)
+        if enc != "UTF-8":
+            df = df.select(*[F.translate(c, CP1252_BYTES, CP1252_CHARS).alias(c) for c in df.columns])
         df = df.withColumn("parse_strategy", F.lit("standard" if g["delimiter"] == "," else "delimiter_detection"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return out if out is not None else spark.createDataFrame([], "source_file string, parse_strategy string")
 
 
 def read_corrupted_columns(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
     """Headerless read; per file, the first of the first three lines with ≥ 2 cells that
     contain letters is the header and is dropped from the data. Files carry different headers,
-    so each row comes out as ``fields MAP<header name, value>`` plus its file and line number.
-    One row per file is loaded whole (``wholetext``) — statement files are bounded (S13)."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("value"))
-    lines = files.select("source_file", F.posexplode(F.split(F.col("value"), "\r?\n")).alias("line_no", "line")) \
-                 .filter(F.trim("line") != "")
-    # proper CSV field splitting (quotes, embedded separators): from_csv into a wide string row
-    # (parsed once into its own column: the 64 field references below read that column)
-    parsed = F.from_csv(F.col("line"), ", ".join(f"c{i} STRING" for i in range(MAX_COLUMNS)), {"sep": sep})
-    width = F.size(F.split(F.col("line"), sep))              # upper bound on the field count
-    staged = lines.select("source_file", "line_no", "line", parsed.alias("_p"), width.alias("_w"))
-    cells = staged.select("source_file", "line_no", "line", F.slice(
-        F.array(*[F.col(f"_p.c{i}") for i in range(MAX_COLUMNS)]), 1, F.least(F.col("_w"), F.lit(MAX_COLUMNS))).alias("cells"))
-    cells = cells.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
-    is_header = (F.col("line_no") < 3) & (F.size(F.filter("cells", lambda c: c.rlike("[a-zA-Z]"))) >= 2)
-    headers = (cells.filter(is_header).groupBy("source_file")
-               .agg(F.min_by("cells", "line_no").alias("header"), F.min("line_no").alias("header_line")))
-    joined = cells.join(headers, "source_file", "left")
-    data = joined.filter(F.col("header_line").isNull() | (F.col("line_no") != F.col("header_line")))
+    so each row comes out as ``fields MAP<header name, value>`` plus its file; rows have any width."""
+    lines = read_lines(spark, paths, "*").filter(F.trim("line") != "")
+    cells = lines.select("source_file", "at", cells_of(F.col("line"), F.lit(sep)).alias("cells"))
+    # the first lines lie in a file's first split
+    top = (cells.filter(F.col("at.block") == 0).withColumn("line_no", F.row_number().over(Window.partitionBy("source_file").orderBy("at")))
+           .filter((F.col("line_no") <= 3) & (F.size(F.filter("cells", lambda c: c.rlike("[a-zA-Z]"))) >= 2)))
+    headers = top.groupBy("source_file").agg(F.min_by("cells", "line_no").alias("header"), F.min("at").alias("header_at"))
+    data = cells.join(headers, "source_file", "left").filter(F.col("header_at").isNull() | (F.col("at") != F.col("header_at")))
     names = F.coalesce(F.col("header"), F.transform("cells", lambda c, i: F.concat(F.lit("_c"), i.cast("string"))))
     n = F.least(F.size(names), F.size("cells"))
-    return data.select("source_file", "line_no", names.alias("header"),
+    return data.select("source_file", "at", names.alias("header"),
                        F.map_from_arrays(F.slice(F.transform(names, lambda c: F.trim(c)), 1, n),
-                                         F.slice("cells", 1, n)).alias("fields"))
+                                         F.slice("cells", 1, n)).alias("fields"),
+                       F.when(F.size("cells") > F.size(names), F.slice("cells", F.size(names) + 1, F.size("cells") - F.size(names))).alias("extra"))

@@ -11,7 +11,7 @@ DuckDB oracle (``ledgerlake.plans.oracle``).
   amount       +o_totalprice for status 'O' (income), -o_totalprice otherwise (expense)
   currency     ADAPTER_CURRENCIES[o_orderkey % 10]
   category     ADAPTER_CATEGORIES[o_orderkey % 13]
-  description  ADAPTER_DESCRIPTIONS[(7 * o_orderkey + o_custkey) % 26]
+  description  ADAPTER_DESCRIPTIONS[(7 * o_orderkey + o_custkey) % 30]
   type         'debit' for expenses, else 'credit'
 
 ``raw_statements`` prints the same rows as statement text (dates in six formats, amounts with
@@ -28,13 +28,14 @@ ADAPTER_CURRENCIES = ["USD", "EUR", "INR", "GBP", "JPY", "CAD", "AUD", "CHF", "C
 ADAPTER_CATEGORIES = ["food", "transport", "entertainment", "shopping", "utilities", "healthcare",
                       "education", "travel", "insurance", "investment", "other", "health", "salary"]
 ADAPTER_DESCRIPTIONS = [
-    "Starbucks Coffee", "Shell Gas Station", "Amazon Purchase", "Salary Deposit",
-    "Netflix Subscription", "Walmart Grocery", "Uber Ride", "Electric Bill", "Target Shopping",
-    "Restaurant Dinner", "Gym Membership", "Spotify Premium", "Bookstore Purchase",
-    "Insurance Payment", "New Year Dinner", "Electricity Bill", "Ola Cab Ride",
-    "Fidelity Brokerage", "Café Central", "REWE Grocery", "Amazon.de Purchase",
-    "Big Bazaar Grocery", "Indian Oil Petrol Pump", "Myntra Shopping", "Zara Shopping",
-    "Amazon India Purchase",
+    "Bäckerei Lindenhof", "Harbour Kiosk 12", "Tram Ticket Zone 3", "Monthly Wages Orchard Ltd",
+    "Riverside Cinema", "Green Grocer Maple St", "City Bikes Rental", "Water Works Invoice",
+    "Blue Door Hardware", "Crêperie du Port", "Yoga Studio Pass", "Vinyl Corner",
+    "Second Page Bookstore", "Home Insurance Premium", "Ferry to Island", "Power Bill North Grid",
+    "Night Taxi 4411", "Index Fund Savings Plan", "Niño Café", "Farm Market Stall",
+    "Toy Parcel Online Order", "Spice Lane Grocery", "Fuel Stop Route 9", "Linen Shop",
+    "Dental Clinic Dr Osei", "Language Course Fee", "Hostel Booking", "Quartz Watch Repair",
+    "Garden Centre", "Untitled transfer",
 ]
 # How each currency is printed in the raw statement: (prefix, decimal mark, suffix).
 RAW_AMOUNT_STYLE = {
