@@ -44,7 +44,9 @@ GROUPS = 256
 #: Rate at which a shingle is frequent, and the shingles that a task counts together.
 FREQUENT, CHUNK = 1 / (1 << 19), 1 << 22
 #: Points of an R-tree leaf; cells up to FOREST points are searched whole in the first round.
-LEAF, FOREST = 32, 512
+LEAF, FOREST = 32, 2048
+#: Pairs that a task holds before it passes them on.
+FLUSH = 200_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 NARROW_ROWS = 20_000
@@ -111,18 +113,19 @@ def prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent
 # ---- the tree of a cell ----
 
 def survivors(points: np.ndarray, sizes: np.ndarray, percent: int, labels: np.ndarray | None = None):
-    """(i, j, bound) of pairs whose summed minima reach the needed overlap; of unlike labels only.
+    """Blocks (i, j, bound) of pairs whose summed minima reach the needed overlap; of unlike labels only.
 
     A packed R-tree: points sorted by label and size fill leaves of ``LEAF``; pairs of leaves are
-    bounded by their upper corners and sizes, those left by their points.
+    bounded by their upper corners and sizes, those left by their points. One block holds the
+    pairs of one leaf with the leaves from it on.
     """
     order = np.lexsort((sizes, labels)) if labels is not None else np.argsort(sizes, kind="stable")
     leaves = [order[i:i + LEAF] for i in range(0, len(order), LEAF)]
     corner = np.array([points[x].max(axis=0) for x in leaves])
     low, high = np.array([sizes[x].min() for x in leaves]), np.array([sizes[x].max() for x in leaves])
     only = [labels[x[0]] if labels is not None and (labels[x] == labels[x[0]]).all() else None for x in leaves]
-    out_i, out_j, out_b = [], [], []
     for a, x in enumerate(leaves):
+        out_i, out_j, out_b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
         bound = np.minimum(corner[a], corner[a:]).sum(axis=1, dtype=np.int64)
         fits = (bound >= needed(low[a] + low[a:], percent)) | (high[a] > 65535)
         fits &= (100 * high[a:] >= percent * low[a]) & (100 * high[a] >= percent * low[a:])
@@ -139,12 +142,15 @@ def survivors(points: np.ndarray, sizes: np.ndarray, percent: int, labels: np.nd
             if labels is not None:
                 ok &= labels[x][:, None] != labels[y][None, :]
             i, j = np.nonzero(ok)
-            out_i.append(x[i])
-            out_j.append(y[j])
-            out_b.append(sums[i, j] / np.maximum(1, both[i, j] - sums[i, j]))
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_b)
+            out_i.append(x[i].astype(np.int32))
+            out_j.append(y[j].astype(np.int32))
+            out_b.append((sums[i, j] / np.maximum(1, both[i, j] - sums[i, j])).astype(np.float32))
+        yield np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_b)
+
+
+def together(blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = list(blocks)
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
 
 
 def forest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
@@ -157,12 +163,15 @@ def forest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, nodes: np.ndarray) -
             x = top[x]
         return x
     out = []
-    low, high = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-    for k in np.lexsort((high, low, -bound)):
-        a, b = find(i[k]), find(j[k])
+    # equal bounds by the nodes' order, so cells that share documents choose the same pairs
+    rank = np.argsort(np.argsort(nodes)).astype(np.int32)
+    for k in np.lexsort((np.maximum(rank[i], rank[j]), np.minimum(rank[i], rank[j]), -bound)).tolist():
+        a, b = find(int(i[k])), find(int(j[k]))
         if a != b:
             top[a] = b
-            out.append((int(low[k]), int(high[k])))
+            out.append((int(min(nodes[i[k]], nodes[j[k]])), int(max(nodes[i[k]], nodes[j[k]]))))
+            if len(out) == len(nodes) - 1:
+                break
     return out
 
 
@@ -309,6 +318,10 @@ def _tried(cells: DataFrame, percent: int) -> DataFrame:
     Without labels the first round: a forest of the surviving pairs, or stars. With labels every
     surviving pair of unlike labels.
     """
+    def batch(found: list) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
     def run(batches):
         for t in runs(batches, 2):
             d1, d2, node, n = (t.column(k).to_numpy() for k in range(4))
@@ -316,29 +329,30 @@ def _tried(cells: DataFrame, percent: int) -> DataFrame:
             labels = None if t.column(5).null_count else t.column(5).to_numpy()
             at = starts_of(d1, d2)
             size = np.diff(np.append(at, len(node)))
-            a, b = [], []
+            found, rows_ = [], 0
             two = at[size == 2]
             if len(two) and labels is None:
                 sums = np.minimum(points[two], points[two + 1]).sum(axis=1, dtype=np.int64)
                 x, y = n[two], n[two + 1]
                 ok = ((sums >= needed(x + y, percent)) | (np.maximum(x, y) > 65535)) & (100 * x >= percent * y) & (100 * y >= percent * x)
-                a.append(np.minimum(node[two], node[two + 1])[ok])
-                b.append(np.maximum(node[two], node[two + 1])[ok])
+                found.append(np.stack([np.minimum(node[two], node[two + 1])[ok], np.maximum(node[two], node[two + 1])[ok]], axis=1))
             for k, m in zip(at[size > 2], size[size > 2]):
                 rows = slice(k, k + m)
                 p, s, v = points[rows], n[rows], node[rows]
                 if labels is not None:
-                    i, j, _ = survivors(p, s, percent, labels[rows])
-                    pairs = np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], axis=1)
+                    parts = (np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], axis=1) for i, j, _ in survivors(p, s, percent, labels[rows]))
                 elif m <= FOREST:
-                    pairs = np.array(forest(*survivors(p, s, percent), v), np.int64).reshape(-1, 2)
+                    parts = [np.array(forest(*together(survivors(p, s, percent)), v), np.int64).reshape(-1, 2)]
                 else:
-                    pairs = np.array(stars(p, s, v, percent), np.int64).reshape(-1, 2)
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
-            if a:
-                both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                    parts = [np.array(stars(p, s, v, percent), np.int64).reshape(-1, 2)]
+                for part in parts:
+                    found.append(part)
+                    rows_ += len(part)
+                    if rows_ > FLUSH:
+                        yield batch(found)
+                        found, rows_ = [], 0
+            if found:
+                yield batch(found)
 
     dealt = cells.select("d1", "d2", "node", "n", "point", "label").repartition("d1", "d2").sortWithinPartitions("d1", "d2", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()

@@ -136,4 +136,5 @@ def count_documents(docs: DataFrame, path: str = TOKENIZER, end: int = END, bloc
     folder = scratch(spark, "tokens")
     written = materialize(write_tokens(docs, folder, path, end), "token-places")
     blocks = blocks_of(spark, folder, written.select("file").distinct(), block)
-    return written.join(scan(folder, blocks, end), ["file", "place"], "left")
+    # both sides have a row per document: never a broadcast, however small the files' names compress
+    return written.hint("merge").join(scan(folder, blocks, end), ["file", "place"], "left")

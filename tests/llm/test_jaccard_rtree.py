@@ -73,7 +73,7 @@ def test_the_tree_loses_no_pair():
     points = rnd.poisson(2, (150, jr.GROUPS)).astype("<u2")
     points[75:] = np.maximum(points[:75].astype(int) + rnd.integers(-1, 2, (75, jr.GROUPS)) * (rnd.random((75, jr.GROUPS)) < 0.1), 0)
     sizes = points.sum(axis=1).astype(np.int64)
-    i, j, _ = jr.survivors(points, sizes, 85)
+    i, j, _ = jr.together(jr.survivors(points, sizes, 85))
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a in range(150) for b in range(a + 1, 150)
             if np.minimum(points[a], points[b]).sum() >= jr.needed(sizes[a] + sizes[b], 85) and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])}
