@@ -13,10 +13,12 @@ any common order of the shingles (rare ones first), so every link has both ends
 link is lost: cells that hold the same documents are searched once.
 
 Only connections matter to components: in a cell, surviving pairs are tried from the highest
-bound down while they join documents not yet joined (in large cells: each document with a
-centre). What the sets confirm is joined; then every surviving pair of a cell whose ends are still
-in different components is verified as well. Equal sets are one point from the start, so copies
-are never paired.
+bound down while they join documents not yet joined. What the sets confirm is joined; then every
+surviving pair of a cell whose ends are still in different components is verified as well. A cell
+of more than ``FOREST`` points is dealt into parts that share one of them; in the second round
+the points outside the cell's largest component meet all parts, so no pair of unlike components
+is left out and no task holds a whole large cell. Equal sets are one point from the start, so
+copies are never paired.
 
 A shingle is frequent when it makes up ``FREQUENT`` of all shingles or more, so at most 1/FREQUENT
 are; their counts order the shingles and change which cells there are, never which links.
@@ -43,8 +45,8 @@ from ledgerlake.llm.common import WORD, aside, materialize, small_batches
 GROUPS = 256
 #: Rate at which a shingle is frequent, and the shingles that a task counts together.
 FREQUENT, CHUNK = 1 / (1 << 19), 1 << 22
-#: Points of an R-tree leaf; cells up to FOREST points are searched whole in the first round.
-LEAF, FOREST = 32, 2048
+#: Points of an R-tree leaf; cells of more than FOREST points are dealt into parts of half as many.
+LEAF, FOREST = 32, 1024
 #: Pairs that a task holds before it passes them on.
 FLUSH = 200_000
 #: Words whose hashes a worker remembers.
@@ -175,22 +177,6 @@ def forest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, nodes: np.ndarray) -
     return out
 
 
-def stars(points: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Centres of a large cell with the points around them: the next centre is nearest to the median of the rest."""
-    left, out = np.arange(len(nodes)), []
-    for _ in range(8):
-        middle = np.median(points[left], axis=0)
-        c = left[np.lexsort((nodes[left], np.abs(points[left] - middle).sum(axis=1)))[0]]
-        rest = left[left != c]
-        sums = np.minimum(points[rest], points[c]).sum(axis=1, dtype=np.int64)
-        near = (sums >= needed(sizes[rest] + sizes[c], percent)) | (np.maximum(sizes[rest], sizes[c]) > 65535)
-        out += [(int(min(nodes[c], nodes[k])), int(max(nodes[c], nodes[k]))) for k in rest[near]]
-        left = rest[~near]
-        if len(left) < 2:
-            break
-    return out
-
-
 def runs(batches, keys: int):
     """Arrow batches sorted by their first ``keys`` columns -> tables that never split a run of equal keys."""
     held = None
@@ -313,9 +299,9 @@ def _cells(signatures: DataFrame) -> DataFrame:
 
 
 def _tried(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes to verify, from cells (d1, d2, node, n, point, label or null).
+    """(a, b): pairs of nodes to verify, from cells (d1, d2, part, node, n, point, label or null).
 
-    Without labels the first round: a forest of the surviving pairs, or stars. With labels every
+    Without labels the first round: a forest of the surviving pairs of each part. With labels every
     surviving pair of unlike labels.
     """
     def batch(found: list) -> pa.RecordBatch:
@@ -323,11 +309,11 @@ def _tried(cells: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches):
-        for t in runs(batches, 2):
-            d1, d2, node, n = (t.column(k).to_numpy() for k in range(4))
-            points = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype="<u2").reshape(len(node), GROUPS)
-            labels = None if t.column(5).null_count else t.column(5).to_numpy()
-            at = starts_of(d1, d2)
+        for t in runs(batches, 3):
+            d1, d2, part, node, n = (t.column(k).to_numpy() for k in range(5))
+            points = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype="<u2").reshape(len(node), GROUPS)
+            labels = None if t.column(6).null_count else t.column(6).to_numpy()
+            at = starts_of(d1, d2, part)
             size = np.diff(np.append(at, len(node)))
             found, rows_ = [], 0
             two = at[size == 2]
@@ -341,23 +327,28 @@ def _tried(cells: DataFrame, percent: int) -> DataFrame:
                 p, s, v = points[rows], n[rows], node[rows]
                 if labels is not None:
                     parts = (np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], axis=1) for i, j, _ in survivors(p, s, percent, labels[rows]))
-                elif m <= FOREST:
-                    parts = [np.array(forest(*together(survivors(p, s, percent)), v), np.int64).reshape(-1, 2)]
                 else:
-                    parts = [np.array(stars(p, s, v, percent), np.int64).reshape(-1, 2)]
-                for part in parts:
-                    found.append(part)
-                    rows_ += len(part)
+                    parts = [np.array(forest(*together(survivors(p, s, percent)), v), np.int64).reshape(-1, 2)]
+                for pairs in parts:
+                    found.append(pairs)
+                    rows_ += len(pairs)
                     if rows_ > FLUSH:
                         yield batch(found)
                         found, rows_ = [], 0
             if found:
                 yield batch(found)
 
-    dealt = cells.select("d1", "d2", "node", "n", "point", "label").repartition("d1", "d2").sortWithinPartitions("d1", "d2", "node")
+    dealt = (cells.select("d1", "d2", "part", "node", "n", "point", "label").repartition("d1", "d2", "part")
+             .sortWithinPartitions("d1", "d2", "part", "node"))
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _parts(cells: DataFrame, everywhere) -> DataFrame:
+    """Large cells (parts > 1) dealt into parts; rows where ``everywhere`` holds go to all parts of their cell."""
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
+    return cells.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (node, set) reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
@@ -427,16 +418,24 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     release(spark)
     cells = materialize(cells.join(classes.select("c1", "c2", "node", "n", "point").hint("merge"), ["c1", "c2"]).drop("c1", "c2"), "cell-points")
     release(spark)
-    pairs = materialize(_tried(cells.withColumn("label", F.lit(None).cast("long")), percent), "pairs")
+    large = materialize(cells.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter(F.col("size") > FOREST)
+                        .select("d1", "d2", "hub", F.ceil(F.col("size") * 2 / FOREST).alias("parts")), "large-cells")
+    sized = cells.join(large, ["d1", "d2"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    first = _parts(sized.withColumn("label", F.lit(None).cast("long")), F.col("node") == F.col("hub"))
+    pairs = materialize(_tried(first, percent), "pairs")
     release(spark)
     links = _verified(docs, classes, pairs, width, percent)
     labels = materialize(components(links), "labels")
     release(spark)
     # what is left: cells of several components, larger than two
-    named = cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_cells = materialize(named.groupBy("d1", "d2").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
                              .filter("low != high and size > 2").select("d1", "d2"), "open-cells")
-    more = materialize(_tried(named.join(open_cells, ["d1", "d2"]), percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    # a pair of unlike labels has an end outside the cell's most frequent label: those ends go to all parts
+    most = materialize(named.filter("parts > 1").groupBy("d1", "d2", "label").agg(F.count(F.lit(1)).alias("size"))
+                       .groupBy("d1", "d2").agg(F.max_by("label", F.struct("size", "label")).alias("most")), "most-labels")
+    rest = _parts(named.join(open_cells, ["d1", "d2"]).join(most, ["d1", "d2"], "left"), F.col("label") != F.col("most"))
+    more = materialize(_tried(rest, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.take(1):
         links = links.unionByName(_verified(docs, classes, more, width, percent))
         labels = materialize(components(links), "labels")

@@ -60,8 +60,8 @@ def test_chains_families_and_shared_passages(spark):
     check(spark, [(i * 2, t) for i, t in enumerate(rows)], 5, 80)
 
 
-def test_large_cells_use_stars_and_finish_exactly(spark, monkeypatch):
-    monkeypatch.setattr(jr, "FOREST", 5)
+def test_large_cells_in_parts_finish_exactly(spark, monkeypatch):
+    monkeypatch.setattr(jr, "FOREST", 8)
     monkeypatch.setattr(jr, "LEAF", 4)
     rnd = random.Random(2)
     text = prose(5, 120)
