@@ -279,12 +279,6 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_DIM_ROWS, known_rows: i
     return F.broadcast(df)
 
 
-def budget_dim(spark: SparkSession) -> DataFrame:
-    rows = [(c, i, s) for i, (c, s) in enumerate(BUDGET_SHARES)]
-    df = spark.createDataFrame(rows, "category string, category_ord int, share double")
-    return checked_broadcast(df, known_rows=len(rows))
-
-
 def fx_rates_dim(spark: SparkSession, as_of: str = "1970-01-01", source: str = "fallback") -> DataFrame:
     rows = fallback_rates()
     df = (spark.createDataFrame(rows, "currency string, per_usd double")
@@ -293,31 +287,7 @@ def fx_rates_dim(spark: SparkSession, as_of: str = "1970-01-01", source: str = "
     return checked_broadcast(df, known_rows=len(rows))
 
 
-def report_format_dim(spark: SparkSession) -> DataFrame:
-    rows = report_formats()
-    df = spark.createDataFrame(rows, "currency string, symbol string, position string, decimals int")
-    return checked_broadcast(df, known_rows=len(rows))
-
-
-def locale_format_dim(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(
-        LOCALE_FORMATS,
-        "currency string, symbol string, position string, decimals int, "
-        "thousands_sep string, decimal_sep string")
-    return checked_broadcast(df, known_rows=len(LOCALE_FORMATS))
-
-
 def keyword_dim(spark: SparkSession) -> DataFrame:
     rows = keyword_rows()
     df = spark.createDataFrame(rows, "category string, category_ord int, keyword string, n_words int")
     return checked_broadcast(df, known_rows=len(rows))
-
-
-def weekday_dim(spark: SparkSession) -> DataFrame:
-    rows = [(i, n) for i, n in enumerate(WEEKDAY_NAMES)]
-    df = spark.createDataFrame(rows, "weekday int, day_name string")
-    return checked_broadcast(df, known_rows=len(rows))
-
-
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True)
-                           for c in ("date", "description", "amount", "type", "category")])

@@ -76,18 +76,6 @@ def parse_date_normalized(s: Column, as_of: Column | None = None, formats=None)
     return F.when(_blank(s), F.lit(None).cast("date")).otherwise(out)
 
 
-def parse_date(c: Column, as_of: Column | None = None, formats=None, month_names: bool = True) -> Column:
-    """F2 as a single expression (fine for a column or two; for wide projections use
-    :func:`with_date`, which keeps the generated code small)."""
-    s = normalize_date_text(c) if month_names else F.trim(c)
-    return parse_date_normalized(s, as_of, formats)
-
-
-def parse_date_defensive(c: Column) -> Column:
-    """the nine numeric formats, no month names."""
-    return parse_date_normalized(F.trim(c), formats=DEFENSIVE_DATE_FORMATS)
-
-
 def with_dates(df, pairs: dict[str, str], as_of: Column | None = None, defensive: bool = False):
     """Add one parsed DATE column per ``{out: src}`` in two projections: the normalised texts
     are columns of their own, so the format attempts read them instead of re-evaluating the
@@ -165,31 +153,6 @@ _NUMBER = r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"
 _SIGNED_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
-def parse_amount(c: Column) -> Column:
-    """F5 → STRUCT<amount DOUBLE, currency STRING>.
-
-    Keep only digits , . + -; resolve separators; a leading '-' negates and every other sign
-    is dropped ('(100)' and '100-' give +100, '1-2' gives 12); |x| > 1e9 or 0 < |x| < 1e-6 is
-    rejected; text that is not a number gives NULL amount and currency USD.
-    """
-    s = F.trim(c)
-    cur = detect_currency(c)
-    cleaned = F.regexp_replace(s, r"[^0-9.,+\-]", "")
-    norm = _normalise_separators(cleaned, zero_digits_is_decimal=False)
-    negative = norm.startswith("-")
-    digits = F.regexp_replace(norm, r"[+\-]", "")
-    value = F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
-    signed = F.when(negative, -value).otherwise(value)
-    out_of_range = (F.abs(signed) > 1e9) | ((F.abs(signed) < 1e-6) & (signed != 0))
-    amount = F.when(out_of_range, F.lit(None).cast("double")).otherwise(signed)
-    currency = (F.when(_blank(c), F.lit("USD"))
-                 .when(cleaned == "", cur)
-                 .when(value.isNull(), F.lit("USD"))
-                 .otherwise(cur))
-    amount = F.when(_blank(c), F.lit(None).cast("double")).otherwise(amount)
-    return F.struct(amount.alias("amount"), currency.alias("currency"))
-
-
 def with_amounts(df, pairs: dict[str, str], defensive: bool = False):
     """Add one STRUCT<amount, currency> per ``{out: src}`` (F5, or F6 if ``defensive``) in
     staged projections shared by all columns: cleaned text (+ detected currency) →
@@ -243,17 +206,6 @@ def defensive_currency(c: Column) -> Column:
     return out.otherwise(F.lit("USD"))
 
 
-def parse_amount_defensive(c: Column) -> Column:
-    """F6 → STRUCT<amount DOUBLE, currency STRING>; amount NULL means failure.
-    Signs stay inside the text (float() semantics), no bounds."""
-    s = F.trim(c)
-    cleaned = F.regexp_replace(s, r"[^0-9.,+\-]", "")
-    norm = _normalise_separators(cleaned, zero_digits_is_decimal=True)
-    value = F.when(norm.rlike(_SIGNED_NUMBER), norm.try_cast("double"))
-    value = F.when(_blank(c), F.lit(None).cast("double")).otherwise(value)
-    return F.struct(value.alias("amount"), defensive_currency(s).alias("currency"))
-
-
 # ---- content predicates (F7), prefix match like re.match -------------------------------
 
 def looks_like_date(c: Column) -> Column:

@@ -99,30 +99,29 @@ def savings_potential(rec: DataFrame, keys=None) -> DataFrame:
 
 
 def alerts(rec: DataFrame, keys=None) -> DataFrame:
-    """Category alerts, overall alert, savings-rate alert; one tidy table."""
+    """Category alerts, overall alert, savings-rate alert; one tidy table.
+
+    Each recommendation row carries its alerts (the first category's row those of the whole
+    budget too) and is unfolded once, so the recommendations are computed once."""
     k = _k(keys)
     sav = F.col("_cur") - F.col("_rec")
-    cat = (rec.filter((F.col("_cur") > F.col("_rec")) & (sav > F.col("_rec") * ALERT_OVER))
-           .select(*k, F.col("category"),
-                   F.concat(F.lit("You are spending "), format_currency_report(sav, F.col("currency"), F.col("_fmt")),
-                            F.lit(" more than recommended in "), F.col("category")).alias("message"),
-                   F.when(sav > F.col("_rec") * ALERT_HIGH, F.lit("high")).otherwise(F.lit("medium")).alias("severity")))
-    per_key = rec.filter(F.col("category_ord") == 0).select(*k, "_income", "_total", "currency", "_fmt")
-    overall = (per_key.filter(F.col("_total") > F.col("_income") * SAVINGS_TARGET)
-               .select(*k, F.lit("overall").alias("category"),
-                       F.concat(F.lit("Your total spending ("),
-                                format_currency_report(F.col("_total"), F.col("currency"), F.col("_fmt")),
-                                F.lit(") exceeds the recommended budget ("),
-                                format_currency_report(F.col("_income") * SAVINGS_TARGET, F.col("currency"), F.col("_fmt")),
-                                F.lit(")")).alias("message"),
-                       F.lit("high").alias("severity")))
+    money = lambda c: format_currency_report(c, F.col("currency"), F.col("_fmt"))
+    first = F.col("category_ord") == 0
     rate = (F.col("_income") - F.col("_total")) / F.col("_income")
-    savings = (per_key.filter((F.col("_income") > 0) & (rate < MIN_SAVINGS_RATE))
-               .select(*k, F.lit("savings").alias("category"),
-                       F.concat(F.lit("Your savings rate is "), percent_text(rate),
-                                F.lit(". Consider increasing it to at least 20%")).alias("message"),
-                       F.lit("medium").alias("severity")))
-    return cat.unionByName(overall).unionByName(savings)
+
+    def alert(cond, category, message, severity):
+        return F.when(cond, F.struct(category.alias("category"), message.alias("message"), severity.alias("severity")))
+    found = F.array(
+        alert((F.col("_cur") > F.col("_rec")) & (sav > F.col("_rec") * ALERT_OVER), F.col("category"),
+              F.concat(F.lit("You are spending "), money(sav), F.lit(" more than recommended in "), F.col("category")),
+              F.when(sav > F.col("_rec") * ALERT_HIGH, F.lit("high")).otherwise(F.lit("medium"))),
+        alert(first & (F.col("_total") > F.col("_income") * SAVINGS_TARGET), F.lit("overall"),
+              F.concat(F.lit("Your total spending ("), money(F.col("_total")), F.lit(") exceeds the recommended budget ("),
+                       money(F.col("_income") * SAVINGS_TARGET), F.lit(")")), F.lit("high")),
+        alert(first & (F.col("_income") > 0) & (rate < MIN_SAVINGS_RATE), F.lit("savings"),
+              F.concat(F.lit("Your savings rate is "), percent_text(rate),
+                       F.lit(". Consider increasing it to at least 20%")), F.lit("medium")))
+    return rec.select(*k, F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def budget_vs_actual(rec: DataFrame, keys=None) -> DataFrame:

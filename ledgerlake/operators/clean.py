@@ -80,9 +80,10 @@ def numeric_profile(df: DataFrame, cols: list[str]) -> dict[str, dict]:
             for c in cols}
 
 
-def _numeric_columns(df: DataFrame, exclude=()) -> tuple[list[str], dict]:
+def _numeric_columns(df: DataFrame, exclude=(), profile: dict | None = None) -> tuple[list[str], dict]:
     cols = [c for c in df.columns if c not in exclude]
-    prof = numeric_profile(df, cols)
+    prof = numeric_profile(df, cols) if profile is None else profile
+    cols = [c for c in cols if c in prof]
     return [c for c in cols if prof[c]["n"] > 0 and prof[c]["n"] == prof[c]["num"]], prof
 
 
@@ -92,10 +93,13 @@ def _joined_amount(a: str, b: str) -> Column:
     return F.concat(whole, F.lit("."), cents)
 
 
-def merge_split_currency(df: DataFrame, exclude=()) -> DataFrame:
+def merge_split_currency(df: DataFrame, exclude=(), profile: dict | None = None) -> DataFrame:
     """C4: if the last two numeric columns look like whole + cents (second within 0..99 over
-    the whole table), replace the first with 'a.bb' and drop the second."""
-    numeric, prof = _numeric_columns(df, exclude)
+    the whole table), replace the first with 'a.bb' and drop the second.
+
+    ``profile`` is a ``numeric_profile`` that the caller has; without one it is computed here in
+    one pass. With one (``{}``: no numeric column) nothing runs, also on a stream."""
+    numeric, prof = _numeric_columns(df, exclude, profile)
     if len(numeric) < 2:
         return df
     a, b = numeric[-2], numeric[-1]
@@ -104,13 +108,13 @@ def merge_split_currency(df: DataFrame, exclude=()) -> DataFrame:
     return df
 
 
-def fix_split_currency_columns(df: DataFrame, exclude=()) -> DataFrame:
+def fix_split_currency_columns(df: DataFrame, exclude=(), profile: dict | None = None) -> DataFrame:
     """Only for tables with more than 5 columns and no column named like 'amount': add
     ``Amount`` = last two numeric columns joined; the parts are kept."""
     cols = [c for c in df.columns if c not in exclude]
     if len(cols) <= 5 or any("amount" in c.lower() for c in cols):
         return df
-    numeric, _ = _numeric_columns(df, exclude)
+    numeric, _ = _numeric_columns(df, exclude, profile)
     if len(numeric) < 2:
         return df
     return df.withColumn("Amount", _joined_amount(numeric[-2], numeric[-1]))
@@ -162,11 +166,13 @@ def drop_artifacts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 # ---- C1 / C9 ---------------------------------------------------------------------------
 
-def sanitize(df: DataFrame, cols: list[str] | None = None, lineage=()) -> DataFrame:
-    """C2 → C4 → C6 → C7 → C8 (statement columns only; lineage columns pass through)."""
+def sanitize(df: DataFrame, cols: list[str] | None = None, lineage=(), profile: dict | None = None) -> DataFrame:
+    """C2 → C4 → C6 → C7 → C8 (statement columns only; lineage columns pass through).
+
+    ``profile``: see ``merge_split_currency``; with it no action runs here."""
     cols = cols if cols is not None else [c for c in df.columns if c not in lineage]
     out = flag_shifted_rows(df, cols)
-    out = merge_split_currency(out, exclude=(*lineage, "is_shifted"))
+    out = merge_split_currency(out, exclude=(*lineage, "is_shifted"), profile=profile)
     cols = [c for c in cols if c in out.columns]
     out = normalize_unicode(out, [c for c in cols if c in _string_cols(out)])
     out = clean_whitespace_and_quotes(out, [c for c in cols if c in _string_cols(out)])

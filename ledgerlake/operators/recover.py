@@ -4,9 +4,8 @@ Stage 1 picks, for every strategy, the candidate date / amount / description tex
 (per-cell kinds, the content fold unrolled over the statement's columns, the joined row text);
 stage 2 parses the candidate dates, stage 3 the candidate amounts (staged so each parse reads a
 plain column); stage 4 assembles one nullable STRUCT per strategy and ``coalesce`` returns the
-first success in strategy order (P6). One narrow projection chain: no shuffle, no UDF and no
-higher-order function, so all of it is code-generated; strategies 2–5 are only evaluated for
-rows the standard parse rejects.
+first success in strategy order (P6). Two narrow projection chains without a shuffle, UDF or
+higher-order function: the standard parse for the rows it accepts, strategies 2–5 for the rest.
 """
 
 from __future__ import annotations
@@ -15,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.dims import EMERGENCY_AMOUNT, EMERGENCY_DATE, EXTRACT_AMOUNT, LOOKS_LIKE_DATE
+from ledgerlake.session import keep_where
 from ledgerlake.functions.parsing import (looks_like_amount, looks_like_date, looks_like_description,
                                           with_amounts, with_dates)
 
 STATEMENT_COLUMNS = ["date", "description", "amount", "type", "category"]
-STRATEGIES = [("standard_parsing", 0.9), ("fuzzy_column_matching", 0.7),
-              ("pattern_based_extraction", 0.6), ("manual_field_detection", 0.5),
-              ("emergency_fallback", 0.2)]
 UNKNOWN = "Unknown transaction"
 DEBIT_WORDS = ["debit", "expense", "withdrawal"]
 
@@ -41,8 +38,6 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
     p3_desc = F.trim(F.regexp_replace(F.regexp_replace(row_text, LOOKS_LIKE_DATE, ""), EXTRACT_AMOUNT, ""))
 
     # --- stage 1: P1, then candidates of the other strategies ---------------------------
-    # Most rows are well formed; every later candidate is wrapped in ``CASE WHEN NOT _ok1``
-    # so it is only evaluated for rows the standard parse rejects.
     s0 = raw.select(*lineage, *[F.col(c) for c in cols],
                     F.trim(col["date"]).alias("_d1"), col["amount"].alias("_a1"),
                     F.trim(col["description"]).alias("_s1"))
@@ -51,7 +46,11 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
     ok1 = (_present(F.col("_d1")) & _present(F.col("_s1")) & _present(F.col("_a1"))
            & F.col("_pd1").isNotNull() & F.col("_pa1.amount").isNotNull())
     s0 = s0.withColumn("_ok1", ok1)
-    lazy = lambda e: F.when(~F.col("_ok1"), e)
+    # well-formed rows end here; the other strategies are planned for the rejected rows alone,
+    # so neither branch carries the other's code
+    good = keep_where(s0, F.col("_ok1"))
+    s0 = keep_where(s0, ~F.coalesce(F.col("_ok1"), F.lit(False)))
+    lazy = lambda e: e
     # cell kinds once per cell (a statement has a fixed, small set of columns)
     kinds = []
     for i, c in enumerate(cols):
@@ -107,8 +106,8 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
         F.lower(col["type"]).isin(*DEBIT_WORDS), F.lit("debit")).otherwise(F.lit("credit"))
     c1 = F.coalesce(F.nullif(F.lower(F.trim(col["category"])), F.lit("")), F.lit("other"))
     other = F.lit("other")
+    standard = result("standard_parsing", 0.9, iso(F.col("_pd1")), F.col("_s1"), pa[1], t1, c1, F.col("_ok1"))
     cands = [
-        result("standard_parsing", 0.9, iso(F.col("_pd1")), F.col("_s1"), pa[1], t1, c1, F.col("_ok1")),
         result("fuzzy_column_matching", 0.7, iso(F.col("_pd2")), F.col("_s2"), pa[2], by_sign(pa[2]), other,
                F.col("_d2").isNotNull() & F.col("_a2").isNotNull() & F.col("_s2").isNotNull()
                & F.col("_pd2").isNotNull() & pa[2]["amount"].isNotNull()),
@@ -124,7 +123,7 @@ def recover_rows(raw: DataFrame, as_of: str, columns: list[str] | None = None) -
                       F.lit(None).cast("string").alias("description"), F.lit(None).cast("double").alias("amount"),
                       F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("type"),
                       F.lit(None).cast("string").alias("category"))
-    out = s1.select(*lineage, F.coalesce(*cands, failed).alias("r"))
+    out = good.select(*lineage, standard.alias("r")).unionByName(s1.select(*lineage, F.coalesce(*cands, failed).alias("r")))
     return out.select(*lineage, "r.*")
 
 

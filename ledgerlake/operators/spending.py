@@ -307,14 +307,31 @@ def currency_breakdown(df: DataFrame, keys: Keys = None) -> DataFrame:
 
 
 def headline_metrics(df: DataFrame, keys: Keys = None) -> DataFrame:
-    """Row count, Σ|amount|, signed sum, distinct categories and currencies."""
+    """Row count, Σ|amount|, signed sum, distinct categories and currencies.
+
+    Rows are reduced to one per (keys, category, currency) first; the distinct counts then count the
+    first row of each category and of each currency, so nothing is expanded."""
     k = _k(keys)
-    return (df.groupBy(*k)
-            .agg(F.count(F.lit(1)).alias("total_rows"),
-                 round2(msum(F.abs("amount"))).alias("total_amount"),
-                 round2(msum("amount")).alias("net_amount"),
-                 F.count_distinct("category").alias("n_categories"),
-                 F.count_distinct("currency").alias("n_currencies")))
+    m = F.col("amount").cast(MONEY)
+    per = df.groupBy(*k, "category", "currency").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.abs(m)).alias("_abs"), F.sum(m).alias("_net"))
+
+    def first(of: str, other: str):
+        row = F.row_number().over(Window.partitionBy(*k, of).orderBy(other))
+        return F.when(F.col(of).isNotNull() & (row == 1), 1)
+    per = per.withColumn("_c", first("category", "currency")).withColumn("_u", first("currency", "category"))
+    return (per.groupBy(*k)
+            .agg(F.sum("_n").alias("total_rows"),
+                 round2(F.sum("_abs").cast("double")).alias("total_amount"),
+                 round2(F.sum("_net").cast("double")).alias("net_amount"),
+                 F.count("_c").alias("n_categories"), F.count("_u").alias("n_currencies")))
+
+
+def currency_ranking(df: DataFrame, keys: Keys = None) -> DataFrame:
+    """Currencies by descending Σ|amount| (ties by code), with their place."""
+    k = _k(keys)
+    w = Window.partitionBy(*k).orderBy(F.col("amount").desc(), "currency")
+    return currency_breakdown(df, k).withColumn("place", F.row_number().over(w)).orderBy(*k, "place")
 
 
 def null_cell_counts(df: DataFrame, keys: Keys = None) -> DataFrame:

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.dims import fx_rates_dim
 from ledgerlake.operators import budget as B
 from ledgerlake.operators import fx as X
 from ledgerlake.operators import spending as S
+from ledgerlake.session import keep_where
 from ledgerlake.sources.testdata import transactions
 
 KEYS = ["account_id"]
@@ -483,8 +485,11 @@ def q_normalize_and_convert(spark, sf_dir):
     out = conv.select("txn_id", "account_id", "description", F.round("amount", 2).alias("amount"),
                       "original_currency", "display_currency", F.coalesce("category", F.lit("other")).alias("category"),
                       F.when(F.col("amount") < 0, F.lit("expense")).otherwise(F.lit("income")).alias("type"))
-    K.save_converted_csv(out, K.scratch_path(spark, "statement.csv"), "EUR")
-    return out
+    path = K.scratch_path(spark, "converted")
+    out.write.parquet(path)                    # converted once; the export and the result read this
+    done = spark.read.schema(out.schema).parquet(path)
+    K.save_converted_csv(done, K.scratch_path(spark, "statement.csv"), "EUR")
+    return done
 
 
 # ---- streaming (X1–X3) -----------------------------------------------------------------
@@ -529,6 +534,55 @@ def q_custom_categorize(spark, sf_dir):
 
 @query("orphan_transactions")
 def q_orphan_transactions(spark, sf_dir):
-    """Transactions whose account has no session row (left_anti against customer)."""
-    sessions = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
+    """Transactions whose account has no open session (here: customers with a positive balance)."""
+    sessions = _table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("account_id"))
     return K.orphans(_tx(spark, sf_dir), sessions, ["account_id"]).select("txn_id", "account_id")
+
+
+@query("currency_ranking")
+def q_currency_ranking(spark, sf_dir):
+    return S.currency_ranking(_tx(spark, sf_dir), KEYS)
+
+
+@query("valid_recovered")
+def q_valid_recovered(spark, sf_dir):
+    """Recovered rows that are complete."""
+    r = R.recover_rows(_messy(spark, sf_dir), AS_OF)
+    return keep_where(r, R.is_valid_recovered(r)).select("txn_id", "strategy_used", "date", F.round("amount", 2).alias("amount"))
+
+
+@query("convert_amount_expression")
+def q_convert_amount_expression(spark, sf_dir):
+    """Conversion as a column expression, without a join."""
+    t = _tx(spark, sf_dir)
+    return t.select("txn_id", F.round(X.convert_amount(F.col("amount"), F.col("currency"), "EUR"), 2).alias("amount_eur"))
+
+
+@query("live_rates")
+def q_live_rates(spark, sf_dir):
+    """A live rate table (here: the mean order value per currency) over the fallback, applied."""
+    t = _tx(spark, sf_dir)
+    live = t.filter("amount > 0").groupBy("currency").agg((F.sum(F.col("amount").cast("decimal(18,2)")).cast("double")
+                                                           / F.count(F.lit(1)) / 100000).alias("per_usd"))
+    live = live.filter("currency <> 'USD'").withColumn("as_of", F.lit("2024-01-01")).withColumn("source", F.lit("live"))
+    rates = X.resolve_rates(live, fx_rates_dim(spark).withColumn("as_of", F.lit("")).withColumn("source", F.lit("static")))
+    per = t.groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
+    out = X.with_rate(per, "USD", rates)
+    return out.select("currency", "n", F.round("conversion_rate", 6).alias("rate"))
+
+
+from ledgerlake.operators import upload as U  # noqa: E402
+
+
+@query("upload_pipeline")
+def q_upload_pipeline(spark, sf_dir):
+    """An upload end to end: written as a file with its own names and separator, read, parsed, recovered."""
+    root = K.scratch_path(spark, "upload")
+    m = _messy(spark, sf_dir).select("account_id", "category", F.col("amount").alias("Total"), F.col("description").alias("Payee"),
+                                     F.col("date").alias("Trans_Date"), "type", "txn_id")
+    m.write.option("header", True).option("escape", '"').option("sep", ";").csv(root)
+    names = {**STATEMENT_ALIASES, "txn_id": ["txn_id"], "account_id": ["account_id"]}
+    rows = SRC.statement_columns(SRC.read_records(spark, root), names).select(
+        F.col("txn_id").cast("bigint").alias("txn_id"), F.col("account_id").cast("bigint").alias("account_id"), *STATEMENT_ALIASES)
+    good, _ = U.accept(rows, AS_OF)
+    return good.select("txn_id", "account_id", "how", "date", "description", F.round("amount", 2).alias("amount"), "currency")

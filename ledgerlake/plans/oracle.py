@@ -551,7 +551,7 @@ SELECT user_id AS account_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
 FROM (SELECT DISTINCT ON (event_id) * FROM events WHERE event_type IN ('purchase', 'signup'))
 GROUP BY 1, 2""")
 
-q("orphan_transactions", "SELECT txn_id, account_id FROM t WHERE account_id NOT IN (SELECT c_custkey FROM customer)")
+q("orphan_transactions", "SELECT txn_id, account_id FROM t WHERE account_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 
 
 # ---- row recovery cascade (P1–P7) -----------------------------------------------------
@@ -862,3 +862,35 @@ q("profile_files", """
 SELECT ',' AS delimiter, 'utf-8' AS encoding, true AS has_header, 5 AS column_count, 'standard' AS strategy,
        'date/description/amount/type/category' AS header, count(*) AS rows FROM messy
 UNION ALL SELECT ';', 'utf-8', true, 5, 'delimiter_detection', 'category/amount/Merchant Details/type/posted_date', count(*) FROM messy""", RAW)
+
+
+# ---- ordering, completeness and rates as columns (T2, P7, J3, J2) ----------------------
+
+q("currency_ranking", """
+SELECT account_id, currency, round(a, 2) AS amount, n AS "count",
+       row_number() OVER (PARTITION BY account_id ORDER BY round(a, 2) DESC, currency) AS place
+FROM (SELECT account_id, currency, CAST(sum(CAST(abs(amount) AS DECIMAL(18,2))) AS DOUBLE) AS a, count(*) AS n FROM t GROUP BY 1, 2)""")
+
+_VALID = ORACLES["recover_rows"].rstrip().rstrip(";")
+ORACLES["valid_recovered"] = f"""
+SELECT txn_id, strategy_used, date, round(amount, 2) AS amount FROM ({_VALID}) r
+WHERE coalesce(description, '') <> '' AND amount IS NOT NULL AND amount <> 0 AND coalesce(currency, '') <> ''
+  AND regexp_full_match(date, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AND try_strptime(date, '%Y-%m-%d') IS NOT NULL"""
+
+q("convert_amount_expression", f"""
+SELECT txn_id, round(amount * CASE WHEN t.currency = 'EUR' THEN 1.0 WHEN t.currency = 'USD' THEN {dict(fallback_rates())['EUR']!r}
+       ELSE 1.0 / coalesce(fx.per_usd, 1.0) * {dict(fallback_rates())['EUR']!r} END, 2) AS amount_eur
+FROM t LEFT JOIN {RATES} ON fx.currency = t.currency""")
+
+q("live_rates", """
+SELECT currency, count(*) AS n, round(CASE WHEN currency = 'USD' THEN 1.0 ELSE 1.0 /
+       (CAST(sum(CASE WHEN amount > 0 THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE) / count(CASE WHEN amount > 0 THEN 1 END) / 100000) END, 6) AS rate
+FROM t GROUP BY currency""")
+
+q("upload_pipeline", f"""
+SELECT txn_id, account_id, 'parsed' AS how, strftime(date, '%Y-%m-%d') AS date, description, round(amount, 2) AS amount, currency FROM good
+UNION ALL
+SELECT r.txn_id, r.account_id, r.strategy_used, r.date, r.description, round(r.amount, 2), r.currency
+FROM ({_VALID}) r JOIN stmt s ON s.txn_id = r.txn_id
+WHERE s.reject_reason IS NOT NULL AND coalesce(r.description, '') <> '' AND r.amount IS NOT NULL AND r.amount <> 0
+  AND coalesce(r.currency, '') <> '' AND regexp_full_match(r.date, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AND try_strptime(r.date, '%Y-%m-%d') IS NOT NULL""", RAW)

@@ -71,7 +71,7 @@ def save_transactions(df: DataFrame, path: str, buckets: int = ACCOUNT_BUCKETS)
 
     The table is partitioned by ``account_bucket`` only (a bounded number of directories —
     one directory per file hash would explode with the number of uploads). Replacing means:
-    read the touched buckets (partition pruning through the semi-join on the bucket), drop
+    read the touched buckets (a literal list, at most ``buckets`` numbers, so the scan prunes), drop
     the (account, file_hash) pairs being replaced (anti-join), add the new rows, cut the
     lineage in the shared checkpoint folder (we overwrite what we read) and overwrite only the
     touched buckets (dynamic partition overwrite). Untouched buckets are never rewritten.
@@ -81,9 +81,8 @@ def save_transactions(df: DataFrame, path: str, buckets: int = ACCOUNT_BUCKETS)
     if _exists(spark, path):
         old = spark.read.parquet(path)
         keys = new.select("account_id", "file_hash").distinct()
-        touched = new.select("account_bucket").distinct()
-        keep = (old.join(touched, ["account_bucket"], "left_semi")
-                   .join(keys, ["account_id", "file_hash"], "left_anti"))
+        touched = [r[0] for r in new.select("account_bucket").distinct().collect()]
+        keep = old.filter(F.col("account_bucket").isin(touched)).join(keys, ["account_id", "file_hash"], "left_anti")
         new = cut_lineage(keep.unionByName(new.select(*keep.columns)))
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("account_bucket").parquet(path))
@@ -128,3 +127,28 @@ def retention_filter(df: DataFrame, as_of: str, days_old: int = 30, ts_col: str
 def orphans(child: DataFrame, parent: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``child`` whose ``key`` has no row in ``parent`` (declared foreign key)."""
     return child.join(parent.select(*key).distinct(), key, "left_anti")
+
+
+def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """K8: the columns of a table definition, cast; missing ones null, others left out."""
+    return df.select([(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def append_custom_categories(df: DataFrame, path: str) -> None:
+    """K6: store user categories under the declared schema."""
+    typed(custom_category_rows(df), CUSTOM_CATEGORY_SCHEMA).write.mode("append").parquet(path)
+
+
+def apply_retention(spark: SparkSession, paths: list[str], as_of: str, days_old: int = 30, ts_col: str = "created_at",
+                    partition: dict[str, str] | None = None) -> None:
+    """K7: rewrite each table with the rows that ``retention_filter`` keeps.
+
+    What stays is written to the shared scratch folder first, then over the table, so a failure
+    leaves either the old or the new rows on disk."""
+    for path in paths:
+        old = spark.read.parquet(path)
+        kept = scratch_path(spark, "retention")
+        retention_filter(old, as_of, days_old, ts_col).write.parquet(kept)
+        writer = spark.read.schema(old.schema).parquet(kept).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        by = (partition or {}).get(path)
+        (writer.partitionBy(by) if by else writer).parquet(path)

@@ -100,28 +100,6 @@ def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as transactions for the streaming jobs: purchase = expense, signup = income."""
-    e = table(spark, sf_dir, "events")
-    return (e.filter(F.col("event_type").isin("purchase", "signup"))
-             .select(F.col("event_id").alias("txn_id"),
-                     F.col("user_id").alias("account_id"),
-                     F.col("ts"),
-                     F.when(F.col("event_type") == "purchase", -F.col("value"))
-                      .otherwise(F.col("value")).alias("amount"),
-                     F.col("event_type")))
-
-
-# Corruptions applied by ``messy_statements`` — chosen by o_orderkey % 20 (every row is kept;
-# the key only decides which damage a row gets, so the fixture grows with the table).
-MESSY_KINDS = {
-    1: "bad_date", 2: "empty_description", 3: "bad_amount", 4: "quoted_description",
-    5: "separator_row", 6: "header_row", 7: "empty_row", 8: "nan_description",
-    9: "zero_amount", 10: "no_category", 11: "no_type", 12: "two_digit_year",
-    13: "shifted_row", 14: "signed_amount",
-}
-
-
 def messy_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_statements`` with statement-export damage, for cleaning / validation / recovery."""
     df = raw_statements(spark, sf_dir)

@@ -40,22 +40,26 @@ def _ckpt(spark: SparkSession, name: str) -> str:
 def ingest_statements(spark: SparkSession, source_dir: str, table_path: str, as_of: str,
                       name: str = "statement_ingest", max_files_per_trigger: int = 1000):
     """Start the ingest stream (trigger availableNow: process what is there, then stop).
-    Each file's rows are keyed by the file (``file_hash`` = SHA-256 of the file path and size
-    as seen by the source) so re-delivering a file replaces its rows instead of adding them."""
+    Each file's rows are keyed by their content (``file_hash`` over the hashes and the number of
+    its rows), so the same statement under another name replaces its rows instead of adding
+    them. Quarantined rows go to a folder of the batch, which a replayed batch overwrites."""
     raw = (spark.readStream.schema(RAW_STATEMENT_SCHEMA).option("header", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir)
            .withColumn("source_file", F.col("_metadata.file_path"))
-           .withColumn("file_hash", F.sha2(F.concat_ws("|", F.col("_metadata.file_path"),
-                                                         F.col("_metadata.file_size").cast("string")), 256))
            .withColumn("account_id", F.regexp_extract(F.col("source_file"), r"account=([^/]+)", 1)))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        parsed = ST.parse_statements(batch, as_of).persist()        # split reads it twice
+        cells = F.xxhash64(*RAW_STATEMENT_SCHEMA.names)
+        files = batch.groupBy("account_id", "source_file").agg(F.sha2(F.concat_ws(
+            "|", F.bit_xor(cells), F.sum(cells.cast("decimal(38,0)")), F.count(F.lit(1))), 256).alias("file_hash"))
+        # of equal files of a batch one counts
+        files = files.groupBy("account_id", "file_hash").agg(F.min("source_file").alias("source_file"))
+        parsed = ST.parse_statements(batch.join(files, ["account_id", "source_file"]), as_of).persist()   # split reads it twice
         good, bad = ST.split(parsed)
         out = (good.withColumn("txn_id", F.xxhash64("source_file", "date", "description", "amount"))
                    .withColumn("created_at", F.current_timestamp()))
         K.save_transactions(out, table_path)
-        bad.write.mode("append").parquet(table_path + "_quarantine")
+        bad.write.mode("overwrite").parquet(f"{table_path}_quarantine/batch_id={batch_id}")
         parsed.unpersist()
 
     return (raw.writeStream.foreachBatch(write_batch)
@@ -98,10 +102,11 @@ def run_daily_spend(spark: SparkSession, events_dir: str, out_path: str, alert_t
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         b = batch.withColumn("batch_id", F.lit(batch_id)).persist()   # read twice below
         try:
-            b.write.mode("append").parquet(out_path + "/changelog")
+            # a folder per batch: a replayed batch overwrites what it wrote
+            b.drop("batch_id").write.mode("overwrite").parquet(f"{out_path}/changelog/batch_id={batch_id}")
             (b.filter(F.col("spend") > alert_threshold)
-              .select("account_id", "day", "spend", F.lit("high").alias("severity"), "batch_id")
-              .write.mode("append").parquet(out_path + "/alerts"))
+              .select("account_id", "day", "spend", F.lit("high").alias("severity"))
+              .write.mode("overwrite").parquet(f"{out_path}/alerts/batch_id={batch_id}"))
         finally:
             b.unpersist()
 

@@ -40,7 +40,7 @@ def test_ingest_stream_exactly_once(spark, tmpdir_path):
     acct = os.path.join(src, "account=42")
     os.makedirs(acct)
     with open(os.path.join(acct, "jan.csv"), "w") as f:
-        f.write("date,description,amount,type,category\n2024-01-15,Coffee,$4.50,Debit,\n"
+        f.write("date,description,amount,type,category\n2024-01-15,Tea Room,$4.50,Debit,\n"
                 "2024-01-16,Salary,3000.00,Credit,income\nbad-date,Oops,1.00,Debit,\n")
     q = XS.ingest_statements(spark, src, table, "2024-06-30", name=f"ingest-{os.path.basename(tmpdir_path)}")
     q.awaitTermination()
@@ -50,3 +50,37 @@ def test_ingest_stream_exactly_once(spark, tmpdir_path):
     assert got.count() == 2
     assert sorted(r.amount for r in got.collect()) == [-4.5, 3000.0]
     assert spark.read.parquet(table + "_quarantine").count() == 1
+
+
+def test_same_statement_under_another_name_counts_once(spark, tmpdir_path):
+    src, table = os.path.join(tmpdir_path, "drops"), os.path.join(tmpdir_path, "table")
+    acct = os.path.join(src, "account=7")
+    os.makedirs(acct)
+    text = "date,description,amount,type,category\n2024-02-01,Pie,$3.00,Debit,\n2024-02-02,Pie,$3.00,Debit,\nbad,Oops,1,Debit,\n"
+    name = f"again-{os.path.basename(tmpdir_path)}"
+    for file in ("a.csv", "copy of a.csv"):
+        with open(os.path.join(acct, file), "w") as f:
+            f.write(text)
+        XS.ingest_statements(spark, src, table, "2024-06-30", name=name).awaitTermination()
+    assert spark.read.parquet(table).count() == 2
+
+
+def test_retention_rewrites_every_table_and_types_hold(spark, tmpdir_path):
+    paths = [os.path.join(tmpdir_path, x) for x in ("one", "two")]
+    for p in paths:
+        rows = spark.createDataFrame([("s1", "2024-01-01 00:00:00"), ("s2", "2024-03-01 00:00:00")], "session_id string, created_at string")
+        K.typed(rows, K.SESSIONS_SCHEMA).write.parquet(p)
+    K.apply_retention(spark, paths, "2024-03-05", 30)
+    for p in paths:
+        back = spark.read.parquet(p)
+        assert [r["session_id"] for r in back.collect()] == ["s2"] and [f.name for f in back.schema] == K.SESSIONS_SCHEMA.names
+    K.append_custom_categories(spark.createDataFrame([("s", "hobby", ["kite"])], "session_id string, category_name string, keywords array<string>"), paths[0] + "-c")
+    assert K.read_custom_categories(spark.read.parquet(paths[0] + "-c")).first()["keywords"] == ["kite"]
+
+
+def test_replace_reads_only_touched_buckets(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "pruned")
+    K.save_transactions(_tx(spark), path)
+    bucket = K.with_account_bucket(_tx(spark).filter("account_id = 'a0'")).first()["account_bucket"]
+    plan = spark.read.parquet(path).filter(F.col("account_bucket").isin([bucket]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [(account_bucket" in plan or "PartitionFilters: [isnotnull(account_bucket" in plan
