@@ -42,7 +42,7 @@ from ledgerlake.llm.common import materialize, nullable, small_batches, without
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 LEXICON = 1 << 18
 #: Different words whose ids a worker remembers beside the lexicon.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def byte_chars() -> list[str]:
@@ -226,10 +226,16 @@ def frequent_words(docs: DataFrame, text: str, path: str, bound: int) -> list[st
     """Words that make up more than 1/bound of all repeated words of the corpus: fewer than ``bound``."""
     def count(batches):
         from collections import Counter
-        vocab = vocabulary(path)
+        vocab, c = vocabulary(path), Counter()
+
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
         for b in batches:
-            c = Counter(itertools.chain.from_iterable(map(vocab.words, b.column(0).to_pylist())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+            c.update(itertools.chain.from_iterable(map(vocab.words, b.column(0).to_pylist())))
+            if len(c) > REMEMBERED:
+                yield counted()
+                c.clear()
+        yield counted()
 
     counts = materialize(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
                          .filter(F.col("n") > 1), "bpe-words")
@@ -297,6 +303,12 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(ends[docs], pa.int32()), pa.array(ids, pa.int32()))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, name: str) -> Encoder:
+    """A worker's encoder; the tasks it runs one after the other share what it remembers."""
+    return Encoder(path, transducer(name))
+
+
 def encode(docs: DataFrame, text: str = "text", path: str = TOKENIZER, name: str | None = None) -> DataFrame:
     """``docs`` with the column ``bpe_ids`` (array of int). ``name``: a lexicon that was made before."""
     spark = docs.sparkSession
@@ -305,9 +317,9 @@ def encode(docs: DataFrame, text: str = "text", path: str = TOKENIZER, name: str
     at = docs.columns.index(text)
 
     def run(batches):
-        encoder = Encoder(path, transducer(name))
+        own = encoder(path, name)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, encoder.encode(b.column(at).to_pylist())], [*b.schema.names, "bpe_ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, own.encode(b.column(at).to_pylist())], [*b.schema.names, "bpe_ids"])
 
     small_batches(spark)
     return docs.mapInArrow(run, nullable(docs.schema).add("bpe_ids", T.ArrayType(T.IntegerType())))
