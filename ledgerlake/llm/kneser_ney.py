@@ -227,7 +227,7 @@ def _bigram_shards(packed: DataFrame, folder: str, split: np.ndarray, shards: in
                     yield pa.RecordBatch.from_arrays([pa.nulls(n_rows, pa.string()), pa.nulls(n_rows, pa.string()), *batch.columns, *[zero] * 6],
                                                      [x.split()[0] for x in _META.split(", ")])
 
-    return packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _META)
+    return packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, _META)
 
 
 def _word_shards(packed: DataFrame, folder: str, shards: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _word_shards(packed: DataFrame, folder: str, shards: int) -> DataFrame:
             file = put_arrays(folder, f"words-{shard:06d}", {"w": words, "c": c, "n": n})
             yield _meta(wordfile=file, shard=shard, kind="file", counts=[*_counts_of_counts(n)], size=len(words), total=int(c.sum()))
 
-    return packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _META)
+    return packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, _META)
 
 
 def fit(texts: DataFrame, column: str = "text") -> Model:
