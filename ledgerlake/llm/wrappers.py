@@ -246,39 +246,40 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataF
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
                                               pa.array([trees[k] for k in keys], pa.int64()), *(pa.nulls(len(keys), t) for t in kinds)], names)
             keys = list(slots)
-            cols = [[slots[k][c] for k in keys] for c in range(6)]
+            cols = [[slots[k][c] for k in keys] for c in range(7)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64()),
                                               pa.array([k[1] for k in keys], pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds[1:]))], names)
-        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["host", "tree", "pages", "path", "out", "main", "chars", "linked", "low", "high"]
+        kinds = [pa.string(), pa.bool_(), pa.int32(), *[pa.int64()] * 5]
+        names = ["host", "tree", "pages", "path", "out", "main", "chars", "linked", "low", "high", "seen"]
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 root, blocks = read(page)
                 trees[host, json.dumps(tree(root))] += 1
+                here = set()
                 for node, text, linked in blocks:
                     h, key = crc32(text.encode()), (host, node.path)
                     s = slots.get(key)
                     if s is None:
-                        slots[key] = [node.out, node.main, len(text), linked, h, h]
+                        slots[key] = [node.out, node.main, len(text), linked, h, h, 1]
                     else:
-                        s[2:] = [s[2] + len(text), s[3] + linked, min(s[4], h), max(s[5], h)]
+                        s[2:] = [s[2] + len(text), s[3] + linked, min(s[4], h), max(s[5], h), s[6] + (key not in here)]
+                    here.add(key)
             if len(trees) + len(slots) > 20_000:
                 yield from flush()
                 trees, slots = Counter(), {}
         yield from flush()
 
     seen = materialize(pages.select(host_of(F.col(url)).alias("host"), html).mapInArrow(
-        look, "host string, tree string, pages long, path string, out boolean, main int, chars long, linked long, low long, high long"), "page-trees")
+        look, "host string, tree string, pages long, path string, out boolean, main int, chars long, linked long, low long, high long, seen long"), "page-trees")
     trees = seen.filter(F.col("tree").isNotNull()).groupBy("host", "tree").agg(F.sum("pages").alias("pages"))
     parts = _align(trees.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(PARTS)).cast("int")), ["host", "part"])
     wrappers = materialize(_align(parts, ["host"]).select("host", F.col("tree").alias("wrapper"), "pages"), "wrappers")
     slots = (seen.filter(F.col("path").isNotNull()).groupBy("host", "path")
              .agg(F.first("out").alias("out"), F.first("main").alias("main"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-                  F.min("low").alias("low"), F.max("high").alias("high")))
-    several = wrappers.select("host", "pages")
-    plain = (2 * F.col("linked") <= F.col("chars")) & ((F.col("low") != F.col("high")) | (F.col("pages") < 3))
+                  F.min("low").alias("low"), F.max("high").alias("high"), F.sum("seen").alias("seen")))
+    plain = (2 * F.col("linked") <= F.col("chars")) & ((F.col("low") != F.col("high")) | (F.col("seen") < 3))
     keep = ~F.col("out") & ((F.col("main") > 0) | plain)
-    judged = materialize(slots.join(several, "host").select("host", "path", keep.alias("keep")), "slots")
+    judged = materialize(slots.select("host", "path", keep.alias("keep")), "slots")
     return wrappers, judged
 
 
