@@ -428,13 +428,16 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     labels = materialize(components(links), "labels")
     release(spark)
     # what is left: cells of several components, larger than two
-    named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # without the points until it is known which cells are open; sorted joins as above
+    named = materialize(sized.select("d1", "d2", "node", "parts").join(labels.hint("merge"), "node", "left")
+                        .withColumn("label", F.coalesce("label", "node")), "cell-labels")
     open_cells = materialize(named.groupBy("d1", "d2").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
                              .filter("low != high and size > 2").select("d1", "d2"), "open-cells")
     # a pair of unlike labels has an end outside the cell's most frequent label: those ends go to all parts
     most = materialize(named.filter("parts > 1").groupBy("d1", "d2", "label").agg(F.count(F.lit(1)).alias("size"))
                        .groupBy("d1", "d2").agg(F.max_by("label", F.struct("size", "label")).alias("most")), "most-labels")
     rest = _parts(named.join(open_cells, ["d1", "d2"]).join(most, ["d1", "d2"], "left"), F.col("label") != F.col("most"))
+    rest = rest.join(classes.select("node", "n", "point").hint("merge"), "node")
     more = materialize(_tried(rest, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.take(1):
         links = links.unionByName(_verified(docs, classes, more, width, percent))
