@@ -4,17 +4,19 @@ A page is read as a tree of block elements with text slots. Neighbouring equal e
 into one repeated element, so pages of one template differ little whatever their length, and the
 different trees of a host are few. They are aligned one after the other: elements that both
 have merge child by child, what only one has becomes optional, what one repeats becomes repeated. The
-result is the host's wrapper, a regular expression without unions whose slots are named by their path.
-Trees are counted before they travel, and a host's trees are aligned in parts whose wrappers
-are aligned again, so a host may hold any share of the pages.
+result is the host's wrapper, a regular expression without unions whose text slots are numbered.
+Trees are counted before they travel, and a host's trees are aligned in parts of about ``FAN`` whose
+wrappers are aligned again, in as many rounds as it takes, so a host may hold any share of the pages.
+Every tree of a host is then matched against its wrapper, which tells the slots of its pages' texts.
 
-Slots are judged once per host. Menus, headers, footers, sidebars, notices, adverts, forms and
+Slots are judged once per host, by the wrapper's nodes. Menus, headers, footers, sidebars, notices, adverts, forms and
 comments are known by element, role and class names; slots of an article or main part are text,
 other slots are where they are not mostly links and do not say the same on all pages. A page's
 text is its blocks in such slots: those of its articles, else of its main part, else all.
 
 Defined cases: null html counts as empty and gives the empty text; pages without a host (null or
-odd urls) share the host ``''``; unclosed elements end with their parents, a cut page where it is
+odd urls) share the host ``''``; of a page whose tree was not among the inferred ones the element, role
+and class names alone decide; unclosed elements end with their parents, a cut page where it is
 cut; text outside any element is a block of the body; repeated rows are extracted alike; an empty
 table gives no rows; columns named like the added ones (``main_text``) are replaced, others kept.
 """
@@ -23,16 +25,22 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import materialize, nullable, small_batches, without
 
-PARTS = 16
+#: Trees or wrappers aligned by one task in a round.
+FAN = 32
+#: Recursion of workers: nested elements of a page.
+DEPTH = 100_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|iframe|svg|math|object|select)\b.*?(?:</\1\s*>|\Z)"
@@ -59,10 +67,19 @@ MARKS = frozenset("""
 MAIN_MARKS = frozenset("article main content post entry story".split())
 
 
+def judged(label: str, out: bool, main: int) -> tuple[bool, int]:
+    """Whether an element is no text, and its main part, from its label and those of its parent."""
+    name, *words = label.split(".")
+    # the header of an article holds its headings
+    out = out or (not main and (name == "header" or "header" in words)) or name in NOT_TEXT or bool(MARKS.intersection(words))
+    own = 2 if name == "article" else 1 if name == "main" or MAIN_MARKS.intersection(words) else 0
+    return out, 0 if out else max(main, own)
+
+
 class Node:
-    """An open or closed block element: label, children (nodes and text slots), what it is."""
+    """An open or closed block element or a text slot: its item (label, mark, children), what it is."""
 
-    __slots__ = ("name", "label", "out", "main", "path", "children")
+    __slots__ = ("name", "item", "out", "main")
 
     def __init__(self, name: str, attributes: str, parent: "Node | None"):
         words: list[str] = []
@@ -70,34 +87,28 @@ class Node:
             for _, *value in _NAMES.findall(attributes):
                 words += _PART.findall("".join(value).lower())
         self.name = name
-        self.label = ".".join([name, *dict.fromkeys(words)][:4])
-        inside = parent.main if parent is not None else 0
-        # the header of an article holds its headings
-        header = (name == "header" or "header" in words) and not inside
-        self.out = (parent is not None and parent.out) or header or name in NOT_TEXT or bool(MARKS.intersection(words))
-        own = 2 if name == "article" else 1 if name == "main" or MAIN_MARKS.intersection(words) else 0
-        self.main = 0 if self.out else max(inside, own)
-        self.path = f"{parent.path}/{self.label}" if parent is not None else self.label
-        self.children: list = []
+        self.item: list = [".".join([name, *dict.fromkeys(words)][:4]), "", []]
+        self.out, self.main = judged(".".join([name, *words]), parent.out, parent.main) if parent is not None else (False, 0)
 
 
 def read(html: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The tree of a page, and its blocks: (element, text, characters in links).
+    """The tree of a page, and its blocks: (text slot, text, characters in links).
 
-    An element's ``main`` is 2 in an article, 1 in a main part, 0 elsewhere.
+    A node's ``main`` is 2 in an article, 1 in a main part, 0 elsewhere.
     """
     root = Node("body", "", None)
-    stack, blocks, text, linked, in_link, at = [root], [], [], 0, 0, 0
+    stack, blocks, text, linked, in_link, at, slot = [root], [], [], 0, 0, 0, root
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, slot
         if text:
             block = " ".join(unescape("".join(text)).split())
             if block:
                 top = stack[-1]
-                blocks.append((top, block, linked))
-                if not top.children or top.children[-1] is not None:
-                    top.children.append(None)
+                if not blocks or not top.item[2] or top.item[2][-1] is not blocks[-1][0].item:
+                    slot = Node("#", "", top)
+                    top.item[2].append(slot.item)
+                blocks.append((slot, block, linked))
             text.clear()
             linked = 0
     html = html or ""
@@ -128,7 +139,7 @@ def read(html: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:
                     elif stack[k].name in SCOPES:
                         break
                 node = Node(name, m[4], stack[-1])
-                stack[-1].children.append(node)
+                stack[-1].item[2].append(node.item)
                 if name not in VOID:
                     stack.append(node)
         elif name == "br":
@@ -179,29 +190,118 @@ def aligned(a: list, b: list) -> list:
 def tree(root: Node) -> list:
     """The folded tree of a page, from the leaves up."""
     done: dict[int, list] = {}
-    order, stack = [], [root]
+    order, stack = [], [root.item]
     while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [c for c in node.children if c is not None]
-    for node in reversed(order):
-        done[id(node)] = folded([["#", "", []] if c is None else [c.label, "", done.pop(id(c))] for c in node.children])
-    return done[id(root)]
+        item = stack.pop()
+        order.append(item)
+        stack += item[2]
+    for item in reversed(order):
+        done[id(item)] = folded([[c[0], c[1], done.pop(id(c))] for c in item[2]])
+    return done[id(root.item)]
 
 
-def expression(items: list) -> str:
-    """A wrapper as a regular expression over elements."""
-    return " ".join((f"{x[0]}({expression(x[2])})" if x[2] else x[0]) + x[1] for x in items)
+def placed(have: list, want: list) -> dict[int, list] | None:
+    """The match of a tree (folded or not) with a wrapper: id of a text slot -> text slot of the wrapper.
+
+    Neighbours of one label go to one item that allows as many; an item that gets none must be
+    optional. Of several ways the leftmost counts. None where the wrapper does not match.
+    """
+    known: dict[tuple[int, int], list | None] = {}
+
+    def fits(run: list, item: list) -> bool:
+        mark = run[0][1] if len(run) == 1 else "+"
+        if run[0][0] != item[0] or either(item[1], mark) != item[1]:
+            return False
+        for x in run:
+            if way(x[2], item[2]) is None:
+                return False
+        return True
+
+    def way(a: list, b: list) -> list | None:
+        """Neighbours of ``a`` and their items of ``b``."""
+        key = id(a), id(b)
+        if key in known:
+            return known[key]
+        runs: list[list] = []
+        for x in a:
+            if runs and runs[-1][0][0] == x[0]:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        n, m = len(runs), len(b)
+        out: list | None = None
+        if n == m:
+            out = list(zip(runs, b))
+            for run, item in out:
+                if not fits(run, item):
+                    out = None
+                    break
+        elif n < m:
+            # can[i][j]: runs from i on match items from j on
+            can = [bytearray(m + 1) for _ in range(n + 1)]
+            can[n][m] = 1
+            for j in range(m - 1, -1, -1):
+                skip = b[j][1] in ("?", "*")
+                for i in range(max(0, n - m + j), min(j, n) + 1):
+                    can[i][j] = (skip and can[i][j + 1]) or (i < n and can[i + 1][j + 1] and fits(runs[i], b[j]))
+            if can[0][0]:
+                out, i = [], 0
+                for j in range(m):
+                    if i < n and can[i + 1][j + 1] and fits(runs[i], b[j]):
+                        out.append((runs[i], b[j]))
+                        i += 1
+        known[key] = out
+        return out
+
+    if way(have, want) is None:
+        return None
+    slots: dict[int, list] = {}
+    stack = [(have, want)]
+    while stack:
+        a, b = stack.pop()
+        for run, item in known[id(a), id(b)]:
+            for x in run:
+                if item[0] == "#":
+                    slots[id(x)] = item
+                else:
+                    stack.append((x[2], item[2]))
+    return slots
 
 
-def slot_paths(items: list, path: str = "body") -> list[str]:
-    out = [path] if any(x[0] == "#" for x in items) else []
-    for x in items:
-        if x[0] != "#":
-            out += slot_paths(x[2], f"{path}/{x[0]}")
+def texts(items: list) -> list[tuple[list, bool, int]]:
+    """The text slots of a wrapper in order: (item, no text, main); a slot's number is its place."""
+    out, stack = [], [(x, False, 0) for x in reversed(items)]
+    while stack:
+        item, no, main = stack.pop()
+        if item[0] == "#":
+            out.append((item, no, main))
+        else:
+            no, main = judged(item[0], no, main)
+            stack += [(x, no, main) for x in reversed(item[2])]
     return out
 
 
+def numbered(root: Node) -> tuple[str, str, dict[int, int]]:
+    """A page's folded tree, its name, and the numbers of the page's text slots in it: id of the item -> number."""
+    folds = tree(root)
+    text = json.dumps(folds, separators=(",", ":"))
+    at = {id(x[0]): i for i, x in enumerate(texts(folds))}
+    return text, digest(text), {k: at[id(x)] for k, x in placed(root.item[2], folds).items()}
+
+
+def digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def block_hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def expression(items: list) -> str:
+    """A wrapper as a regular expression over elements."""
+    return " ".join((f"{x[0]}({expression(x[2])})" if x[2] else x[0]) + x[1] for x in items)
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
@@ -211,6 +311,7 @@ def _align(rows: DataFrame, keys: list[str]) -> DataFrame:
     n = len(keys)
 
     def run(batches):
+        sys.setrecursionlimit(DEPTH)
         at, held, pages = None, None, 0
 
         def closed():
@@ -232,75 +333,121 @@ def _align(rows: DataFrame, keys: list[str]) -> DataFrame:
             .mapInArrow(run, schema))
 
 
+def _match(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """The text slots of all trees: (host, name, slot, place, kind), kind -1 for no text, else the main part."""
+
+    def run(batches):
+        sys.setrecursionlimit(DEPTH)
+        at = None
+        for b in batches:
+            out = []
+            for host, name, text, wrapper in zip(*(c.to_pylist() for c in b.columns)):
+                if wrapper != at:
+                    at, items = wrapper, json.loads(wrapper)
+                    slots = {id(x): (i, -1 if no else main) for i, (x, no, main) in enumerate(texts(items))}
+                have = json.loads(text)
+                to = placed(have, items)
+                out += [(host, name, i, *slots[id(to[id(x)])]) for i, (x, *_) in enumerate(texts(have))]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), *[pa.int32()] * 3])],
+                                             ["host", "name", "slot", "place", "kind"])
+    return (trees.join(wrappers, "host").select("host", "name", "tree", "wrapper")
+            .mapInArrow(run, "host string, name string, slot int, place int, kind int"))
+
+
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
-    """Wrappers (host, wrapper, pages) and slots (host, path, keep) of all hosts."""
+    """Wrappers (host, wrapper, pages) of all hosts, and verdicts (host, name, slots) on the slots of all trees.
+
+    ``slots`` has the text slots of a tree in order: (slot, place in the wrapper, keep, hashes of constant blocks).
+    """
     small_batches(pages.sparkSession)
+    block = pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("has", pa.int64())]))
+    kinds = {"host": pa.string(), "name": pa.string(), "tree": pa.string(), "pages": pa.int64(), "page": pa.string(), "blocks": block}
 
     def look(batches):
         from collections import Counter
-        from zlib import crc32
-        trees, slots = Counter(), {}
+        sys.setrecursionlimit(DEPTH)
+        trees, size = Counter(), 0
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(found.get(k, [None] * len(found["host"])), t) for k, t in kinds.items()], list(kinds))
 
         def flush():
-            keys = list(trees)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                              pa.array([trees[k] for k in keys], pa.int64()), *(pa.nulls(len(keys), t) for t in kinds)], names)
-            keys = list(slots)
-            cols = [[slots[k][c] for k in keys] for c in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64()),
-                                              pa.array([k[1] for k in keys], pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds[1:]))], names)
-        kinds = [pa.string(), pa.bool_(), pa.int32(), *[pa.int64()] * 5]
-        names = ["host", "tree", "pages", "path", "out", "main", "chars", "linked", "low", "high", "seen"]
+            yield rows({**{k: [x[i] for x in trees] for i, k in enumerate(("host", "name", "tree"))}, "pages": list(trees.values())})
         for b in batches:
+            found = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 root, blocks = read(page)
-                trees[host, json.dumps(tree(root))] += 1
-                here = set()
-                for node, text, linked in blocks:
-                    h, key = crc32(text.encode()), (host, node.path)
-                    s = slots.get(key)
-                    if s is None:
-                        slots[key] = [node.out, node.main, len(text), linked, h, h, 1]
-                    else:
-                        s[2:] = [s[2] + len(text), s[3] + linked, min(s[4], h), max(s[5], h), s[6] + (key not in here)]
-                    here.add(key)
-            if len(trees) + len(slots) > 20_000:
+                text, name, slots = numbered(root)
+                size += 0 if (host, name, text) in trees else len(text)
+                trees[host, name, text] += 1
+                plain, has = {}, set()
+                for node, t, linked in blocks:
+                    if not node.out and not node.main:
+                        slot = slots[id(node.item)]
+                        x = plain.setdefault((slot, h := block_hash(t)), [slot, h, 0, 0, int(slot not in has)])
+                        x[2], x[3] = x[2] + len(t), x[3] + linked
+                        has.add(slot)
+                if plain:
+                    found.append((host, name, digest(page or ""), [dict(zip(("slot", "hash", "chars", "linked", "has"), x)) for x in plain.values()]))
+            yield rows({k: [x[i] for x in found] for i, k in enumerate(("host", "name", "page", "blocks"))})
+            if size > 32_000_000:
                 yield from flush()
-                trees, slots = Counter(), {}
+                trees, size = Counter(), 0
         yield from flush()
 
     seen = materialize(pages.select(host_of(F.col(url)).alias("host"), html).mapInArrow(
-        look, "host string, tree string, pages long, path string, out boolean, main int, chars long, linked long, low long, high long, seen long"), "page-trees")
-    trees = seen.filter(F.col("tree").isNotNull()).groupBy("host", "tree").agg(F.sum("pages").alias("pages"))
-    parts = _align(trees.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(PARTS)).cast("int")), ["host", "part"])
-    wrappers = materialize(_align(parts, ["host"]).select("host", F.col("tree").alias("wrapper"), "pages"), "wrappers")
-    slots = (seen.filter(F.col("path").isNotNull()).groupBy("host", "path")
-             .agg(F.first("out").alias("out"), F.first("main").alias("main"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-                  F.min("low").alias("low"), F.max("high").alias("high"), F.sum("seen").alias("seen")))
-    plain = (2 * F.col("linked") <= F.col("chars")) & ((F.col("low") != F.col("high")) | (F.col("seen") < 3))
-    keep = ~F.col("out") & ((F.col("main") > 0) | plain)
-    judged = materialize(slots.select("host", "path", keep.alias("keep")), "slots")
-    return wrappers, judged
+        look, "host string, name string, tree string, pages long, page string, "
+              "blocks array<struct<slot:int,hash:long,chars:long,linked:long,has:long>>"), "page-trees")
+    trees = materialize(seen.filter(F.col("tree").isNotNull()).groupBy("host", "name", "tree").agg(F.sum("pages").alias("pages")), "trees")
+    parts, most = trees, None
+    while most is None or most > FAN:
+        sizes = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        part = F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / FAN)).cast("int")
+        parts = materialize(_align(parts.join(sizes, "host").withColumn("part", part), ["host", "part"]).drop("part"), "wrappers")
+    wrappers = parts.select("host", F.col("tree").alias("wrapper"), "pages")
+    slots = materialize(_match(trees, wrappers), "slots")
+
+    sums = [F.sum(k).alias(k) for k in ("n", "chars", "linked", "has")]
+    counts = materialize(
+        seen.filter(F.col("page").isNotNull()).select("host", "name", F.inline("blocks")).withColumn("n", F.lit(1))
+        .groupBy("host", "name", "slot", "hash").agg(*sums)
+        .join(slots.select("host", "name", "slot", "place"), ["host", "name", "slot"]).groupBy("host", "place", "hash").agg(*sums), "slot-blocks")
+    totals = counts.groupBy("host", "place").agg((2 * F.sum("linked") <= F.sum("chars")).alias("plain"), F.sum("has").alias("pages"),
+                                                 F.count(F.lit(1)).alias("different"))
+    same = (F.col("different") == 1) & (F.col("pages") >= 3)
+    verdicts = (slots.join(totals, ["host", "place"], "left")
+                .withColumn("keep", (F.col("kind") > 0) | ((F.col("kind") == 0) & F.coalesce(F.col("plain"), F.lit(True)) & ~F.coalesce(same, F.lit(False)))))
+    return wrappers, materialize(verdicts.groupBy("host", "name").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "place", "keep"))).alias("slots")), "verdicts")
 
 
 def extract(pages: DataFrame, slots: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` with the column ``main_text``: the blocks whose slots are kept, one per line."""
     small_batches(pages.sparkSession)
-    pages = without(pages, "main_text", "wrapper_host", "wrapper_slots")
-    kept = materialize(slots.filter("keep").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("wrapper_slots")), "kept-slots")
-    joined = pages.withColumn("wrapper_host", host_of(F.col(url))).join(kept.withColumnRenamed("host", "wrapper_host"), "wrapper_host", "left")
-    cols = [*pages.columns, "wrapper_slots"]
+    pages = without(pages, "main_text", "wrapper_host", "wrapper_tree", "wrapper_blocks", "wrapper_slots")
+    cols = [*pages.columns, "wrapper_host"]
     at = pages.columns.index(html)
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("main", pa.int32()), ("text", pa.string())]))
 
     def run(batches):
+        sys.setrecursionlimit(DEPTH)
         for b in batches:
-            out, known = [], {}
-            for page, slots_ in zip(b.column(at).to_pylist(), b.column(len(cols) - 1).to_pylist()):
-                key = tuple(slots_ or ())
-                keep = known.setdefault(key, frozenset(key))
-                blocks = [(node.main, t) for node, t, _ in read(page)[1] if node.path in keep]
-                most = max((m for m, _ in blocks), default=0)
-                out.append("\n".join([t for m, t in blocks if m == most]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], [*cols[:-1], "main_text"])
-
-    return joined.select([F.col(f"`{c}`") for c in cols]).mapInArrow(run, nullable(pages.schema).add("main_text", "string"))
+            names, found = [], []
+            for page in b.column(at).to_pylist():
+                root, blocks = read(page)
+                _, name, number = numbered(root)
+                names.append(name)
+                found.append([{"slot": number[id(x.item)], "main": x.main, "text": t} for x, t, _ in blocks if not x.out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(found, kind)], [*cols, "wrapper_tree", "wrapper_blocks"])
+
+    schema = (nullable(pages.schema).add("wrapper_host", "string").add("wrapper_tree", "string")
+              .add("wrapper_blocks", T.ArrayType(T.StructType.fromDDL("slot int, main int, text string"))))
+    found = pages.withColumn("wrapper_host", host_of(F.col(url))).select([F.col(f"`{c}`") for c in cols]).mapInArrow(run, schema)
+    joined = found.join(slots.select(F.col("host").alias("wrapper_host"), F.col("name").alias("wrapper_tree"), F.col("slots").alias("wrapper_slots")),
+                        ["wrapper_host", "wrapper_tree"], "left")
+    kept = F.filter("wrapper_blocks", lambda x: F.coalesce(F.get("wrapper_slots", x["slot"])["keep"], F.lit(True)))
+    most = F.transform(F.array(kept), lambda k: F.struct(k.alias("k"), F.array_max(F.transform(k, lambda x: x["main"])).alias("most")))
+    text = F.transform(most, lambda s: F.array_join(F.transform(F.filter(s["k"], lambda x: x["main"] == s["most"]), lambda x: x["text"]), "\n"))[0]
+    return joined.select(*[F.col(f"`{c}`") for c in pages.columns], text.alias("main_text"))

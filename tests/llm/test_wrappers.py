@@ -1,3 +1,8 @@
+import json
+
+import hypothesis.strategies as st
+from hypothesis import given
+
 from ledgerlake.llm import wrappers as wr
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body>
@@ -63,3 +68,37 @@ def test_whole_table_against_its_template(spark):
         body = re.sub(r"</?b>", "", re.search(r"<article>(.*?)</article>", html[r["page_id"]], re.S)[1]).replace("<br>", " ")
         want = "\n".join(x for x in (" ".join(unescape(b).split()) for b in re.split(r"</?(?:p|h1)>", body)) if x)
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def items(depth=3):
+    import hypothesis.strategies as st
+    leaf = st.just(["#", "", []])
+    return st.lists(leaf if not depth else st.one_of(leaf, st.tuples(st.sampled_from("xyz"), items(depth - 1)).map(lambda x: [x[0], "", x[1]])), max_size=4)
+
+
+@given(st.lists(items(), min_size=1, max_size=6))
+def test_a_wrapper_matches_its_trees(raw):
+    def fold(x):
+        return wr.folded([[c[0], c[1], fold(c[2])] for c in x])
+    trees = [fold(x) for x in raw]
+    wrapper = trees[0]
+    for x in trees[1:]:
+        wrapper = wr.aligned(wrapper, x)
+    wrapper = json.loads(json.dumps(wrapper))
+    for x, t in zip(raw, trees):
+        for have, want in ((x, t), (t, wrapper), (json.loads(json.dumps(t)), wrapper)):
+            to = wr.placed(have, want)
+            assert {id(y[0]) for y in wr.texts(have)} == set(to)
+        to = wr.placed(t, wrapper)
+        assert len({id(y) for y in to.values()}) == len(to)
+    assert wr.placed([["#", "", []], ["w", "", [["#", "", []]]]], wrapper) is None
+
+
+def test_slots_are_those_of_the_wrapper(spark):
+    """Two elements of one path are two slots of the wrapper: the first says the same on all pages."""
+    rows = [(i, "http://two.example/", f"<div><p>About us</p></div><h2>Story {i}</h2><div><p>It goes {i} on</p></div>") for i in range(4)]
+    rows += [(i, "http://many.example/", "<h2>T</h2>" * (i % 2) + "<div><p>About us</p></div>" + f"<h{i % 7 or 1}>S</h{i % 7 or 1}>" + f"<ul><li>A {i}</li></ul>" * i
+              + f"<div><p>It goes {i} on</p></div>") for i in range(100, 200)]
+    got, wrappers = run(spark, rows)
+    assert all("About us" not in t and f"It goes {i} on" in t for i, t in got.items()) and len(got) == 104
+    assert wr.expression(json.loads(wrappers["two.example"])) == "div(p(#)) h2(#) div(p(#))"
