@@ -87,8 +87,8 @@ class Node:
             for _, *value in _NAMES.findall(attributes):
                 words += _PART.findall("".join(value).lower())
         self.name = name
-        self.item: list = [".".join([name, *dict.fromkeys(words)][:4]), "", []]
-        self.out, self.main = judged(".".join([name, *words]), parent.out, parent.main) if parent is not None else (False, 0)
+        self.item: list = [".".join([name, *dict.fromkeys(words)]), "", []]
+        self.out, self.main = judged(self.item[0], parent.out, parent.main) if parent is not None else (False, 0)
 
 
 def read(html: str | None) -> tuple[Node, list[tuple[Node, str, int]]]:

@@ -102,3 +102,10 @@ def test_slots_are_those_of_the_wrapper(spark):
     got, wrappers = run(spark, rows)
     assert all("About us" not in t and f"It goes {i} on" in t for i, t in got.items()) and len(got) == 104
     assert wr.expression(json.loads(wrappers["two.example"])) == "div(p(#)) h2(#) div(p(#))"
+
+
+def test_elements_that_differ_in_a_late_word(spark):
+    side, body, note = ('<div class="row col-md-4 px {}">{}</div>'.format(*x) for x in (("sidebar", "Links"), ("main-content", "Text {0}"), ("lead", "Lead {0}")))
+    for n, parts in enumerate(([side, body], [body, side], [side, note], [note, side])):
+        got, _ = run(spark, [(i, "http://grid.example/", "".join(parts).format(i)) for i in range(4)])
+        assert got == {i: f"{'Text' if n < 2 else 'Lead'} {i}" for i in range(4)}
