@@ -11,8 +11,8 @@ Every tree of a host is then matched against its wrapper, which tells the slots
 
 Slots are judged once per host, by the wrapper's nodes. Menus, headers, footers, sidebars, notices, adverts, forms and
 comments are known by element, role and class names; slots of an article or main part are text,
-other slots are where they are not mostly links and do not say the same on all pages. A page's
-text is its blocks in such slots: those of its articles, else of its main part, else all.
+other slots are where they are not mostly links, less the blocks that all different pages with the
+slot have (``LEAST_PAGES`` at least; copies of a page count once). A page's text is its blocks in such slots: those of its articles, else of its main part, else all.
 
 Defined cases: null html counts as empty and gives the empty text; pages without a host (null or
 odd urls) share the host ``''``; of a page whose tree was not among the inferred ones the element, role
@@ -39,6 +39,8 @@ from ledgerlake.llm.common import materialize, nullable, small_batches, without
 
 #: Trees or wrappers aligned by one task in a round.
 FAN = 32
+#: Different pages with a slot at least, for a block on all of them to be constant.
+LEAST_PAGES = 3
 #: Recursion of workers: nested elements of a page.
 DEPTH = 100_000
 _TOKEN = re.compile(
@@ -358,7 +360,7 @@ def _match(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
     """Wrappers (host, wrapper, pages) of all hosts, and verdicts (host, name, slots) on the slots of all trees.
 
-    ``slots`` has the text slots of a tree in order: (slot, place in the wrapper, keep, hashes of constant blocks).
+    ``slots`` has the text slots of a tree in order: (slot, place in the wrapper, keep, hashes of the blocks that all its pages have).
     """
     small_batches(pages.sparkSession)
     block = pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("has", pa.int64())]))
@@ -411,16 +413,18 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataF
 
     sums = [F.sum(k).alias(k) for k in ("n", "chars", "linked", "has")]
     counts = materialize(
-        seen.filter(F.col("page").isNotNull()).select("host", "name", F.inline("blocks")).withColumn("n", F.lit(1))
+        seen.filter(F.col("page").isNotNull()).dropDuplicates(["host", "page"]).select("host", "name", F.inline("blocks")).withColumn("n", F.lit(1))
         .groupBy("host", "name", "slot", "hash").agg(*sums)
         .join(slots.select("host", "name", "slot", "place"), ["host", "name", "slot"]).groupBy("host", "place", "hash").agg(*sums), "slot-blocks")
-    totals = counts.groupBy("host", "place").agg((2 * F.sum("linked") <= F.sum("chars")).alias("plain"), F.sum("has").alias("pages"),
-                                                 F.count(F.lit(1)).alias("different"))
-    same = (F.col("different") == 1) & (F.col("pages") >= 3)
-    verdicts = (slots.join(totals, ["host", "place"], "left")
-                .withColumn("keep", (F.col("kind") > 0) | ((F.col("kind") == 0) & F.coalesce(F.col("plain"), F.lit(True)) & ~F.coalesce(same, F.lit(False)))))
+    totals = materialize(counts.groupBy("host", "place").agg((2 * F.sum("linked") <= F.sum("chars")).alias("plain"), F.sum("has").alias("pages")),
+                         "slot-totals")
+    # a block of a page with the slot counts once, so this is on all of them; no more than one page has
+    same = (counts.filter(F.col("n") >= LEAST_PAGES).join(totals, ["host", "place"]).filter(F.col("n") == F.col("pages"))
+            .groupBy("host", "place").agg(F.sort_array(F.collect_list("hash")).alias("same")))
+    verdicts = (slots.join(totals.join(same, ["host", "place"], "left"), ["host", "place"], "left")
+                .withColumn("keep", (F.col("kind") > 0) | ((F.col("kind") == 0) & F.coalesce(F.col("plain"), F.lit(True)))))
     return wrappers, materialize(verdicts.groupBy("host", "name").agg(
-        F.sort_array(F.collect_list(F.struct("slot", "place", "keep"))).alias("slots")), "verdicts")
+        F.sort_array(F.collect_list(F.struct("slot", "place", "keep", "same"))).alias("slots")), "verdicts")
 
 
 def extract(pages: DataFrame, slots: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -429,7 +433,7 @@ def extract(pages: DataFrame, slots: DataFrame, url: str = "url", html: str = "h
     pages = without(pages, "main_text", "wrapper_host", "wrapper_tree", "wrapper_blocks", "wrapper_slots")
     cols = [*pages.columns, "wrapper_host"]
     at = pages.columns.index(html)
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("main", pa.int32()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("main", pa.int32()), ("hash", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
         sys.setrecursionlimit(DEPTH)
@@ -439,15 +443,19 @@ def extract(pages: DataFrame, slots: DataFrame, url: str = "url", html: str = "h
                 root, blocks = read(page)
                 _, name, number = numbered(root)
                 names.append(name)
-                found.append([{"slot": number[id(x.item)], "main": x.main, "text": t} for x, t, _ in blocks if not x.out])
+                found.append([{"slot": number[id(x.item)], "main": x.main, "hash": None if x.main else block_hash(t), "text": t} for x, t, _ in blocks if not x.out])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(found, kind)], [*cols, "wrapper_tree", "wrapper_blocks"])
 
     schema = (nullable(pages.schema).add("wrapper_host", "string").add("wrapper_tree", "string")
-              .add("wrapper_blocks", T.ArrayType(T.StructType.fromDDL("slot int, main int, text string"))))
+              .add("wrapper_blocks", T.ArrayType(T.StructType.fromDDL("slot int, main int, hash long, text string"))))
     found = pages.withColumn("wrapper_host", host_of(F.col(url))).select([F.col(f"`{c}`") for c in cols]).mapInArrow(run, schema)
     joined = found.join(slots.select(F.col("host").alias("wrapper_host"), F.col("name").alias("wrapper_tree"), F.col("slots").alias("wrapper_slots")),
                         ["wrapper_host", "wrapper_tree"], "left")
-    kept = F.filter("wrapper_blocks", lambda x: F.coalesce(F.get("wrapper_slots", x["slot"])["keep"], F.lit(True)))
+
+    def keep(x):
+        verdict = F.get("wrapper_slots", x["slot"])
+        return F.coalesce(verdict["keep"], F.lit(True)) & ~F.coalesce(F.array_contains(verdict["same"], x["hash"]), F.lit(False))
+    kept = F.filter("wrapper_blocks", keep)
     most = F.transform(F.array(kept), lambda k: F.struct(k.alias("k"), F.array_max(F.transform(k, lambda x: x["main"])).alias("most")))
     text = F.transform(most, lambda s: F.array_join(F.transform(F.filter(s["k"], lambda x: x["main"] == s["most"]), lambda x: x["text"]), "\n"))[0]
     return joined.select(*[F.col(f"`{c}`") for c in pages.columns], text.alias("main_text"))

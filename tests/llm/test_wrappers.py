@@ -109,3 +109,12 @@ def test_elements_that_differ_in_a_late_word(spark):
     for n, parts in enumerate(([side, body], [body, side], [side, note], [note, side])):
         got, _ = run(spark, [(i, "http://grid.example/", "".join(parts).format(i)) for i in range(4)])
         assert got == {i: f"{'Text' if n < 2 else 'Lead'} {i}" for i in range(4)}
+
+
+def test_constant_blocks_over_different_pages(spark):
+    copies = [(i, "http://copies.example/", "<div><h1>T</h1><p>text</p></div>") for i in range(5)]
+    two = [(10 + i, "http://two.example/", f"<div><p>About us</p><p>Our terms</p><p>Story {i}</p></div>") for i in range(4)]
+    once = [(20 + i, "http://once.example/", f"<div><p>Same</p><p>{'Same' if i else 'Other'}</p></div>" + "<hr>" * (i > 1)) for i in range(3)]
+    got, _ = run(spark, copies + two + once + two)
+    assert all(got[i] == "T\ntext" for i in range(5)) and all(got[10 + i] == f"Story {i}" for i in range(4))
+    assert got[20] == "Other" and got[21] == got[22] == ""
