@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segment search.
 
 A token's weight is its log-odds between toxic and other labelled documents under an informative
-Dirichlet prior (the rates of all labelled documents), kept where it stands ``LEAST_Z`` standard
-deviations above 0 and lowered by ``CAUTION`` of them. Tokens are words, and beginnings of words
+Dirichlet prior (the rates of all labelled documents, ``LEAST_PRIOR`` documents of either label at
+least), kept where its likelihood ratio stands ``LEAST_Z`` standard deviations above 0 and lowered by
+``CAUTION`` of its own. Tokens are words, and beginnings of words
 counted over the words that no longer token explains; one that more clean than toxic documents
 have is no mark, and a word takes the longest of its own. All other words weigh ``-DRIFT``, so that a clean text drifts down. One linear scan
 finds all maximal scoring segments of a text. By the extreme-value law a clean text of n words
@@ -29,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,8 @@ from ledgerlake.llm.common import materialize, nullable, small_batches, without
 TRAIN_DOCS = 20_000
 PREFIXES = range(3, 9)
 PRIOR_WEIGHT = 50.0
+#: Prior documents of a feature and side at least, whatever the sample's size.
+LEAST_PRIOR = 1.0
 LEAST_Z = 3.5
 CAUTION = 2.0
 #: Labelled rows at least behind each step of the calibration.
@@ -58,6 +61,23 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in reversed(PREFIXES) if n < len(word))]
 
 
+def strength(y1: Column, y0: Column, n1: float, n0: float) -> tuple[Column, Column, Column]:
+    """How a feature of y1 of n1 toxic and y0 of n0 clean documents marks toxic ones: z, log-odds, their deviation.
+
+    z is the signed root of the likelihood ratio, so that fewer clean documents never make it less.
+    """
+    prior = F.greatest(F.lit(PRIOR_WEIGHT) * (y1 + y0) / F.lit(n1 + n0), F.lit(LEAST_PRIOR))
+    a, b, rest = y1 + prior, y0 + prior, F.greatest(F.lit(PRIOR_WEIGHT) - prior, F.lit(LEAST_PRIOR))
+    odds = F.log(a / (F.lit(n1) - y1 + rest)) - F.log(b / (F.lit(n0) - y0 + rest))
+
+    def part(k, n, share):
+        return F.when(k > 0, k * F.log(k / (F.lit(n) * share))).otherwise(F.lit(0.0))
+    have = (y1 + y0) / F.lit(n1 + n0)
+    lack = 1 - have
+    ratio = part(y1, n1, have) + part(y0, n0, have) + part(F.lit(n1) - y1, n1, lack) + part(F.lit(n0) - y0, n0, lack)
+    return F.signum(y1 / F.lit(n1) - y0 / F.lit(n0)) * F.sqrt(2 * F.greatest(ratio, F.lit(0.0))), odds, F.sqrt(1 / a + 1 / b)
+
+
 def segments(at: list[int], weights: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last word, score) of a text, by one scan.
 
@@ -189,12 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     def strong(counts: DataFrame) -> dict[str, float]:
         """Weights of the features that mark toxic documents; fewer than the words of the sample's toxic rows."""
         y1, y0 = F.least(F.col("y1"), F.lit(n1)), F.least(F.col("y0"), F.lit(n0))
-        prior = F.lit(PRIOR_WEIGHT) * (y1 + y0) / F.lit(n1 + n0)
-        a, b = F.col("a"), F.col("b")
-        odds = F.log(a / (F.lit(n1 + PRIOR_WEIGHT) - a)) - F.log(b / (F.lit(n0 + PRIOR_WEIGHT) - b))
+        z, odds, sd = strength(y1, y0, n1, n0)
         rows = (counts.filter(F.col("y1") > 1).filter(y1 * F.lit(of[1] / n1) > y0 * F.lit(of[0] / n0))
-                .select("feature", (y1 + prior).alias("a"), (y0 + prior).alias("b"))
-                .withColumn("odds", odds).withColumn("sd", F.sqrt(1 / a + 1 / b)).filter(F.col("odds") >= LEAST_Z * F.col("sd")))
+                .select("feature", z.alias("z"), odds.alias("odds"), sd.alias("sd"))
+                .filter((F.col("z") >= LEAST_Z) & (F.col("odds") > CAUTION * F.col("sd"))))
         return {r[0]: r[1] for r in rows.select("feature", F.col("odds") - CAUTION * F.col("sd")).collect()}
 
     model.weights = strong(words.withColumnRenamed("word", "feature"))

@@ -60,3 +60,20 @@ def test_passages_are_found():
     found = model.passages(at, w, n)
     assert [(a, b) for a, b, *_ in found] == [(60, 62)]
     assert model.score(model.evidence(found, at, w, n)) > 0.5 > model.score(model.evidence([], [], [], 100))
+
+
+def test_fewer_clean_documents_never_weaken_a_mark(spark):
+    from pyspark.sql import functions as F
+    at = {(200, 20_000, 20_000), (50, 500, 20_000), (20, 300, 2700), (3, 300, 2700), (5, 100, 20_000), (400, 500, 500)}
+    for y1, n1, n0 in at:
+        z, odds, sd = toxicity.strength(F.lit(float(y1)), F.col("id").cast("double"), float(n1), float(n0))
+        rows = spark.range(40).select(z.alias("z"), (odds - toxicity.CAUTION * sd).alias("w")).collect()
+        rows = [r for r in rows if r["z"] > 0]
+        assert rows[0]["z"] >= toxicity.LEAST_Z and rows[0]["w"] > 0
+        assert all(a["z"] >= b["z"] and a["w"] >= b["w"] for a, b in zip(rows, rows[1:]))
+
+
+def test_a_word_of_toxic_documents_only_is_a_mark(spark):
+    docs = spark.range(2050).selectExpr("id AS doc_id", "IF(id < 5, 'xyzzy plain words', 'plain words') AS text")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "CAST(doc_id < 50 AS int) AS toxic"))
+    assert model.weights.keys() == {"xyzzy"} and model.weights["xyzzy"] > 0
