@@ -7,8 +7,8 @@ probabilities are fitted by expectation-maximisation: the E step (expected piece
 forward-backward) runs over word counts in Spark, the M step normalises one vector per language
 of the size of the vocabulary.
 
-The fit reads at most ``TRAIN_DOCS`` labelled documents of a language in expectation (chosen by a
-hash of the text); prediction reads every whole text. Words are runs of letters, lower-cased; a
+The fit reads at most ``TRAIN_DOCS`` different labelled texts of a language (those with the lowest
+hashes; copies count once); prediction reads every whole text. Words are runs of letters, lower-cased; a
 longer run than ``SPAN`` letters is scored as consecutive spans of that length.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
@@ -24,7 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import aside, materialize, nullable, small_batches, without
@@ -157,15 +157,26 @@ def spans(text: str | None) -> list[str]:
     return out
 
 
+def sampled(labelled: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` different texts of each language with the lowest hashes, or all where it has no more."""
+    labelled = labelled.select("lang", "text", F.xxhash64("text", F.lit(11)).alias("at"))
+    texts = materialize(labelled.select("lang", "at").distinct(), "langid-texts")
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    # of a large language only about twice the bound are ranked
+    share = F.col("at") / F.lit(2.0 ** 64) + 0.5
+    near = texts.join(sizes, "lang").filter((share <= F.lit(2.0 * bound + 100) / F.col("n")) | (F.col("at") == F.col("least")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    # written, so that Spark knows its size and sends it to the texts rather than the texts to it
+    chosen = materialize(near.withColumn("rank", rank).filter(F.col("rank") <= bound).select("lang", "at"), "langid-chosen")
+    return labelled.join(chosen, ["lang", "at"]).dropDuplicates(["lang", "at"]).select("lang", "text")
+
+
 def fit(labelled: DataFrame, path: str = VOCABULARY, bound: int = TRAIN_DOCS, rounds: int = ROUNDS):
     """(languages, piece probabilities (pieces + 1) x languages) from columns text, lang."""
     spark = labelled.sparkSession
     small_batches(spark)
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # written, so that Spark knows its size and sends it to the texts rather than the texts to it
-    sizes = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
-    share = F.xxhash64("text", F.lit(11)) / F.lit(2.0 ** 64) + 0.5
-    sample = labelled.join(sizes, "lang").filter(share <= F.lit(float(bound)) / F.col("n")).select("lang", "text")
+    sample = sampled(labelled, bound)
 
     def words(batches):
         from collections import Counter

@@ -54,3 +54,12 @@ def test_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(empty(spark), model).count() == 0
     assert langid.accepted(odd(spark), model).columns == odd(spark).columns
+
+
+def test_copies_neither_fill_nor_empty_the_sample(spark):
+    rows = [(f"copied text {i % 3}", "xx") for i in range(900)] + [(f"own text {i}", "yy") for i in range(500)] + [("often", "yy")] * 300 + [("lone", "zz")]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    for bound in (1, 2, 50):
+        got = [tuple(r) for r in langid.sampled(labelled, bound).collect()]
+        assert len(got) == len(set(got)) == min(bound, 3) + min(bound, 501) + 1 and {g[0] for g in got} == {"xx", "yy", "zz"}
+    assert langid.fit(labelled, bound=2)[0] == ["xx", "yy", "zz"]
