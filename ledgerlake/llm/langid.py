@@ -8,8 +8,11 @@ forward-backward) runs over word counts in Spark, the M step normalises one vect
 of the size of the vocabulary.
 
 The fit reads at most ``TRAIN_DOCS`` different labelled texts of a language (those with the lowest
-hashes; copies count once); prediction reads every whole text. Words are runs of letters, lower-cased; a
-longer run than ``SPAN`` letters is scored as consecutive spans of that length.
+hashes; copies count once); prediction reads every whole text. Words are runs of letters (Unicode
+categories L*), lower-cased, of any length, and pieces are as long as the vocabulary has them; long
+runs go through the same recurrence in blocks, rescaled so that nothing underflows.
+
+A task holds the words of a slice of ``SLICE`` words at a time, whatever the lengths of the texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
 labelled row every text is ``und`` with score 0; ties go to the first language in order; repeated
@@ -20,7 +23,9 @@ rows are predicted alike; an empty table gives no rows; columns named like the a
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +37,15 @@ from ledgerlake.llm.common import aside, materialize, nullable, small_batches, w
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 3000
 ROUNDS = 3
-SPAN = 32
-LONGEST = 8
+#: Words scored at once, the length from which a run is scored on its own, and letters of one block of it.
+SLICE, RUN, BLOCK = 50_000, 64, 4096
 #: Probability of a letter that is no piece of the vocabulary, and the pseudo-count of a piece.
 UNKNOWN, PRIOR = 1e-7, 0.05
 #: Different words whose scores a worker remembers.
-REMEMBERED = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+REMEMBERED = 150_000
+# letters only: word characters less digits and less other number signs (fractions, Roman numerals)
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _MULT, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,7 +56,8 @@ class Pieces:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        self.texts = sorted(t for t in texts if 0 < len(t) <= LONGEST and t == t.lower() and (LETTERS.fullmatch(t.lstrip("▁")) or t == "▁"))
+        self.texts = sorted(t for t in texts if t and t == t.lower() and (LETTERS.fullmatch(t.lstrip("▁")) or t == "▁"))
+        self.longest = max(map(len, self.texts))
         hashes = np.array([self._hash([ord(c) for c in t]) for t in self.texts], dtype=np.uint64)
         self.bits = 18
         self.slots = np.zeros(1 << self.bits, dtype=np.int32)   # number of a piece + 1
@@ -83,10 +91,22 @@ class Pieces:
         n, size = codes.shape
         for i in range(size):
             h = np.zeros(n, np.uint64)
-            for k in range(1, min(LONGEST, size - i) + 1):
+            for k in range(1, min(self.longest, size - i) + 1):
                 h = h * _MULT + codes[:, i + k - 1].astype(np.uint64) + np.uint64(1)
                 yield i, k, self.find(h)
 
+    def starting(self, codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Piece numbers of the substrings of one run that begin at lo..hi, by length less one."""
+        out = np.zeros((hi - lo, self.longest), dtype=np.int32)
+        h = np.zeros(hi - lo, np.uint64)
+        for k in range(1, self.longest + 1):
+            n = min(hi, len(codes) - k + 1) - lo
+            if n <= 0:
+                break
+            h = h[:n] * _MULT + codes[lo + k - 1:lo + k - 1 + n].astype(np.uint64) + np.uint64(1)
+            out[:n, k - 1] = self.find(h)
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -103,22 +123,85 @@ def by_length(words: list[str]):
             yield idx, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(len(idx), -1)
 
 
+def chances(table: Pieces, probs: np.ndarray, codes: np.ndarray, lo: int, hi: int):
+    """(piece numbers, probabilities) of the substrings that begin at lo..hi; a letter always has one."""
+    piece = table.starting(codes, lo, hi)
+    p = probs[piece]
+    p[:, 0][piece[:, 0] == 0] = UNKNOWN
+    return piece, p
+
+
+def run_forward(table: Pieces, probs: np.ndarray, codes: np.ndarray, log: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of one run of any length in each language; ``log`` takes that of every beginning."""
+    k, total = table.longest, np.zeros(probs.shape[1])
+    ahead = np.zeros((k, probs.shape[1]))      # what reaches the next positions, over 10 ** total
+    ahead[0] = 1
+    for lo in range(0, len(codes), BLOCK):
+        hi = min(len(codes), lo + BLOCK)
+        _, p = chances(table, probs, codes, lo, hi)
+        alpha = np.concatenate([ahead, np.zeros((hi - lo, probs.shape[1]))])
+        for i in range(hi - lo):
+            if i % 16 == 0:
+                scale = alpha[i].copy()
+                alpha[i:i + k] /= scale
+                total = total + np.log10(scale)
+            if log is not None:
+                log[lo + i] = total + np.log10(alpha[i])
+            alpha[i + 1:i + k + 1] += alpha[i] * p[i]
+        ahead = alpha[hi - lo:]
+    return total + np.log10(ahead[0])
+
+
+def run_expected(table: Pieces, probs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Expected piece counts of one run of any length, one language: backward over the blocks."""
+    k, size, out = table.longest, len(codes), np.zeros(len(probs))
+    log = np.zeros((size, 1))
+    whole = float(run_forward(table, probs[:, None], codes, log)[0])
+    behind, total = np.zeros(k), 0.0           # chances of the rest after the next positions, over 10 ** total
+    behind[0] = 1
+    for lo in reversed(range(0, size, BLOCK)):
+        hi = min(size, lo + BLOCK)
+        piece, p = chances(table, probs, codes, lo, hi)
+        beta = np.concatenate([np.zeros(hi - lo), behind])
+        for i in reversed(range(hi - lo)):
+            after = beta[i + 1:i + k + 1]
+            beta[i] = p[i] @ after
+            share = p[i] * after * 10 ** (log[lo + i, 0] + total - whole)
+            np.add.at(out, piece[i], share)
+            if i % 16 == 0:
+                total += np.log10(beta[i])
+                beta[i:i + k] /= beta[i]
+        behind = beta[:k]
+    out[0] = 0
+    return out
+
+
 def forward(table: Pieces, probs: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """log10 probability of each word (rows of code points) in each language."""
     n, size = codes.shape
+    if size > RUN:
+        return np.array([run_forward(table, probs, c) for c in codes])
     alpha = [np.zeros((n, probs.shape[1])) for _ in range(size + 1)]
     alpha[0][:] = 1
+    log = np.zeros((n, probs.shape[1]))
     for i, k, piece in table.lattice(codes):
+        if k == 1 and i and i % 16 == 0:
+            scale = alpha[i].copy()
+            for a in alpha[i:i + table.longest]:
+                a /= scale
+            log += np.log10(scale)
         p = probs[piece]
         if k == 1:
             p[piece == 0] = UNKNOWN
         alpha[i + k] += alpha[i] * p
-    return np.log10(alpha[size])
+    return log + np.log10(alpha[size])
 
 
 def expected(table: Pieces, probs: np.ndarray, codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words of one language (probs: one column)."""
     n, size = codes.shape
+    if size > RUN:
+        return sum(w * run_expected(table, probs, c) for w, c in zip(weight, codes))
     steps = list(table.lattice(codes))
     chance = [np.where(piece == 0, UNKNOWN if k == 1 else 0.0, probs[piece]) for _, k, piece in steps]
     alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
@@ -148,13 +231,24 @@ def gathered(batches, rows: int = 20_000):
         yield columns
 
 
-def spans(text: str | None) -> list[str]:
-    """Words of a text with their start mark, in spans of at most ``SPAN`` letters."""
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        w = "▁" + w
-        out += [w] if len(w) <= SPAN else [w[i:i + SPAN] for i in range(0, len(w), SPAN)]
-    return out
+def words_of(text: str | None):
+    """The words of a text with their start mark, one after the other."""
+    return ("▁" + m.group() for m in LETTERS.finditer((text or "").lower()))
+
+
+def slices(texts):
+    """(row of each word, words) of consecutive texts, ``SLICE`` words at a time."""
+    rows, words = [], []
+    for i, text in enumerate(texts):
+        found = words_of(text)
+        while part := list(itertools.islice(found, SLICE - len(words))):
+            words += part
+            rows.append((i, len(part)))
+            if len(words) >= SLICE:
+                yield np.repeat([r for r, _ in rows], [n for _, n in rows]), words
+                rows, words = [], []
+    if words:
+        yield np.repeat([r for r, _ in rows], [n for _, n in rows]), words
 
 
 def sampled(labelled: DataFrame, bound: int) -> DataFrame:
@@ -181,12 +275,11 @@ def fit(labelled: DataFrame, path: str = VOCABULARY, bound: int = TRAIN_DOCS, ro
     def words(batches):
         from collections import Counter
         for b in batches:
-            counts = Counter()
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts.update((lang, w) for w in spans(text))
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                              pa.array([counts[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+            lang = b.column(0).to_pylist()
+            for row, word in slices(x.as_py() for x in b.column(1)):
+                counts = Counter(zip((lang[i] for i in row), word))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
+                                                  pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     counts = materialize(sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word")
                          .agg(F.sum("n").alias("n")), "langid-words")
@@ -228,26 +321,24 @@ def predict(docs: DataFrame, model, path: str = VOCABULARY, text: str = "text")
     at = docs.columns.index(text)
 
     def run(batches):
-        import itertools
         table, known = pieces(path), {}
         score = np.zeros((0, max(1, len(langs))))
         for b in batches:
-            per = [spans(t) for t in b.column(at).to_pylist()]
-            flat = list(itertools.chain.from_iterable(per))
-            if len(known) > REMEMBERED:
-                known, score = {}, score[:0]
-            new = [w for w in dict.fromkeys(flat) if w not in known]
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            fresh = np.zeros((len(new), score.shape[1]))
-            if langs:
-                for idx, codes in by_length(new):
-                    fresh[idx] = forward(table, probs, codes)
-            score = np.concatenate([score, fresh])
-            where = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-            lens = np.fromiter(map(len, per), np.int64, len(per))
-            ends = np.cumsum(lens)
-            total = np.vstack([np.zeros(score.shape[1]), np.cumsum(score[where], axis=0)]) if len(flat) else np.zeros((1, score.shape[1]))
-            by_doc = total[ends] - total[ends - lens]
+            by_doc, lens = np.zeros((b.num_rows, score.shape[1])), np.zeros(b.num_rows, np.int64)
+            for row, words in slices(x.as_py() for x in b.column(at)):
+                if len(known) > REMEMBERED:
+                    known, score = {}, score[:0]
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                fresh = np.zeros((len(new), score.shape[1]))
+                if langs:
+                    for idx, codes in by_length(new):
+                        fresh[idx] = forward(table, probs, codes)
+                score = np.concatenate([score, fresh])
+                where = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                by_doc[row[starts]] += np.add.reduceat(score[where], starts)
+                lens += np.bincount(row, minlength=b.num_rows)
             best = by_doc.argmax(axis=1)
             gap = np.clip(by_doc - by_doc.max(axis=1, keepdims=True), -300, 0)
             post = 1 / np.power(10.0, gap).sum(axis=1)

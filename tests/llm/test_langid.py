@@ -63,3 +63,57 @@ def test_copies_neither_fill_nor_empty_the_sample(spark):
         got = [tuple(r) for r in langid.sampled(labelled, bound).collect()]
         assert len(got) == len(set(got)) == min(bound, 3) + min(bound, 501) + 1 and {g[0] for g in got} == {"xx", "yy", "zz"}
     assert langid.fit(labelled, bound=2)[0] == ["xx", "yy", "zz"]
+
+
+def test_long_pieces_and_long_runs_are_not_cut(monkeypatch):
+    table = langid.pieces(langid.VOCABULARY)
+    rnd = np.random.default_rng(1)
+    probs = rnd.random((len(table.texts) + 1, 2)) / 100
+    probs[0] = 0
+    number = {t: i + 1 for i, t in enumerate(table.texts)}
+    longest = max(table.texts, key=len)
+    assert len(longest) == table.longest == 16
+
+    def brute(word, lang):
+        """Chances of all beginnings, exactly, then of the whole."""
+        from fractions import Fraction
+        alpha = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            total = Fraction(0)
+            for i in range(j):
+                x = word[i:j]
+                p = probs[number[x], lang] if x in number else langid.UNKNOWN if j - i == 1 else 0.0
+                total += alpha[i] * Fraction(p)
+            alpha.append(total)
+        # a fraction's logarithm without a float of its own size
+        return (alpha[-1].numerator.bit_length() - alpha[-1].denominator.bit_length()) * np.log10(2), alpha[-1]
+
+    for word in [longest, "▁" + "straßenbahnhaltestelle" * 5, "漢字仮名" * 30]:
+        codes = np.array([[ord(c) for c in word]], dtype=np.uint32)
+        for monkey in (4096, 7):
+            monkeypatch.setattr(langid, "BLOCK", monkey)
+            for got in (langid.forward(table, probs, codes)[0], langid.run_forward(table, probs, codes[0])):
+                for lang in (0, 1):
+                    rough, exact = brute(word, lang)
+                    shift = round(rough)
+                    assert got[lang] == pytest.approx(shift + np.log10(float(exact / 10 ** shift if shift >= 0 else exact * 10 ** -shift)))
+        monkeypatch.setattr(langid, "RUN", 10 ** 9)
+        one = langid.expected(table, probs[:, 0], codes, np.ones(1))
+        monkeypatch.setattr(langid, "RUN", 64)
+        assert np.allclose(one, langid.run_expected(table, probs[:, 0], codes[0]))
+
+
+def test_slices_keep_rows_and_words(monkeypatch):
+    texts = ["a b c", None, "", "d " * 23, "1 2", "e"]
+    for size in (1, 3, 10, 1000):
+        monkeypatch.setattr(langid, "SLICE", size)
+        parts = list(langid.slices(texts))
+        assert all(len(w) <= size for _, w in parts)
+        assert [(i, w) for r, ws in parts for i, w in zip(r, ws)] == [(i, "▁" + w) for i, t in enumerate(texts) for w in (t or "").split() if w.isalpha()]
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ 12 ٣"), (2, "haus"), (3, "x" * 200_000)], "doc_id long, text string")
+    model = langid.fit(spark.createDataFrame([("das haus", "de"), ("the house", "en")], "text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.predict(docs, model).collect()}
+    assert got[1] == ("und", 0) and got[2][0] == "de" and got[3][0] in ("de", "en") and 0 <= got[3][1] <= 1
