@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import blocknames, bpe_lexicon, jaccard_rtree, kneser_ney, langid, merkle, mix, tokenscan, toxicity, wrappers
+from ledgerlake.llm import (blocknames, bpe_lexicon, jaccard_rtree, kneser_ney, langid, licenses, merkle, mix, ranking, resample, tokenscan,
+                            toxicity, wrappers)
 from ledgerlake.llm.common import fold, table
 
 
@@ -87,6 +88,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license notices in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = F.filter("lic_spans", lambda s: s["exact"])
+    labels = [F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda s: s["label"]))), ",") for a in (base, F.col("lic_spans"))]
+    return licenses.scan(docs).select(
+        "doc_id", F.col("lic_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["first_word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["first_word"])).alias("last_word"),
+        labels[0].alias("base_labels"), labels[1].alias("labels"), F.col("lic_score").alias("score"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranking.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's distribution."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text")).select(
+        "doc_id", F.col("res_features").alias("n_features"), F.col("res_weight").alias("weight"),
+        F.col("res_score").alias("score"), F.col("res_rank").alias("rank"))
+
+
 ORACLE_OP5 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -94,6 +120,47 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_TO_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+v AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, g GROUP BY term, n_docs),
+i AS (SELECT q, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS q, item_id,
+      regexp_extract_all(translate(coalesce(text, ''), {_TO_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+s AS (SELECT q, item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * n_docs) // n_words))))::BIGINT AS score
+      FROM i JOIN t USING (term) JOIN v USING (term) JOIN d USING (r), g GROUP BY q, item_id, r),
+o AS (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+#: crc32 of a string's UTF-8 bytes: a table of 256 steps, folded over the bytes.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex({x}))::BIGINT, 2), lambda k: ('0x' || substr(hex({x}), k + 1, 2))::BIGINT)),
+                      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))"""
+
+ORACLE_OP13 = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_TO_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), {_TO_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+qf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM q),
+h AS (SELECT f, xor({_CRC.format(x="f")}, 4294967295) % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM qf), crc),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM qf JOIN h USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM df) + 10000.0::DOUBLE AS s_all, (SELECT count(*) FROM qf) + 10000.0::DOUBLE AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * s_all) / ((s + 1)::DOUBLE * t_all)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM df JOIN h USING (f) JOIN gain USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (r)),
+o AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (ORDER BY n_words >= 20 DESC, score DESC, doc_id NULLS LAST) END AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM x WHERE n_words >= 20) * 25 // 100 THEN place END AS rank FROM o
+"""
+
 REGISTRY = {
     "op1_mix_sources": op1_mix_sources,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
@@ -105,5 +172,8 @@ REGISTRY = {
     "op8_bpe_lexicon": op8_bpe_lexicon,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_license_scan": op11_license_scan,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op5_exact_dedup": ORACLE_OP5}
+ORACLES = {"op5_exact_dedup": ORACLE_OP5, "op12_ranked_search": ORACLE_OP12, "op13_importance_resampling": ORACLE_OP13}
