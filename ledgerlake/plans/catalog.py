@@ -586,3 +586,97 @@ def q_upload_pipeline(spark, sf_dir):
         F.col("txn_id").cast("bigint").alias("txn_id"), F.col("account_id").cast("bigint").alias("account_id"), *STATEMENT_ALIASES)
     good, _ = U.accept(rows, AS_OF)
     return good.select("txn_id", "account_id", "how", "date", "description", F.round("amount", 2).alias("amount"), "currency")
+
+
+# ---- strategies, types, quoted records, dated rates, monthly alerts ---------------------
+
+from ledgerlake.operators import dated_rates as DR  # noqa: E402
+from ledgerlake.sources import cascade as CA  # noqa: E402
+from ledgerlake.streaming import budgets as MB  # noqa: E402
+
+
+def _files_of_each_kind(spark, sf_dir):
+    """The tables' rows as statement files that need every strategy; folders name what they hold."""
+    root = K.scratch_path(spark, "cascade")
+    t = _tx(spark, sf_dir).select(S.iso_date(F.col("date")).alias("date"), "description", F.col("amount").cast("decimal(15,2)").cast("string").alias("amount"))
+    write = lambda df, **kw: df.write.option("header", kw.pop("header", True)).option("escape", '"').options(**kw)
+    write(t).csv(f"{root}/plain")
+    write(t, sep="|").csv(f"{root}/bars")
+    write(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").cast("decimal(15,2)").alias("amount"))).csv(f"{root}/narrow")
+    # a file of one record without a header; a file of words; a file whose records are wider than its header
+    n = _table(spark, sf_dir, "nation")
+    write(n.select("n_name", "n_nationkey", "n_regionkey"), header=False, maxRecordsPerFile=1).csv(f"{root}/single")
+    words = F.translate("p_type", "0123456789", "xxxxxxxxxx")
+    write(_table(spark, sf_dir, "part").select(words.alias("kind"), F.lit("of").alias("by"), words.alias("name"))).csv(f"{root}/words")
+    s = _table(spark, sf_dir, "supplier")
+    s.select(F.concat(F.lit("supplier,nation\n"), F.col("s_suppkey"), F.lit(","), F.col("s_nationkey"), F.lit(",more"))).write.text(f"{root}/ragged")
+    return root
+
+
+def _folder():
+    return F.element_at(F.split("source_file", "/"), -2).alias("folder")
+
+
+@query("strategy_cascade")
+def q_strategy_cascade(spark, sf_dir):
+    """Every file by the first strategy that is sound; all values, with what was tried before."""
+    root = _files_of_each_kind(spark, sf_dir)
+    rows, verdicts = CA.read_cascade(spark, root, "*")
+    tried = verdicts.select("source_file", F.array_join(F.transform(F.filter("tried", lambda t: ~t["accepted"]), lambda t: F.concat(t["strategy"], F.lit(": "), t["reason"])), "; ").alias("rejected"))
+    text = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|")
+    return (rows.join(tried, "source_file").select(_folder(), "strategy", F.array_join("header", "|").alias("header"), text.alias("cells"), "rejected")
+            .groupBy("folder", "strategy", "header", "cells", "rejected").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("column_types")
+def q_column_types(spark, sf_dir):
+    """Type, filled cells and first records of every column of every file, put together by layout."""
+    rows, _ = CA.read_cascade(spark, _files_of_each_kind(spark, sf_dir), "*")
+    per = CA.describe_columns(rows.filter("strategy <> 'unreadable'"))
+    return (per.groupBy(_folder(), "position", "name", "dtype")
+            .agg(F.sum("records").alias("records"), F.sum("filled").alias("filled"), F.max(F.size("samples")).alias("most_samples")))
+
+
+@query("quoted_records")
+def q_quoted_records(spark, sf_dir):
+    """Cells with line ends and quotes, in files of many splits, come back whole."""
+    root = K.scratch_path(spark, "quoted")
+    t = _tx(spark, sf_dir)
+    note = F.when(F.col("txn_id") % 3 == 0, F.concat("description", F.lit("\nline \"two\", with a comma\n"), F.col("txn_id").cast("string"))).otherwise(F.col("description"))
+    t.select("txn_id", note.alias("note"), F.col("amount").cast("decimal(15,2)").alias("amount")).write.option("header", True).option("escape", '"').csv(root)
+    rows = SRC.read_records(spark, root)
+    return rows.select(F.col("fields")["txn_id"].cast("bigint").alias("txn_id"), F.col("fields")["note"].alias("note"),
+                       F.col("fields")["amount"].cast("double").alias("amount"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@query("dated_rates")
+def q_dated_rates(spark, sf_dir):
+    """Each event's value at the rate that held at its time, else at the fallback rate."""
+    from ledgerlake.sources.testdata import ADAPTER_CURRENCIES, pick
+    e = _table(spark, sf_dir, "events")
+    e = e.withColumn("currency", pick(ADAPTER_CURRENCIES, F.col("event_id") % len(ADAPTER_CURRENCIES)))
+    base = fx_rates_dim(spark).select("currency", F.col("per_usd").alias("_base"))
+    live = (e.filter("event_type IN ('view', 'click')").join(F.broadcast(base), "currency")
+            .select("currency", F.col("ts").alias("as_of"), (F.col("_base") * (1 + F.col("value") / 1000)).alias("per_usd")))
+    paid = e.filter("event_type IN ('purchase', 'signup', 'error')").select("event_id", "ts", "currency", F.col("value").alias("amount"))
+    out = DR.convert_dated(paid, "EUR", live)
+    return out.select("event_id", "currency", F.round("converted", 8).alias("converted"), "rate_source")
+
+
+ALERT_INCOME = 1_000_000.0
+
+
+@query("monthly_alerts")
+def q_monthly_alerts(spark, sf_dir):
+    """Statements dropped year by year, each year's files also once more under other names; alerts of all batches."""
+    drops, out = K.scratch_path(spark, "drops"), K.scratch_path(spark, "monthly-alerts")
+    t = _tx(spark, sf_dir).select("txn_id", "account_id", "date", "description", "amount", "category")
+    years = [r[0] for r in t.select(F.year("date")).distinct().orderBy(F.year("date")).collect()]   # a handful
+    n = 0
+    for y in years:
+        one = t.filter(F.year("date") == y)
+        for copy in range(2):
+            one.repartition(2, "txn_id").write.mode("append").parquet(drops)
+            n += 2
+    MB.run_monthly_alerts(spark, drops, out, ALERT_INCOME, files=max(4, n // 3))
+    return MB.alerts(spark, out).filter("kind IN ('medium', 'high')").select("account_id", "month", "category", "kind")

@@ -894,3 +894,53 @@ SELECT r.txn_id, r.account_id, r.strategy_used, r.date, r.description, round(r.a
 FROM ({_VALID}) r JOIN stmt s ON s.txn_id = r.txn_id
 WHERE s.reject_reason IS NOT NULL AND coalesce(r.description, '') <> '' AND r.amount IS NOT NULL AND r.amount <> 0
   AND coalesce(r.currency, '') <> '' AND regexp_full_match(r.date, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AND try_strptime(r.date, '%Y-%m-%d') IS NOT NULL""", RAW)
+
+
+# ---- strategies, types, quoted records, dated rates, monthly alerts ---------------------
+
+_STD = "standard: fewer than three columns; delimiter_detection: no separator gives three columns; "
+_KINDS = f"""
+k AS (
+  SELECT 'plain' AS folder, 'standard' AS strategy, ['date', 'description', 'amount'] AS header, [strftime(date, '%Y-%m-%d'), description, CAST(CAST(amount AS DECIMAL(15,2)) AS VARCHAR)] AS cells, '' AS rejected FROM t
+  UNION ALL SELECT 'bars', 'delimiter_detection', ['date', 'description', 'amount'], [strftime(date, '%Y-%m-%d'), description, CAST(CAST(amount AS DECIMAL(15,2)) AS VARCHAR)], 'standard: fewer than three columns' FROM t
+  UNION ALL SELECT 'narrow', 'manual_recovery', ['customer', 'amount'], [CAST(c_custkey AS VARCHAR), CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR)],
+    '{_STD}corrupted_column: fewer than three columns; manual_mapping: fewer than three columns' FROM customer
+  UNION ALL SELECT 'single', 'corrupted_column', ['_c0', '_c1', '_c2'], [n_name, CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR)], 'standard: no record; delimiter_detection: no record' FROM nation
+  UNION ALL SELECT 'words', 'manual_recovery', ['kind', 'by', 'name'], [translate(p_type, '0123456789', 'xxxxxxxxxx'), 'of', translate(p_type, '0123456789', 'xxxxxxxxxx')],
+    'standard: no numeric cell; delimiter_detection: no numeric cell; corrupted_column: no sign of damage; manual_mapping: no numeric cell' FROM part
+  UNION ALL SELECT 'ragged', 'unreadable', ['_c0'], ['supplier,nation'], '' FROM supplier
+  UNION ALL SELECT 'ragged', 'unreadable', ['_c0'], [s_suppkey || ',' || s_nationkey || ',more'], '' FROM supplier)"""
+
+q("strategy_cascade", """
+SELECT folder, strategy, array_to_string(header, '|') AS header, array_to_string(cells, '|') AS cells,
+       CASE folder WHEN 'ragged' THEN 'standard: records wider than the header; delimiter_detection: no separator gives three columns; corrupted_column: records wider than the header; manual_mapping: records wider than the header; manual_recovery: records wider than the header'
+       ELSE rejected END AS rejected, count(*) AS n
+FROM k GROUP BY ALL""", _KINDS)
+
+q("column_types", """
+SELECT folder, CAST(position AS INTEGER) AS position, header[position + 1] AS name,
+       CASE WHEN folder IN ('plain', 'bars') THEN ['object', 'object', 'float64'][position + 1] WHEN folder = 'narrow' THEN ['int64', 'float64'][position + 1]
+            WHEN folder = 'single' THEN ['object', 'int64', 'int64'][position + 1] ELSE 'object' END AS dtype,
+       count(*) AS records, count(*) AS filled, CASE WHEN folder = 'single' THEN 1 ELSE 3 END AS most_samples
+FROM k, range(len(header)) p(position) WHERE folder <> 'ragged' GROUP BY ALL""", _KINDS)
+
+q("quoted_records", """
+SELECT txn_id, CASE WHEN txn_id % 3 = 0 THEN description || chr(10) || 'line "two", with a comma' || chr(10) || txn_id ELSE description END AS note,
+       CAST(CAST(amount AS DECIMAL(15,2)) AS DOUBLE) AS amount, false AS corrupt FROM t""")
+
+q("dated_rates", f"""
+SELECT event_id, currency, round(value * CASE WHEN currency = 'EUR' THEN 1.0 WHEN currency = 'USD' THEN to_rate ELSE 1.0 / from_rate * to_rate END, 8) AS converted,
+       CASE WHEN currency = 'EUR' THEN 'same' WHEN (currency = 'USD' OR from_live) AND to_live THEN 'live' ELSE 'fallback' END AS rate_source
+FROM (SELECT e.event_id, e.currency, e.value, coalesce(a.rate, f.per_usd, 1.0) AS from_rate, a.rate IS NOT NULL AS from_live, coalesce(b.rate, {dict(fallback_rates())['EUR']!r}) AS to_rate, b.rate IS NOT NULL AS to_live
+      FROM ev e LEFT JOIN {RATES.replace(' fx(', ' f(')} ON f.currency = e.currency
+      LEFT JOIN (SELECT e.event_id, arg_max(l.rate, (l.ts, l.rate)) AS rate FROM ev e JOIN live l ON l.currency = e.currency AND l.ts <= e.ts AND l.ts > e.ts - INTERVAL 1 HOUR GROUP BY 1) a USING (event_id)
+      LEFT JOIN (SELECT e.event_id, arg_max(l.rate, (l.ts, l.rate)) AS rate FROM ev e JOIN live l ON l.currency = 'EUR' AND l.ts <= e.ts AND l.ts > e.ts - INTERVAL 1 HOUR GROUP BY 1) b USING (event_id)
+      WHERE event_type IN ('purchase', 'signup', 'error'))""", f"""
+ev AS (SELECT *, {sql_list(ADAPTER_CURRENCIES)}[CAST(event_id % {len(ADAPTER_CURRENCIES)} AS INTEGER) + 1] AS currency FROM events),
+live AS (SELECT ev.currency, ts, per_usd * (1 + value / 1000) AS rate FROM ev JOIN {RATES} ON fx.currency = ev.currency WHERE event_type IN ('view', 'click'))""")
+
+q("monthly_alerts", f"""
+SELECT account_id, month, category, kind
+FROM (SELECT account_id, strftime(date, '%Y-%m') AS month, category, sum(CAST(round(amount * 100) AS BIGINT)) AS cents FROM e GROUP BY 1, 2, 3)
+JOIN {BUDGETS} USING (category), (VALUES ('medium', 1.2), ('high', 1.5)) v(kind, level)
+WHERE cents > round(1000000.0 * share * level * 100)""")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.sources.quoting import join_records
+
 # FIXED VALUES — limits and patterns of the file checks.
 MAX_FILE_BYTES = 16 * 1024 * 1024
 DELIMITERS = [",", ";", "\t", "|"]
@@ -96,15 +98,8 @@ def read_records(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
     known = lines.join(files, "source_file")
     known = known.filter((F.col("at") != F.col("header_at")) | ~F.col("has_header"))
     keep = ["source_file", "at", "line", "strategy", "header", "has_header", "delimiter"]
-    # files with a quoted line end: a record goes on while the quotes before the line's end are odd
-    order = Window.partitionBy("source_file").orderBy("at")
-    odd = _count(F.col("line"), '"') % 2
-    inside = F.coalesce(F.sum(odd).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    joined = (known.filter("open_quotes").withColumn("_start", F.when(inside == 0, 1).otherwise(0))
-              .withColumn("_rec", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy("source_file", "_rec").agg(
-                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("line"),
-                  F.min("at").alias("at"), *[F.first(c).alias(c) for c in keep[3:]]).select(*keep))
+    # files with a quoted line end: records are put together split by split
+    joined = join_records(known.filter("open_quotes").select(*keep)).select(*keep)
     rows = known.filter("NOT open_quotes").select(*keep).unionByName(joined).filter(F.trim("line") != "")
     rows = rows.withColumn("cells", cells_of(F.col("line"), F.col("delimiter")))
     names = F.when(F.col("has_header"), F.col("header")).otherwise(F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("_c"), i.cast("string"))))
