@@ -43,9 +43,12 @@ SLICE, RUN, BLOCK = 50_000, 64, 4096
 UNKNOWN, PRIOR = 1e-7, 0.05
 #: Different words whose scores a worker remembers.
 REMEMBERED = 150_000
-# letters only: word characters less digits and less other number signs (fractions, Roman numerals)
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Letters of a text up to which its words are found at once.
+WHOLE = 1 << 18
+# runs of word characters less digits; other number signs (fractions, Roman numerals) are taken out before
+LETTERS = re.compile(r"[^\W\d_]+")
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_BLANK = {ord(c): " " for c in NUMBERS}
 _MULT, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -56,7 +59,7 @@ class Pieces:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        self.texts = sorted(t for t in texts if t and t == t.lower() and (LETTERS.fullmatch(t.lstrip("▁")) or t == "▁"))
+        self.texts = sorted(t for t in texts if t and t == t.lower() and (t.lstrip("▁").isalpha() or t == "▁"))
         self.longest = max(map(len, self.texts))
         hashes = np.array([self._hash([ord(c) for c in t]) for t in self.texts], dtype=np.uint64)
         self.bits = 18
@@ -233,7 +236,11 @@ def gathered(batches, rows: int = 20_000):
 
 def words_of(text: str | None):
     """The words of a text with their start mark, one after the other."""
-    return ("▁" + m.group() for m in LETTERS.finditer((text or "").lower()))
+    text = (text or "").lower()
+    if not text.isascii() and not NUMBERS.isdisjoint(text):
+        text = text.translate(_BLANK)
+    found = LETTERS.findall(text) if len(text) <= WHOLE else (m.group() for m in LETTERS.finditer(text))
+    return map("▁".__add__, found)
 
 
 def slices(texts):
