@@ -1,19 +1,24 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and pieces.
 
-A text is a list of sections, a section a run of paragraphs, a paragraph (line) a run of pieces
-(clauses of 24 to 160 characters; in texts under ``SHORT`` characters blocks of up to 4). A piece
-is hashed, a paragraph hashes its pieces, a section its paragraphs, the root its sections.
+A text is a list of sections, a section a run of paragraphs, a paragraph (line) a run of pieces:
+clauses of 24 to 160 characters, or blocks of up to 4. Texts of ``CLAUSES_FROM`` characters have a
+tree of clauses, texts below ``BLOCKS_BELOW`` a tree of blocks, those between both, so two texts
+of like length always have a tree of the same kind. A piece is hashed, a paragraph hashes its
+pieces, a section its paragraphs, the root its sections.
 Sections end at blank lines and after paragraphs whose hash is 0 modulo ``SECTION``, so an edit
 moves no border beyond the section it is in. Equal roots mean equal texts; where roots differ,
 the branches that differ locate the edit.
 
-A fingerprint is text: the root's 32 hex digits, ``:``, then sections joined by ``;``, each the
-first 8 digits of its hash, ``/`` and its paragraphs joined by ``,``; a paragraph is the first 6
-digits of each of its pieces. Likeness is twice the pieces that two fingerprints share over all
-their pieces.
+A fingerprint is text: the root's 32 hex digits, ``:``, the tree of clauses, and, if there is one,
+``|`` and the tree of blocks. A tree is its sections joined by ``;``, each the first 8 digits of its
+hash, ``/`` and its paragraphs joined by ``,``; a paragraph is the first 6 digits of each of its
+pieces. Likeness is twice the pieces that two trees share over all their pieces, found from
+the top: equal sections and equal paragraphs are taken whole, pieces are compared in the rest only.
+It is that of the blocks if both texts have them, else of the clauses.
 
 Defined cases: null text counts as empty, whose fingerprint has no section; likeness of equal
-roots is 1, of a text with and one without pieces 0; the next document follows in order of
+roots is 1, of a text with and one without pieces 0, of texts without a common kind of tree (one
+has more than ``BLOCKS_BELOW / CLAUSES_FROM`` times the other's length) 0; the next document follows in order of
 doc_id (null first), then of the text's hash; repeated rows follow each other; the last is
 followed by the first, a single one by itself; an empty table gives no rows; other columns are
 not read.
@@ -32,16 +37,17 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.common import materialize, nullable, small_batches, without
 
-SHORT = 320
+CLAUSES_FROM = 160
+BLOCKS_BELOW = 640
 SECTION = 8
 _PIECES = re.compile(r".{24,160}?(?:[.,;:!?|][ \t]|$)|.{1,160}(?!\S)|.{1,160}|\n+", re.M)
 _BLOCKS = re.compile(r"[^\S\n]*[^\s]{1,4}[^\S\n]*|[^\S\n]+|\n+")
 
 
-def sections(text: str) -> list[list[list[str]]]:
+def sections(text: str, blocks: bool = False) -> list[list[list[str]]]:
     """Sections of paragraphs of pieces; joined, the pieces are the text (line ends go with the next)."""
     out, paragraph, section, line_end = [], [], [], ""
-    for piece in (_BLOCKS if len(text) < SHORT else _PIECES).findall(text):
+    for piece in (_BLOCKS if blocks else _PIECES).findall(text):
         if piece[0] != "\n":
             paragraph.append(line_end + piece)
             line_end = ""
@@ -61,10 +67,10 @@ def sections(text: str) -> list[list[list[str]]]:
     return out
 
 
-def hashed(text: str) -> tuple[bytes, list[tuple[bytes, list[list[bytes]]]]]:
+def hashed(text: str, blocks: bool = False) -> tuple[bytes, list[tuple[bytes, list[list[bytes]]]]]:
     """Root, and per section its hash and the piece hashes of its paragraphs."""
     tree, tops = [], []
-    for section in sections(text):
+    for section in sections(text, blocks):
         leaves = [[blake2b(p.encode(), digest_size=16).digest() for p in paragraph] for paragraph in section]
         top = blake2b(b"".join(blake2b(b"".join(x), digest_size=16, person=b"paragraph").digest() for x in leaves),
                       digest_size=16, person=b"section").digest()
@@ -73,40 +79,58 @@ def hashed(text: str) -> tuple[bytes, list[tuple[bytes, list[list[bytes]]]]]:
     return blake2b(b"".join(tops), digest_size=16, person=b"root").digest(), tree
 
 
+def _printed(tree) -> str:
+    return ";".join(top.hex()[:8] + "/" + ",".join("".join([leaf[:3].hex() for leaf in leaves]) for leaves in paragraphs)
+                    for top, paragraphs in tree)
+
+
 def fingerprint(text: str | None) -> str:
-    root, tree = hashed(text or "")
-    return root.hex() + ":" + ";".join(
-        top.hex()[:8] + "/" + ",".join("".join([leaf[:3].hex() for leaf in leaves]) for leaves in paragraphs) for top, paragraphs in tree)
+    text = text or ""
+    clauses = hashed(text) if len(text) >= CLAUSES_FROM else None
+    blocks = hashed(text, True) if len(text) < BLOCKS_BELOW else None
+    return ((clauses or blocks)[0].hex() + ":" + (_printed(clauses[1]) if clauses else "")
+            + ("|" + _printed(blocks[1]) if blocks else ""))
+
+
+def _rest(x: list[str], y: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """(in both, only in ``x``, only in ``y``), each as often as it is there."""
+    left, right = Counter(x), Counter(y)
+    both = left & right
+    return list(both.elements()), list((left - both).elements()), list((right - both).elements())
 
 
-def pieces(print_: str) -> list[str]:
-    """The pieces' digits of a fingerprint."""
-    flat = "".join([s[9:] for s in print_[33:].split(";")]).replace(",", "")
-    return [flat[i:i + 6] for i in range(0, len(flat), 6)]
+def _pieces(paragraphs: list[str]) -> list[str]:
+    return [p[i:i + 6] for p in paragraphs for i in range(0, len(p), 6)]
+
+
+def _alike(a: str, b: str) -> float:
+    """The share of pieces that two printed trees have in common, by branches from the top."""
+    total = sum(len(p) // 6 for t in (a, b) for s in t.split(";") for p in s[9:].split(","))
+    if not total:
+        return 0.0
+    equal, x, y = _rest(a.split(";"), b.split(";"))
+    same = sum(len(p) // 6 for s in equal for p in s[9:].split(","))
+    equal, x, y = _rest(*([p for s in t for p in s[9:].split(",")] for t in (x, y)))
+    same += sum(len(p) // 6 for p in equal) + len(_rest(_pieces(x), _pieces(y))[0])
+    return 2 * same / total
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1: the share of pieces that two fingerprints have in common."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = pieces(a), pieces(b)
-    if not x or not y:
-        return 0.0
-    left = Counter(x)
-    same = 0
-    for p in y:
-        if left.get(p, 0) > 0:
-            left[p] -= 1
-            same += 1
-    return 2 * same / (len(x) + len(y))
+    (x, x_bar, x_blocks), (y, y_bar, y_blocks) = a[33:].partition("|"), b[33:].partition("|")
+    return _alike(x_blocks, y_blocks) if x_bar and y_bar else _alike(x, y) if x and y else 0.0
 
 
 def edits(old: str, new: str) -> list[tuple[int, int]]:
     """Spans (start, end) of ``new`` in branches that ``old`` does not have."""
-    seen = {leaf for _, paragraphs in hashed(old)[1] for leaves in paragraphs for leaf in leaves}
-    known = {top for top, _ in hashed(old)[1]}
+    blocks = min(len(old), len(new)) < CLAUSES_FROM
+    before = hashed(old, blocks)[1]
+    seen = {leaf for _, paragraphs in before for leaves in paragraphs for leaf in leaves}
+    known = {top for top, _ in before}
     spans, at = [], 0
-    for section, (top, _) in zip(sections(new), hashed(new)[1]):
+    for section, (top, _) in zip(sections(new, blocks), hashed(new, blocks)[1]):
         for paragraph in section:
             for piece in paragraph:
                 end = at + len(piece)

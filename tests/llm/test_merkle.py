@@ -1,3 +1,4 @@
+from collections import Counter
 from hashlib import sha256
 
 from hypothesis import given
@@ -11,7 +12,8 @@ TEXTS = st.text(alphabet=st.sampled_from("ab c.\n,é漢"), max_size=900)
 
 @given(TEXTS, TEXTS)
 def test_roots_test_equality_and_pieces_make_the_text(a, b):
-    assert "".join(p for s in merkle.sections(a) for para in s for p in para) == a
+    for blocks in (False, True):
+        assert "".join(p for s in merkle.sections(a, blocks) for para in s for p in para) == a
     assert (merkle.fingerprint(a)[:32] == merkle.fingerprint(b)[:32]) == (a == b)
     assert 0 <= merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) <= 1
 
@@ -26,6 +28,27 @@ def test_edits_are_located():
     assert merkle.likeness(merkle.fingerprint(old), merkle.fingerprint(new)) > 0.95
 
 
+def test_likeness_has_no_border():
+    text = prose(5, 400)
+    for n in (20, 159, 160, 319, 321, 639, 640, 1500):
+        one, two = text[:n], text[:n + 2]
+        assert merkle.likeness(merkle.fingerprint(one), merkle.fingerprint(two)) > 0.85, n
+    for n in (40, 161, 200, 320, 400, 641, 800, 1700):   # a text that loses a quarter may pass below a border
+        one = text[:n]
+        for other in ("", "x", "other words of another text " * 20):
+            kept = merkle.likeness(merkle.fingerprint(one), merkle.fingerprint(merkle.tail_replaced(one, other)))
+            assert 0.5 < kept < 0.95, (n, kept)
+
+
+@given(TEXTS, TEXTS)
+def test_likeness_from_the_top_is_that_of_all_pieces(a, b):
+    for blocks in (False, True):
+        x, y = (merkle._printed(merkle.hashed(t, blocks)[1]) for t in (a, b))
+        bags = [Counter(leaf[:3] for _, paragraphs in merkle.hashed(t, blocks)[1] for leaves in paragraphs for leaf in leaves) for t in (a, b)]
+        n = bags[0].total() + bags[1].total()
+        assert merkle._alike(x, y) == (2 * (bags[0] & bags[1]).total() / n if n else 0.0)
+
+
 def brute(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: r[0])
     for i, (d, t) in enumerate(rows):
