@@ -250,3 +250,28 @@ def read_corrupted_columns(spark: SparkSession, paths, sep: str = ",") -> DataFr
                        F.map_from_arrays(F.slice(F.transform(names, lambda c: F.trim(c)), 1, n),
                                          F.slice("cells", 1, n)).alias("fields"),
                        F.when(F.size("cells") > F.size(names), F.slice("cells", F.size(names) + 1, F.size("cells") - F.size(names))).alias("extra"))
+
+
+def content_hashes(lines: DataFrame) -> DataFrame:
+    """(source_file, file_hash, n_lines) from a file's lines in any order and split.
+
+    Two sums of independent 64-bit hashes and the number of lines; ends of lines and the byte order
+    mark do not count. One partial aggregate per split, so one file of any size stays spread."""
+    wide = lambda c: F.sum(c.cast("decimal(20,0)"))
+    per = lines.groupBy("source_file").agg(wide(F.xxhash64("line")).alias("_a"), wide(F.xxhash64(F.lit(1), F.col("line"))).alias("_b"),
+                                           F.count(F.lit(1)).alias("n_lines"))
+    return per.select("source_file", F.sha2(F.concat_ws("|", "_a", "_b", "n_lines"), 256).alias("file_hash"), "n_lines")
+
+
+def duplicate_files(lines: DataFrame) -> DataFrame:
+    """Every file with ``keep_file``, the first by name of the files with the same lines."""
+    own = content_hashes(lines)
+    first = own.groupBy("file_hash").agg(F.min("source_file").alias("keep_file"), F.count(F.lit(1)).alias("copies"))
+    return own.join(first, "file_hash").withColumn("kept", F.col("source_file") == F.col("keep_file"))
+
+
+def without_duplicate_files(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``rows`` less those of files that repeat another (``duplicate_files``). Dropped files are the
+    joined side, so the rows of a file that stays are not shuffled where few files repeat."""
+    dropped = verdicts.filter(~F.col("kept")).select("source_file")
+    return rows.join(dropped, "source_file", "left_anti")

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.operators import statements as ST
+from ledgerlake.operators import upload as U
 from ledgerlake.session import checkpoint_dir
 from ledgerlake.sinks import tables as K
+from ledgerlake.sinks import versions as V
+from ledgerlake.sources import statements as SRC
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -66,6 +69,35 @@ def ingest_statements(spark: SparkSession, source_dir: str, table_path: str, as_
             .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
 
 
+UPLOAD_SCHEMA = T.StructType([T.StructField("txn_id", T.LongType()), T.StructField("account_id", T.StringType()), *RAW_STATEMENT_SCHEMA.fields])
+
+
+def ingest_uploads(spark: SparkSession, source_dir: str, table_path: str, as_of: str, model=None, custom: DataFrame | None = None,
+                   name: str = "upload_ingest", max_files_per_trigger: int = 1000, sep: str = ","):
+    """Dropped files through the whole upload chain (``upload.process``: parse, recover, categorise,
+    own categories) into the versioned table at ``table_path``; lost rows go to ``<table>_quarantine``.
+
+    A file's rows are keyed by its content, and saving replaces the rows of its key. So a batch that
+    is run again after a crash, or the same file under another name, changes nothing."""
+    raw = (spark.readStream.schema(UPLOAD_SCHEMA).option("header", True).option("sep", sep).option("escape", '"').option("multiLine", False)
+           .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir)
+           .withColumn("source_file", F.col("_metadata.file_path")))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()   # hashed, then processed
+        try:
+            files = SRC.duplicate_files(rows.select("source_file", F.to_json(F.struct(*UPLOAD_SCHEMA.names)).alias("line")))
+            kept = rows.join(files.filter("kept").select("source_file", "file_hash"), "source_file")
+            good, lost = U.process(kept, as_of, model, custom)
+            V.replace(good.withColumn("created_at", F.current_timestamp()), table_path)
+            lost.write.mode("overwrite").parquet(f"{table_path}_quarantine/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return (raw.writeStream.foreachBatch(write_batch)
+            .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
+
+
 # ---- X2 / X3 ---------------------------------------------------------------------------
 
 def event_stream(spark: SparkSession, directory: str, glob: str = "events*.parquet",
