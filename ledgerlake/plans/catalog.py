@@ -680,3 +680,72 @@ def q_monthly_alerts(spark, sf_dir):
             n += 2
     MB.run_monthly_alerts(spark, drops, out, ALERT_INCOME, files=max(4, n // 3))
     return MB.alerts(spark, out).filter("kind IN ('medium', 'high')").select("account_id", "month", "category", "kind")
+
+
+# ---- versioned tables, constraints, duplicate files, uploads as a stream ----------------
+
+from ledgerlake.sinks import constraints as KC  # noqa: E402
+from ledgerlake.sinks import versions as KV  # noqa: E402
+
+
+def _versioned(spark, sf_dir, name):
+    """The transactions as a versioned table, keyed by account and statement (a year)."""
+    t = _with_file_hash(_tx(spark, sf_dir)).withColumn("created_at", F.col("date").cast("timestamp"))
+    path = K.scratch_path(spark, name)
+    KV.replace(t, path)
+    return t, path
+
+
+@query("replace_versions")
+def q_replace_versions(spark, sf_dir):
+    """Corrected statements of some accounts replace the old ones, with other amounts and fewer rows."""
+    t, path = _versioned(spark, sf_dir, "versions")
+    corrected = t.filter((F.col("account_id") % 7 == 0) & (F.year("date") == 1995) & (F.col("txn_id") % 2 == 0))
+    KV.replace(corrected.withColumn("amount", F.col("amount") * 2), path)
+    return KV.read(spark, path).select("txn_id", "account_id", F.round("amount", 2).alias("amount"))
+
+
+@query("expire_versions")
+def q_expire_versions(spark, sf_dir):
+    """K7: the table after a clean-up and the removal of the files that no list names."""
+    t, path = _versioned(spark, sf_dir, "expired")
+    KV.expire(spark, path, RETENTION_AS_OF, 365)
+    KV.sweep(spark, path)
+    return KV.read(spark, path).select("txn_id", *KEYS, S.iso_date(F.col("date")).alias("date"))
+
+
+@query("table_constraints")
+def q_table_constraints(spark, sf_dir):
+    """K8: what statement rows and sessions break of the declared constraints."""
+    c = _table(spark, sf_dir, "customer")
+    sessions = (c.select(F.col("c_custkey").alias("session_id"), "c_acctbal")
+                .unionByName(c.filter("c_nationkey = 3").select(F.col("c_custkey").alias("session_id"), "c_acctbal")))
+    opened = sessions.filter("c_acctbal > 0")
+    of = lambda name, df, *rest: KC.violations(df, KC.TABLES[name], *rest).withColumn("table", F.lit(name))
+    return of("transactions", _messy(spark, sf_dir), opened).unionByName(of("sessions", sessions))
+
+
+@query("duplicate_files")
+def q_duplicate_files(spark, sf_dir):
+    """Statements written three times under other names; rows of the first files, with the number of copies."""
+    root = K.scratch_path(spark, "duplicates")
+    t = _tx(spark, sf_dir).select("txn_id", "description").repartition(4, "txn_id")
+    for i, order in enumerate(("txn_id", "txn_id", "description")):   # the last in another order of lines
+        t.sortWithinPartitions(order, "txn_id").write.option("escape", '"').csv(f"{root}/copy{i}")
+    lines = SRC.read_lines(spark, root)
+    verdicts = SRC.duplicate_files(lines)
+    rows = SRC.without_duplicate_files(lines, verdicts).join(verdicts.select("source_file", "copies"), "source_file")
+    return rows.select(F.split_part("line", F.lit(","), F.lit(1)).cast("bigint").alias("txn_id"), "copies")
+
+
+@query("stream_uploads")
+def q_stream_uploads(spark, sf_dir):
+    """Damaged statements dropped as files, each once more under another name, through the whole upload chain."""
+    drops, table = K.scratch_path(spark, "upload-drops"), K.scratch_path(spark, "uploads")
+    m = _messy(spark, sf_dir).select(*XS.UPLOAD_SCHEMA.names)
+    for _ in range(2):
+        m.repartition(4, "txn_id").sortWithinPartitions("txn_id").write.mode("append").option("header", True).option("escape", '"').csv(drops)
+    XS.ingest_uploads(spark, drops, table, AS_OF, name=table.rsplit("/", 1)[1], max_files_per_trigger=5).awaitTermination()
+    done = KV.read(spark, table)
+    return done.select("txn_id", F.col("account_id").cast("bigint").alias("account_id"), "how", "date", "description",
+                       F.round("amount", 2).alias("amount"), "currency", (F.coalesce("category", F.lit("")) != "").alias("categorised"))

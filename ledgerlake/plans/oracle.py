@@ -944,3 +944,26 @@ SELECT account_id, month, category, kind
 FROM (SELECT account_id, strftime(date, '%Y-%m') AS month, category, sum(CAST(round(amount * 100) AS BIGINT)) AS cents FROM e GROUP BY 1, 2, 3)
 JOIN {BUDGETS} USING (category), (VALUES ('medium', 1.2), ('high', 1.5)) v(kind, level)
 WHERE cents > round(1000000.0 * share * level * 100)""")
+
+
+# ---- versioned tables, constraints, duplicate files, uploads as a stream ----------------
+
+q("replace_versions", """
+SELECT txn_id, account_id, round(amount, 2) AS amount FROM t WHERE (account_id, year(date)) NOT IN (SELECT account_id, year(date) FROM c)
+UNION ALL SELECT txn_id, account_id, round(amount * 2, 2) FROM c""",
+  "c AS (SELECT * FROM t WHERE account_id % 7 = 0 AND year(date) = 1995 AND txn_id % 2 = 0)")
+
+ORACLES["expire_versions"] = ORACLES["retention_filter"]
+
+_NOT_NULL = " UNION ALL ".join(
+    f"SELECT 'transactions' AS \"table\", 'not null' AS \"constraint\", '{c}' AS \"column\", CAST(NULL AS VARCHAR) AS key, count(*) AS n_rows "
+    f"FROM messy WHERE {c} IS NULL HAVING count(*) > 0" for c in ("account_id", "date", "description", "amount", "category", "type"))
+q("table_constraints", f"""
+{_NOT_NULL}
+UNION ALL SELECT 'transactions', 'foreign key', 'account_id', CAST(account_id AS VARCHAR), count(*) FROM messy
+WHERE account_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY account_id
+UNION ALL SELECT 'sessions', 'unique', 'session_id', CAST(c_custkey AS VARCHAR), 2 FROM customer WHERE c_nationkey = 3""", RAW)
+
+q("duplicate_files", "SELECT txn_id, 3 AS copies FROM t")
+
+ORACLES["stream_uploads"] = f"SELECT *, true AS categorised FROM ({ORACLES['upload_pipeline']})"

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.operators import statements as ST
 from ledgerlake.operators import upload as U
-from ledgerlake.session import checkpoint_dir
+from ledgerlake.session import checkpoint_dir, cut_lineage
 from ledgerlake.sinks import tables as K
 from ledgerlake.sinks import versions as V
 from ledgerlake.sources import statements as SRC
@@ -89,7 +89,8 @@ def ingest_uploads(spark: SparkSession, source_dir: str, table_path: str, as_of:
             files = SRC.duplicate_files(rows.select("source_file", F.to_json(F.struct(*UPLOAD_SCHEMA.names)).alias("line")))
             kept = rows.join(files.filter("kept").select("source_file", "file_hash"), "source_file")
             good, lost = U.process(kept, as_of, model, custom)
-            V.replace(good.withColumn("created_at", F.current_timestamp()), table_path)
+            # saving reads the rows several times: the chain runs once
+            V.replace(cut_lineage(good.withColumn("created_at", F.current_timestamp())), table_path)
             lost.write.mode("overwrite").parquet(f"{table_path}_quarantine/batch_id={batch_id}")
         finally:
             rows.unpersist()
