@@ -42,7 +42,7 @@ def budget_inputs(df: DataFrame, keys=None) -> DataFrame:
     def dsum(c):
         return F.sum(c).cast("double")
     outs = [(dsum("_inc") / F.count("_inc")).alias("monthly_income"),
-            F.count("_inc").alias("income_months"),
+            F.count("_inc").alias("income_months"), F.count("_tot").alias("expense_months"),
             F.coalesce(dsum("_tot"), F.lit(0.0)).alias("total_current")]
     outs += [F.coalesce(dsum(f"_c{i}"), F.lit(0.0)).alias(f"_c{i}") for i in range(len(BUDGET_SHARES))]
     return per_month.groupBy(*k).agg(*outs)
@@ -58,10 +58,18 @@ def _with_currency(inputs: DataFrame, df: DataFrame, k: list[str], primary_curre
     return inputs.withColumn("currency", pc.select("currency").scalar())
 
 
-def recommendations(df: DataFrame, keys=None, primary_currency: str | None = None) -> DataFrame:
-    """B1: one row per (key, budget category)."""
+def recommendations(df: DataFrame, keys=None, primary_currency: str | None = None, current_basis: str = "total") -> DataFrame:
+    """B1: one row per (key, budget category).
+
+    ``current_basis`` (Q11): "total" holds all-time spend against a month's recommendation, as the
+    reference application does; "monthly_avg" holds the mean over months that have expenses."""
+    if current_basis not in ("total", "monthly_avg"):
+        raise ValueError(f"current_basis is 'total' or 'monthly_avg', not {current_basis!r}")
     k = _k(keys)
     inp = budget_inputs(df, k).filter(F.col("monthly_income").isNotNull())
+    if current_basis == "monthly_avg":
+        months = F.greatest("expense_months", F.lit(1))   # no expenses: 0 a month
+        inp = inp.withColumns({c: F.col(c) / months for c in ("total_current", *(f"_c{i}" for i in range(len(BUDGET_SHARES))))})
     inp = _with_currency(inp, df, k, primary_currency)
     entries = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("category_ord"),
                                  F.lit(s).alias("share"), F.col(f"_c{i}").alias("current"))

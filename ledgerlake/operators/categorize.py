@@ -31,6 +31,7 @@ from ledgerlake.dims import (CATEGORY_KEYWORDS, CATEGORY_PATTERNS, RULE_STOP_WOR
 
 TOKEN_RE = r"(?U)\b\w\w+\b"          # TF-IDF tokens: 2+ word characters, lower-cased text
 RULE_SPLIT = r"""([,;:@#$%&?!"()\[\]{}<>])"""  # punctuation split off as separate tokens
+MIN_CONFIDENCE = 0.5   # below this a category is flagged, never dropped
 ML_HIGH, RULE_HIGH, ML_MID, RULE_MID = 0.7, 0.8, 0.5, 0.5
 
 
@@ -224,6 +225,11 @@ def classify_texts(texts: DataFrame, model: NBModel | None = None, text: str = "
                        b["category"].alias("category"), b["confidence"].alias("confidence"))
 
 
+def with_low_confidence(df: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataFrame:
+    """Q23: ``low_confidence``, true where the category's confidence is below ``threshold`` or unknown."""
+    return df.withColumn("low_confidence", F.coalesce(F.col("confidence_score") < threshold, F.lit(True)))
+
+
 def categorize(df: DataFrame, model: NBModel | None = None, only_missing: bool = True,
                texts_from: DataFrame | None = None) -> DataFrame:
     """Rows whose category is empty / 'other' (or all rows) get the blended category and

@@ -749,3 +749,17 @@ def q_stream_uploads(spark, sf_dir):
     done = KV.read(spark, table)
     return done.select("txn_id", F.col("account_id").cast("bigint").alias("account_id"), "how", "date", "description",
                        F.round("amount", 2).alias("amount"), "currency", (F.coalesce("category", F.lit("")) != "").alias("categorised"))
+
+
+@query("budget_monthly_average")
+def q_budget_monthly_average(spark, sf_dir):
+    """B6 on the mean month (Q11): recommended against the spend of a mean month with expenses."""
+    return B.budget_vs_actual(B.recommendations(_tx(spark, sf_dir), KEYS, current_basis="monthly_avg"), KEYS)
+
+
+@query("low_confidence")
+def q_low_confidence(spark, sf_dir):
+    """Q23: rule categories of all transactions, counted by category and by whether they are to be checked."""
+    texts = _tx(spark, sf_dir).groupBy(F.lower(F.trim("description")).alias("desc")).agg(F.count(F.lit(1)).alias("n"))
+    scored = G.rule_scores(texts, "desc").withColumnRenamed("rule_confidence", "confidence_score")
+    return G.with_low_confidence(scored).groupBy("rule_category", "low_confidence").agg(F.sum("n").alias("n"))

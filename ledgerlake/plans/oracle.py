@@ -967,3 +967,15 @@ UNION ALL SELECT 'sessions', 'unique', 'session_id', CAST(c_custkey AS VARCHAR),
 q("duplicate_files", "SELECT txn_id, 3 AS copies FROM t")
 
 ORACLES["stream_uploads"] = f"SELECT *, true AS categorised FROM ({ORACLES['upload_pipeline']})"
+
+q("budget_monthly_average", f"""
+SELECT account_id, category, {r('rec')} AS recommended, {r('cur')} AS actual, {r('cur - rec')} AS difference
+FROM (SELECT i.account_id, b.category, i.mean * b.share AS rec, coalesce(x.spent, 0.0) / greatest(coalesce(m.months, 0), 1) AS cur
+      FROM (SELECT account_id, {ms('amount')} / count(DISTINCT strftime(date, '%Y-%m')) AS mean FROM t WHERE amount > 0 GROUP BY 1) i
+      CROSS JOIN {BUDGETS}
+      LEFT JOIN (SELECT account_id, category, {ms('amount')} AS spent FROM e GROUP BY 1, 2) x ON x.account_id = i.account_id AND x.category = b.category
+      LEFT JOIN (SELECT account_id, count(DISTINCT strftime(date, '%Y-%m')) AS months FROM e GROUP BY 1) m ON m.account_id = i.account_id)""")
+
+q("low_confidence", f"""
+SELECT rule_category, coalesce(rule_confidence < 0.5, true) AS low_confidence, count(*) AS n
+FROM t JOIN ({ORACLES['rule_categorize']}) r ON lower(trim(t.description)) = r."desc" GROUP BY 1, 2""")

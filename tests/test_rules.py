@@ -62,3 +62,25 @@ def test_training_on_own_documents(spark, tmpdir_path):
 
 def test_scratch_folder_is_the_named_one(spark):
     assert checkpoint_dir(spark)
+
+
+def test_low_confidence_flags_and_keeps_rows(spark):
+    from ledgerlake.operators import categorize as G
+    rows = spark.createDataFrame([(1, 0.4), (2, 0.5), (3, None)], "txn_id long, confidence_score double")
+    assert {r["txn_id"]: r["low_confidence"] for r in G.with_low_confidence(rows).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_monthly_average_basis(spark):
+    import pytest
+
+    from ledgerlake.operators import budget as B
+    rows = spark.createDataFrame([("a", "2024-01-05", 1000.0, "salary"), ("a", "2024-01-06", -100.0, "food"), ("a", "2024-02-06", -300.0, "food"),
+                                  ("b", "2024-01-05", 500.0, "salary")], "account_id string, date string, amount double, category string").selectExpr(
+        "account_id", "CAST(date AS DATE) AS date", "amount", "category", "'USD' AS currency")
+    got = {(r["account_id"], r["category"]): r["actual"] for r in
+           B.budget_vs_actual(B.recommendations(rows, ["account_id"], current_basis="monthly_avg"), ["account_id"]).collect()}
+    assert got["a", "food"] == 200.0 and got["b", "food"] == 0.0
+    total = {(r["account_id"], r["category"]): r["actual"] for r in B.budget_vs_actual(B.recommendations(rows, ["account_id"]), ["account_id"]).collect()}
+    assert total["a", "food"] == 400.0
+    with pytest.raises(ValueError):
+        B.recommendations(rows, ["account_id"], current_basis="weekly")
