@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.session import cut_lineage
 
-LIST = "file string, n_rows long, first_key string, last_key string, first_time timestamp, last_time timestamp"
+LIST = "file string, n_rows long, first_key string, last_key string, first_time timestamp, last_time timestamp, n_timed long"
 KEYS = ("account_id", "file_hash")
 MANY_KEYS = 1000    # this many accounts are looked up one by one, more by their range
 
@@ -86,7 +86,8 @@ def _add(rows: DataFrame, path: str, keys: tuple[str, ...], time: str) -> DataFr
     written = spark.read.schema(rows.schema).parquet(place)
     return written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"),
-        F.min(F.col(time).cast("timestamp")).alias("first_time"), F.max(F.col(time).cast("timestamp")).alias("last_time"))
+        F.min(F.col(time).cast("timestamp")).alias("first_time"), F.max(F.col(time).cast("timestamp")).alias("last_time"),
+        F.count(time).alias("n_timed"))
 
 
 def _rewrite(spark: SparkSession, path: str, listed: DataFrame, old: list[str], rows: DataFrame | None,
@@ -136,15 +137,14 @@ def expire(spark: SparkSession, path: str, as_of: str, days_old: int = 30, keys:
     with both are written anew, all others stay. Rows without a time go, as in ``retention_filter``."""
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), days_old).cast("timestamp")
     listed = files(spark, path)
-    gone = [r["file"] for r in listed.filter((F.col("last_time") < cutoff) | F.col("last_time").isNull()).select("file").collect()]
     if not versions(spark, path):
         raise ValueError(f"{path} is no table")
-    # times may be null in a file whose other rows are new: the row counts of new rows tell
-    rest = [r["file"] for r in listed.filter(F.col("last_time") >= cutoff).select("file").collect()]
-    mixed = []
-    if rest:
-        held = _read(spark, rest).select(F.col(time).cast("timestamp").alias("_t"), F.col("_metadata.file_path").alias("_file"))
-        mixed = [r["_file"] for r in held.filter(F.col("_t").isNull() | (F.col("_t") < cutoff)).select("_file").distinct().collect()]
+    # the list alone tells which files hold old rows; no data is read for the others
+    old_rows = (F.col("first_time") < cutoff) | (F.col("n_timed") < F.col("n_rows"))
+    concerned = listed.filter(F.col("last_time").isNull() | (F.col("last_time") < cutoff) | old_rows)
+    found = concerned.select("file", F.coalesce(F.col("last_time") >= cutoff, F.lit(False)).alias("has_new")).collect()
+    gone = [r["file"] for r in found if not r["has_new"]]
+    mixed = [r["file"] for r in found if r["has_new"]]
     rows = None
     if mixed:
         old = _read(spark, mixed)

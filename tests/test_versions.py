@@ -72,6 +72,15 @@ def test_retention_drops_files_and_a_crash_loses_nothing(spark, tmpdir_path):
         V.read(spark, os.path.join(tmpdir_path, "nothing"))
 
 
+def test_rows_without_a_time_expire(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "t")
+    rows = spark.createDataFrame([(1, "a", "h", "2024-05-01"), (2, "a", "h", None), (3, "b", "h", "2024-01-01")],
+                                 "txn_id long, account_id string, file_hash string, t string")
+    V.replace(rows.selectExpr("txn_id", "account_id", "file_hash", "CAST(t AS TIMESTAMP) AS created_at"), path)
+    V.expire(spark, path, "2024-05-02", 30)
+    assert [r["txn_id"] for r in V.read(spark, path).collect()] == [1]
+
+
 def test_constraints(spark):
     rows = spark.createDataFrame([("s1", None), ("s1", "b"), (None, "c"), ("s9", "d"), ("s9", "e")], "session_id string, settings string")
     rules = KC.Rules(not_null=("session_id", "settings"), unique=("session_id",), references=(("session_id", "id"),))
