@@ -763,3 +763,24 @@ def q_low_confidence(spark, sf_dir):
     texts = _tx(spark, sf_dir).groupBy(F.lower(F.trim("description")).alias("desc")).agg(F.count(F.lit(1)).alias("n"))
     scored = G.rule_scores(texts, "desc").withColumnRenamed("rule_confidence", "confidence_score")
     return G.with_low_confidence(scored).groupBy("rule_category", "low_confidence").agg(F.sum("n").alias("n"))
+
+
+# ---- keyword rules of large dictionaries ------------------------------------------------
+
+from ledgerlake.operators import keyword_index as KI  # noqa: E402
+
+
+@query("rule_categorize_index")
+def q_rule_categorize_index(spark, sf_dir):
+    """G4/J8 by the gram index, on the built-in dictionary: the same categories as by the loop over keywords."""
+    return KI.rule_scores(_texts(spark, sf_dir), KI.dictionary_rows(spark), "desc")
+
+
+@query("keyword_dictionary")
+def q_keyword_dictionary(spark, sf_dir):
+    """G4/J8 with a dictionary of all words of eight letters or more of the documents, by language, on the benchmark texts."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"), 1))
+    keys = (spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("lang").isNotNull())
+            .select(F.col("lang").alias("category"), F.lit(0).alias("place"), words.alias("keyword")).distinct())
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.lower("text").alias("desc"))
+    return KI.keyword_scores(items, keys, "desc", stop_words=[]).join(items, "desc").select("item_id", "category", "score")

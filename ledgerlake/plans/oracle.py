@@ -979,3 +979,18 @@ FROM (SELECT i.account_id, b.category, i.mean * b.share AS rec, coalesce(x.spent
 q("low_confidence", f"""
 SELECT rule_category, coalesce(rule_confidence < 0.5, true) AS low_confidence, count(*) AS n
 FROM t JOIN ({ORACLES['rule_categorize']}) r ON lower(trim(t.description)) = r."desc" GROUP BY 1, 2""")
+
+ORACLES["rule_categorize_index"] = ORACLES["rule_categorize"]
+
+ORACLES["keyword_dictionary"] = r"""
+WITH keys AS (SELECT DISTINCT lang AS category, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS keyword FROM documents WHERE lang IS NOT NULL),
+items AS (SELECT item_id, lower(text) AS d FROM benchmark),
+occ AS (SELECT item_id, token, count(*) AS n FROM (
+  SELECT item_id, unnest(regexp_split_to_array(trim(regexp_replace(d, '([,;:@#$%&?!"()\[\]{}<>])', ' \1 ', 'g')), '\s+')) AS token FROM items)
+  WHERE length(token) > 2 GROUP BY 1, 2),
+earned AS (SELECT token, category, sum(CASE WHEN token = keyword THEN 2.0 ELSE 0.5 END) AS w
+  FROM (SELECT DISTINCT token FROM occ) JOIN keys ON contains(token, keyword) OR contains(keyword, token) GROUP BY 1, 2),
+scores AS (SELECT item_id, category, sum(s) AS s FROM (
+  SELECT item_id, category, n * w AS s FROM occ JOIN earned USING (token)
+  UNION ALL SELECT item_id, category, CASE WHEN d = keyword THEN 3.0 ELSE 1.5 END FROM items JOIN keys ON contains(d, keyword)) GROUP BY 1, 2)
+SELECT item_id, category, CAST(s AS DOUBLE) AS score FROM scores"""
