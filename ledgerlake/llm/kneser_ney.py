@@ -94,6 +94,10 @@ def shard_of(v: np.ndarray, w: np.ndarray, split: np.ndarray, shards: int) -> np
     return s.astype(np.int64)
 
 
+#: Largest part of a count in a packed row.
+WIDEST = 2 ** 32 - 1
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple:
     """Distinct keys, sorted, with the sums of their values."""
     order = np.argsort(keys, kind="stable")
@@ -123,6 +127,14 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(raw, 1))
 
 
+def chunks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as 32-bit parts: the place each part belongs to, and the part; larger counts have several, which add up to them."""
+    times = np.maximum(-(-c // WIDEST), 1)
+    at = np.repeat(np.arange(len(c)), times)
+    before = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)) * WIDEST
+    return at, np.minimum(c[at] - before, WIDEST).astype(np.uint32)
+
+
 _PACK = ["shard", "kind", "v", "w", "c"]
 _PACK_TYPE = "shard int, kind string, v binary, w binary, c binary"
 
@@ -135,7 +147,8 @@ def _packed(shard: np.ndarray, kind: str, shards: int, v, w: np.ndarray, c: np.n
     for s in range(shards):
         i = order[ends[s]:ends[s + 1]]
         if len(i):
-            rows.append((s, kind, v[i].tobytes() if v is not None else b"", w[i].tobytes(), c[i].astype(np.uint32).tobytes()))
+            at, part = chunks(c[i])
+            rows.append((s, kind, v[i][at].tobytes() if v is not None else b"", w[i][at].tobytes(), part.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.string(), *[pa.binary()] * 3))], _PACK)
 
 
@@ -218,9 +231,10 @@ def _bigram_shards(packed: DataFrame, folder: str, split: np.ndarray, shards: in
             to = (words >> np.uint64(20)).astype(np.int64) % shards
             _, uw, uc = got.get("u", none)
             uw, uc = summed(uw, uc)
+            at, part = chunks(uc)
             for batch in (_packed(to, "n", shards, None, words, n),
-                          pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array(["u"]), pa.array([b""], pa.binary()), pa.array([uw.tobytes()], pa.binary()),
-                                                      pa.array([uc.astype(np.uint32).tobytes()], pa.binary())], _PACK)):
+                          pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array(["u"]), pa.array([b""], pa.binary()), pa.array([uw[at].tobytes()], pa.binary()),
+                                                      pa.array([part.tobytes()], pa.binary())], _PACK)):
                 n_rows = batch.num_rows
                 if n_rows:
                     zero = pa.array(np.zeros(n_rows, np.int64))

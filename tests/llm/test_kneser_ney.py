@@ -1,12 +1,23 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ledgerlake.llm import kneser_ney as kn
 from tests.llm.helpers import empty, odd, odd_rows, prose
 
 
+def test_counts_beyond_32_bits_travel_in_parts():
+    c = np.array([0, 5, kn.WIDEST, kn.WIDEST + 1, 3 * kn.WIDEST + 7, 2 ** 40], np.int64)
+    at, part = kn.chunks(c)
+    assert part.dtype == np.uint32 and (np.bincount(at, part.astype(np.float64)).astype(np.int64) == c).all() and len(at) == 1 + 1 + 1 + 2 + 4 + 257
+    words = np.arange(6, dtype=np.uint64) * 7
+    _, got = next(kn._shard_rows([kn._packed(np.zeros(6, np.int64), "u", 1, None, words, c)]))
+    assert all((x == y).all() for x, y in zip(kn.summed(*got["u"][1:]), (words, c)))
+    assert [len(x) for x in kn.chunks(c[:0])] == [0, 0]
+
+
 def brute(train, texts):
     """The model's formulas over dictionaries: (base, score, tokens, known) per text."""
     cut = lambda t: [*kn.tokens(t), None]
