@@ -251,18 +251,29 @@ def _frequent(spark: SparkSession, base: DataFrame):
     return h[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
+#: Different sets that a task remembers.
+REMEMBERED = 1 << 18
+
+
 def _signatures(docs: DataFrame, width: int, percent: int, hashes: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(shingle, c1, c2) of the first shingles of every document."""
+    """(shingle, c1, c2) of the first shingles of every different set; a task sends copies of a set once."""
     sent = docs.sparkSession.sparkContext.broadcast((hashes, counts))
 
     def run(batches):
         cut = Shingles(width)
+        known: set[tuple[int, int]] = set()
         for b in batches:
-            sets = [cut(t) for t in b.column(0).to_pylist()]
-            sets = [s for s in sets if len(s)]
-            heads = [prefix(s, *sent.value, percent) for s in sets]
+            new = {}
+            if len(known) > REMEMBERED:
+                known.clear()  # what is sent again is dropped where its shingles meet
+            for t in b.column(0).to_pylist():
+                s = cut(t)
+                if len(s) and (name := identity(s)) not in known:
+                    known.add(name)
+                    new[name] = s
+            heads = [prefix(s, *sent.value, percent) for s in new.values()]
             size = [len(h) for h in heads]
-            key = np.array([identity(s) for s in sets], np.int64).reshape(-1, 2)
+            key = np.array(list(new), np.int64).reshape(-1, 2)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(key[:, 0], size)), pa.array(np.repeat(key[:, 1], size))],
                                              ["shingle", "c1", "c2"])
