@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.session import cut_lineage
 from ledgerlake.sources.quoting import join_records
 
 # FIXED VALUES — limits and patterns of the file checks.
@@ -85,6 +86,12 @@ def profile_lines(lines: DataFrame) -> DataFrame:
                       F.size("header").alias("column_count"), damaged.alias("damaged"), strategy.alias("strategy"))
 
 
+def with_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``lines`` with what is known of their file. The lines stay in their splits: to shuffle them by file would
+    deal a large file to one task. ``files`` has one row a file, as Spark's own list of files on the driver has."""
+    return lines.join(F.broadcast(files), "source_file")
+
+
 def read_records(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
     """Every record of every file by its own header, nothing dropped but blank lines.
 
@@ -94,8 +101,8 @@ def read_records(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
     line name their columns ``_c0``, ``_c1``, ...
     """
     lines = read_lines(spark, paths, glob)
-    files = profile_lines(lines)
-    known = lines.join(files, "source_file")
+    files = cut_lineage(profile_lines(lines))   # both kinds of files are told by it: all lines are profiled once
+    known = with_files(lines, files)
     known = known.filter((F.col("at") != F.col("header_at")) | ~F.col("has_header"))
     keep = ["source_file", "at", "line", "strategy", "header", "has_header", "delimiter"]
     # files with a quoted line end: records are put together split by split
@@ -119,15 +126,15 @@ def statement_columns(records: DataFrame, aliases: dict[str, list[str]]) -> Data
 
     A canonical column takes the cell of the first header name that is its name, or else contains one of
     its aliases (lower-cased). Missing cells are null."""
-    low = F.transform("header", lambda h: F.lower(F.trim(h)))
+    # the lowered names are a column of their own: every canonical column looks them up
+    staged = records.withColumn("_low", F.transform("header", lambda h: F.lower(F.trim(h))))
+    known = lambda place: F.nullif(place, F.lit(0).cast("long"))
 
     def at(name: str, words: list[str]) -> Column:
         fuzzy = lambda h: sum((F.contains(h, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
-        exact = F.array_position(low, F.lit(name))
-        near = F.array_position(F.transform(low, fuzzy), F.lit(True))
-        return F.when(exact > 0, exact).otherwise(near)
-    cell = lambda i: F.when(i > 0, F.nullif(F.get("cells", (i - 1).cast("int")), F.lit("")))
-    return records.select("source_file", "parse_strategy", "extra", "_corrupt_record", *[cell(at(c, w)).alias(c) for c, w in aliases.items()])
+        return F.coalesce(known(F.array_position("_low", F.lit(name))), known(F.array_position(F.transform("_low", fuzzy), F.lit(True))))
+    cell = lambda place: F.nullif(F.get("cells", (place - 1).cast("int")), F.lit(""))
+    return staged.select("source_file", "parse_strategy", "extra", "_corrupt_record", *[cell(at(c, w)).alias(c) for c, w in aliases.items()])
 
 
 def read_text_minimal(spark: SparkSession, paths, columns: list[str]) -> DataFrame:

@@ -87,7 +87,7 @@ def ingest_uploads(spark: SparkSession, source_dir: str, table_path: str, as_of:
         rows = batch.persist()   # hashed, then processed
         try:
             files = SRC.duplicate_files(rows.select("source_file", F.to_json(F.struct(*UPLOAD_SCHEMA.names)).alias("line")))
-            kept = rows.join(files.filter("kept").select("source_file", "file_hash"), "source_file")
+            kept = SRC.with_files(rows, files.filter("kept").select("source_file", "file_hash"))   # one row a file
             good, lost = U.process(kept, as_of, model, custom)
             # saving reads the rows several times: the chain runs once
             V.replace(cut_lineage(good.withColumn("created_at", F.current_timestamp())), table_path)
