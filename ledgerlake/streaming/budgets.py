@@ -1,25 +1,24 @@
 """Monthly category spend on a running stream, with an alert at each crossing.
 
 Uploads bring the same rows again, under the same or another file name: rows are told apart by
-their own hash, and a repeated one is dropped within the watermark's delay, in state that is dealt by row. The
-state of an account then holds its open months: spend, alert level and count by month and category.
+their own hash, and a repeated one is dropped within the watermark's delay, in state that is dealt by row. Each
+batch sums its new rows by account, month and category and merges the sums with the open months that the
+batch before it left: spend, count and alert level, as a table dealt by the same key. Both steps are
+ordinary aggregates, so no account is visited one by one.
 An alert is emitted once, by the batch in which the month's spend crosses a limit; a month is
 closed, with its total, when the watermark has passed its end. Rows older than the watermark come
 too late: Spark leaves them out, and :func:`late_rows` tells how many a run has left out.
 
-Every batch writes a folder of its own, which a replayed batch overwrites: a stream killed between
-its output and its checkpoint leaves each alert once.
+Every batch writes folders of its own, which a replayed batch overwrites, and reads those of the batch
+before it: a stream killed between its output and its checkpoint leaves each alert once.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlake.dims import BUDGET_SHARES
 from ledgerlake.streaming.ingest import _ckpt
@@ -27,9 +26,8 @@ from ledgerlake.streaming.ingest import _ckpt
 #: Shares of the recommended amount above which spending is reported.
 LEVELS = [("medium", 1.2), ("high", 1.5)]
 ROWS = "txn_id long, account_id long, date date, description string, amount double, category string"
-STATE = "month array<long>, category array<string>, cents array<long>, n array<long>, level array<int>"
+HELD = "account_id long, month long, category string, cents long, n long, before int, level int, closed boolean"
 OUT = "account_id long, month string, category string, kind string, spend double, n long"
-_DAY_MS = 86_400_000
 
 
 def row_hash() -> Column:
@@ -44,50 +42,38 @@ def uploads(spark: SparkSession, directory: str, delay: str, files: int) -> Data
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["account_id", "row_hash"])
 
 
-def _month_end_ms(month: int) -> int:
-    """End of a month counted from 1970 as ``12 * years + months``, in milliseconds."""
-    year, m = divmod(month + 1, 12)
-    return int(pd.Timestamp(1970 + year, m + 1, 1).value // 1_000_000)
+def monthly_sums(rows: DataFrame) -> DataFrame:
+    """(account_id, month, category, cents, n, last): a batch's spend, and the latest time of all its rows.
 
+    ``month`` counts from 1970 as ``12 * years + months``."""
+    spent = F.col("amount") < 0
+    return (rows.select("account_id", "ts", ((F.year("date") - 1970) * 12 + F.month("date") - 1).cast("long").alias("month"),
+                        F.coalesce("category", F.lit("other")).alias("category"), F.when(spent, F.round(-F.col("amount") * 100).cast("long")).alias("cents"))
+            .groupBy("account_id", "month", "category").agg(F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"), F.count("cents").alias("n"), F.max("ts").alias("last")))
 
-def _name(month: int) -> str:
-    return f"{1970 + month // 12:04d}-{month % 12 + 1:02d}"
 
-
-def monthly_alerts(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """(account_id, month, category, kind, spend, n): kinds medium, high, closed.
+def advance(held: DataFrame, sums: DataFrame, limits: dict[str, float], now: Column) -> DataFrame:
+    """The open months after a batch (``HELD``): ``before`` and ``level`` are the number of limits passed before
+    and after it, ``closed`` is set where the watermark ``now`` has passed the month's end.
 
     ``limits``: recommended amount of a category; categories without one are only totalled."""
-    spend = (rows.filter(F.col("amount") < 0)
-             .select("account_id", "ts", ((F.year("date") - 1970) * 12 + F.month("date") - 1).cast("long").alias("month"),
-                     F.coalesce("category", F.lit("other")).alias("category"), F.round(-F.col("amount") * 100).cast("long").alias("cents")))
-    bars = {c: [round(x * share * 100) for _, share in LEVELS] for c, x in limits.items()}
-
-    def advance(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        account, now, out = key[0], state.getCurrentWatermarkMs(), []
-        held = {(m, c): [x, n, v] for m, c, x, n, v in zip(*state.get)} if state.exists else {}
-        for part in parts:
-            sums = part.groupby(["month", "category"])["cents"].agg(["sum", "count"])
-            for (month, category), x, n in sums.itertuples():
-                spent = held.setdefault((month, category), [0, 0, 0])
-                spent[0] += int(x)
-                spent[1] += int(n)
-        for (month, category), spent in held.items():
-            while spent[2] < len(LEVELS) and category in bars and spent[0] > bars[category][spent[2]]:
-                out.append((account, _name(month), category, LEVELS[spent[2]][0], spent[0] / 100, spent[1]))
-                spent[2] += 1
-        for month, category in [k for k in held if _month_end_ms(k[0]) <= now]:
-            x, n, _ = held.pop((month, category))
-            out.append((account, _name(month), category, "closed", x / 100, n))
-        if held:
-            state.update(tuple(list(c) for c in zip(*[(m, c, *v) for (m, c), v in held.items()])))
-            state.setTimeoutTimestamp(max(now + 1, min(_month_end_ms(m) for m, _ in held)))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["account_id", "month", "category", "kind", "spend", "n"])
-
-    return spend.groupBy("account_id").applyInPandasWithState(advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    parts = held.select("account_id", "month", "category", "cents", "n", "level").unionByName(
+        sums.filter("n > 0").select("account_id", "month", "category", "cents", "n", F.lit(0).alias("level")))
+    out = parts.groupBy("account_id", "month", "category").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"), F.max("level").alias("before"))
+    bars = F.create_map(*[x for c, limit in limits.items() for x in (F.lit(c), F.array(*[F.lit(round(limit * share * 100)).cast("long") for _, share in LEVELS]))])
+    passed = F.coalesce(F.size(F.filter(F.element_at(bars, F.col("category")), lambda bar: F.col("cents") > bar)), F.lit(0))
+    after = F.col("month") + 1
+    end = F.make_date((F.floor(after / 12) + 1970).cast("int"), (F.pmod(after, F.lit(12)) + 1).cast("int"), F.lit(1)).cast("timestamp")
+    return out.select("account_id", "month", "category", "cents", "n", "before", F.greatest("before", passed).alias("level"),
+                      F.coalesce(end <= now, F.lit(False)).alias("closed"))
+
+
+def events(held: DataFrame) -> DataFrame:
+    """(account_id, month, category, kind, spend, n) of a batch: kinds medium, high, closed."""
+    crossed = F.slice(F.array(*[F.lit(kind) for kind, _ in LEVELS]), F.col("before") + 1, F.col("level") - F.col("before"))
+    kinds = F.concat(crossed, F.when(F.col("closed"), F.array(F.lit("closed"))).otherwise(F.array().cast("array<string>")))
+    name = F.concat_ws("-", F.lpad((F.floor(F.col("month") / 12) + 1970).cast("string"), 4, "0"), F.lpad((F.pmod("month", F.lit(12)) + 1).cast("string"), 2, "0"))
+    return held.select("account_id", name.alias("month"), "category", F.explode(kinds).alias("kind"), (F.col("cents") / 100).alias("spend"), "n")
 
 
 def run_monthly_alerts(spark: SparkSession, directory: str, out_path: str, income: float, delay: str = "60 days", files: int = 100,
@@ -95,15 +81,31 @@ def run_monthly_alerts(spark: SparkSession, directory: str, out_path: str, incom
     """Take in what lies in ``directory`` and return the finished query. ``fail_in``: for tests, end after the
     output of that batch was written, before the stream knows of it."""
     limits = {c: income * share for c, share in BUDGET_SHARES}
-    found = monthly_alerts(uploads(spark, directory, delay, files), limits)
+    checkpoint = _ckpt(spark, f"{name}-{os.path.basename(out_path.rstrip('/'))}")
+    place = lambda kind, n: f"{checkpoint}-held/{kind}/batch_id={n}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        # the rows are read once: to read them again would run the state of their repetitions again
+        monthly_sums(batch).write.mode("overwrite").parquet(place("sums", batch_id))
+        sums = spark.read.parquet(place("sums", batch_id))
+        # the watermark of a batch: the latest time of the batches before it, less the delay
+        if batch_id:
+            held = spark.read.schema(HELD).parquet(place("months", batch_id - 1)).filter("NOT closed")
+            latest = spark.read.schema("last timestamp").parquet(place("latest", batch_id - 1))
+        else:
+            held, latest = spark.createDataFrame([], HELD), spark.createDataFrame([(None,)], "last timestamp")
+        now = F.lit(latest.select(F.col("last") - F.expr(f"INTERVAL {delay}")).first()[0])
+        advance(held, sums, limits, now).write.mode("overwrite").parquet(place("months", batch_id))
+        latest.union(sums.select("last")).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(place("latest", batch_id))
+        events(spark.read.schema(HELD).parquet(place("months", batch_id))).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         if batch_id == fail_in:
             raise RuntimeError("killed")
+        for kind in ("sums", "months", "latest"):   # a replayed batch reads those of the one before it
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place(kind, batch_id - 2))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    query = (found.writeStream.outputMode("append").foreachBatch(write_batch)
-             .option("checkpointLocation", _ckpt(spark, f"{name}-{os.path.basename(out_path.rstrip('/'))}")).trigger(availableNow=True).start())
+    query = (uploads(spark, directory, delay, files).writeStream.outputMode("append").foreachBatch(write_batch)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return query
 

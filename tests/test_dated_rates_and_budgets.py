@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlake.operators import dated_rates as DR
 from ledgerlake.streaming import budgets as MB
@@ -75,3 +76,14 @@ def test_alerts_once_over_batches_copies_and_a_crash(spark, tmpdir_path):
     query = MB.run_monthly_alerts(spark, source, out, 3000.0, files=2)
     assert MB.late_rows(query) == 1
     assert Counter(MB.alerts(spark, out).drop("batch_id").collect()) == Counter(r[:-1] for r in got)
+
+
+def test_months_are_not_visited_account_by_account(spark, tmpdir_path):
+    source, out = os.path.join(tmpdir_path, "drops"), os.path.join(tmpdir_path, f"wide-{os.path.basename(tmpdir_path)}")
+    spark.range(3000).select(F.col("id").alias("txn_id"), F.when(F.col("id") > 0, F.col("id")).alias("account_id"), F.lit(dt.date(1999, 12, 5)).alias("date"), F.lit("x").alias("description"),
+                             F.lit(-1e6).alias("amount"), F.lit("food").alias("category")).write.parquet(source)
+    query = MB.run_monthly_alerts(spark, source, out, 3000.0, files=2)
+    got = MB.alerts(spark, out)
+    assert {(r["month"], r["kind"]): r["count"] for r in got.groupBy("month", "kind").count().collect()} == {("1999-12", "medium"): 3000, ("1999-12", "high"): 3000}
+    assert got.filter("account_id IS NULL").count() == 2
+    assert not any(op["operatorName"].startswith("applyInPandas") for p in query.recentProgress for op in p["stateOperators"])
