@@ -1,17 +1,17 @@
 """Rates by date (J2): the last rate seen on or before a transaction, if it still holds.
 
 A live rate holds for ``validity`` seconds (one hour); beyond that, and before the first one, the
-fallback rate of the currency counts. This is an as-of join with a bounded look-back, written as an
-equi-join: time is cut into slices of the validity's length, the rates of a currency are gathered
-by slice together with those of the slice before (no older one can hold), and a transaction picks from
-the list of its own slice. A list has the rates of two slices at most, whatever the table's size;
-the transactions are neither sorted nor put into windows, so a currency with a third of all rows is
-split by time, and within a slice by the ordinary skew handling of joins.
+fallback rate of the currency counts. This is an as-of join with a bounded look-back: the different
+(currency, time) pairs that transactions ask for are put among the rates, in groups of a currency and a slice of time
+of the validity's length, and one sorted pass over a group carries the last rate along. Of the slice
+before only its last rate can hold, so each slice begins with that one. The answers return to
+the transactions by an equi-join on currency and time, where ordinary skew handling applies: a moment that many
+transactions share is asked for once. No list of rates is built, so a slice may hold any number of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.dims import fx_rates_dim
@@ -24,33 +24,39 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def rate_slices(rates: DataFrame, validity: int = VALIDITY) -> DataFrame:
-    """(currency, slice, seen): rates (as_of in microseconds, per_usd) that may hold in a slice of time.
+def held_rates(asked: DataFrame, rates: DataFrame, validity: int = VALIDITY) -> DataFrame:
+    """``asked`` (code, at: different pairs, at in microseconds) that a live rate holds for, with ``held``, the last one.
 
     Of several rates of one moment the highest counts; rates without a code, a time or a value do not."""
     span = validity * 1_000_000
     one = (rates.filter(F.col("per_usd").isNotNull() & F.col("as_of").isNotNull() & F.col("currency").isNotNull())
-           .groupBy(F.upper("currency").alias("currency"), _seconds(F.col("as_of")).alias("as_of")).agg(F.max("per_usd").alias("per_usd")))
-    own = F.floor(F.col("as_of") / span)
-    return (one.withColumn("slice", F.explode(F.array(own, own + 1)))
-            .groupBy("currency", "slice").agg(F.sort_array(F.collect_list(F.struct("as_of", "per_usd")), asc=False).alias("seen")))
+           .select(F.upper("currency").alias("code"), _seconds(F.col("as_of")).alias("at"), F.col("per_usd").cast("double").alias("rate"))
+           .withColumn("slice", F.floor(F.col("at") / span)))
+    # numbers only, so that the aggregate stays in a hash table: the last moment, then its highest rate
+    ends = one.groupBy("code", "slice").agg(F.max("at").alias("at"))
+    carried = one.join(ends, ["code", "slice", "at"], "left_semi").withColumn("slice", F.col("slice") + 1)
+    line = (one.unionByName(carried).withColumn("asks", F.lit(False))
+            .unionByName(asked.select("code", "at", F.lit(None).cast("double").alias("rate"), F.floor(F.col("at") / span).alias("slice"), F.lit(True).alias("asks"))))
+    # rates before what is asked at the same moment, the highest last
+    past = Window.partitionBy("code", "slice").orderBy("at", "asks", "rate").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(~F.col("asks"), F.struct("at", "rate")), ignorenulls=True).over(past)
+    return (line.withColumn("last", last).filter(F.col("asks") & (F.col("at") - F.col("last.at") < span))
+            .select("code", "at", F.col("last.rate").alias("held")))
 
 
 def with_dated_rate(df: DataFrame, rates: DataFrame, currency: Column, ts: str, name: str, validity: int = VALIDITY, fallback: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name`` (units per USD at the row's time, null if the currency is unknown) and
     ``<name>_source``: 'live' or 'fallback'."""
-    span = validity * 1_000_000
-    slices = rate_slices(rates, validity).select(F.col("currency").alias("_rate_currency"), F.col("slice").alias("_rate_slice"), "seen")
     default = fx_rates_dim(df.sparkSession) if fallback is None else fallback
     default = default.groupBy(F.upper("currency").alias("_default_currency")).agg(F.max("per_usd").alias("_default"))
-    at = _seconds(F.col(ts))
-    keyed = df.withColumn("_code", F.upper(currency)).withColumn("_at", at)
-    joined = (keyed.join(slices, (F.col("_code") == F.col("_rate_currency")) & (F.floor(F.col("_at") / span) == F.col("_rate_slice")), "left")
+    keyed = df.withColumn("_code", F.upper(currency)).withColumn("_at", _seconds(F.col(ts)))
+    asked = keyed.select(F.col("_code").alias("code"), F.col("_at").alias("at")).filter(F.col("code").isNotNull() & F.col("at").isNotNull()).distinct()
+    found = held_rates(asked, rates, validity).toDF("_held_code", "_held_at", "_held")
+    joined = (keyed.join(found, (F.col("_code") == F.col("_held_code")) & (F.col("_at") == F.col("_held_at")), "left")
               .join(default, F.col("_code") == F.col("_default_currency"), "left"))
-    held = F.get(F.filter("seen", lambda r: (r["as_of"] <= F.col("_at")) & (F.col("_at") - r["as_of"] < span)), F.lit(0))["per_usd"]
-    return (joined.withColumn(name, F.coalesce(held, F.col("_default")))
-            .withColumn(f"{name}_source", F.when(held.isNotNull(), "live").when(F.col("_default").isNotNull(), "fallback"))
-            .drop("_code", "_at", "_rate_currency", "_rate_slice", "seen", "_default_currency", "_default"))
+    return (joined.withColumn(name, F.coalesce("_held", "_default"))
+            .withColumn(f"{name}_source", F.when(F.col("_held").isNotNull(), "live").when(F.col("_default").isNotNull(), "fallback"))
+            .drop("_code", "_at", "_held_code", "_held_at", "_held", "_default_currency", "_default"))
 
 
 def convert_dated(df: DataFrame, target: str, rates: DataFrame, ts: str = "ts", amount: str = "amount", currency: str = "currency",
@@ -60,7 +66,7 @@ def convert_dated(df: DataFrame, target: str, rates: DataFrame, ts: str = "ts",
     ``rate_source`` is 'same' without a conversion, 'live' if every rate used was live, else 'fallback'; a currency that is in
     no table counts as 1.0, as in :func:`fx.convert_transactions`, and is 'missing'."""
     out = with_dated_rate(df, rates, F.col(currency), ts, "_from", validity, fallback)
-    out = with_dated_rate(out, rates, F.lit(target), ts, "_to", validity, fallback)
+    out = with_dated_rate(out, rates.filter(F.upper("currency") == target.upper()), F.lit(target), ts, "_to", validity, fallback)
     code, to = F.upper(F.col(currency)), F.lit(target.upper())
     used = [F.when(code == "USD", "live").otherwise(F.coalesce("_from_source", F.lit("missing"))),
             F.when(to == "USD", "live").otherwise(F.coalesce("_to_source", F.lit("missing")))]
