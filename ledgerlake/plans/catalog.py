@@ -624,7 +624,7 @@ def q_strategy_cascade(spark, sf_dir):
     rows, verdicts = CA.read_cascade(spark, root, "*")
     tried = verdicts.select("source_file", F.array_join(F.transform(F.filter("tried", lambda t: ~t["accepted"]), lambda t: F.concat(t["strategy"], F.lit(": "), t["reason"])), "; ").alias("rejected"))
     text = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|")
-    return (rows.join(tried, "source_file").select(_folder(), "strategy", F.array_join("header", "|").alias("header"), text.alias("cells"), "rejected")
+    return (SRC.with_files(rows, tried).select(_folder(), "strategy", F.array_join("header", "|").alias("header"), text.alias("cells"), "rejected")
             .groupBy("folder", "strategy", "header", "cells", "rejected").agg(F.count(F.lit(1)).alias("n")))
 
 
